@@ -86,7 +86,11 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         n = max(n, 1 << 21)
-        _powers[:] = [np.cumprod(np.concatenate([[1], np.full(n, base % 2**64)]).astype(np.uint64), dtype=np.uint64) for base in (_BASE, pow(_BASE, -1, 2**64))]
+        for base in (_BASE, pow(_BASE, -1, 2**64)):
+            steps = np.full(n + 1, base, np.uint64)
+            steps[0] = 1
+            _powers.append(np.cumprod(steps, dtype=np.uint64))
+        del _powers[:-2]
     return _powers[0], _powers[1]
 
 

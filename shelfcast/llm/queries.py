@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import decontamination, jaccard, media, mixing, sharding
+from shelfcast.llm import decontamination, jaccard, language, licenses, lines, media, mixing, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", media.describe_media(F.col("text")).alias("m")).select("doc_id", "m.*")
@@ -27,6 +31,17 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", licenses.scan_licenses(F.col("text")).alias("r")).select("doc_id", "r.*")
+    joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
+    base, own = F.col("phrases.label"), F.col("spans.label")
+    cover = F.greatest(F.when(F.size("phrases") > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max("spans.cover"), F.lit(0.0)))
+    return found.select(
+        "doc_id", "n_words", F.size("phrases").cast("long").alias("n_base"), F.array_min("phrases.first").alias("first_word"), F.array_max("phrases.first").alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.concat(base, own)).alias("labels"), cover.alias("score"),
+    )
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.with_hits(docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -36,6 +51,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), decontamination.contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    profiles = language.learn(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), language.predict_language(docs, profiles).alias("r"))
+    return found.select("doc_id", "held_out", F.col("r.lang").alias("lang_pred"), "r.score")
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,5 +67,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op4_media_columns, op5_sharding, op7_decontamination, op9_ngram_jaccard, op10_mixing)}
+QUERIES |= {f.__name__: f for f in (op1_line_dedup, op4_media_columns, op5_sharding, op6_license_scans, op7_decontamination, op8_language_id, op9_ngram_jaccard, op10_mixing)}
 ORACLES["op10_mixing"] = mixing.ORACLE

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SPACE = frozenset(b"\x20\x09\x0a\x0b\x0c\x0d")
 _UPPER = bytes(range(65, 91))
@@ -21,6 +22,8 @@ _UPPER = bytes(range(65, 91))
 _LETTERS = bytes(c + 32 if c in _UPPER else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 LOWER = np.array([c + 32 if c in _UPPER else c for c in range(256)], np.uint8)
 IS_SPACE = np.array([c in _SPACE for c in range(256)])
+#: Narrow tables (ids, sources) of up to so many rows are broadcast.
+BROADCAST_ROWS = 2_000_000
 _own_folder: dict[str, str] = {}
 
 
@@ -42,6 +45,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df marked for broadcast if it has few rows; a longer one is left to a shuffled join."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of about `limit` bytes (one row at least), each with its bytes and its rows' offsets in them. Null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")

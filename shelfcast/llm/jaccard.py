@@ -25,15 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from shelfcast.llm.common import IS_SPACE, LOWER, mixed, run_hashes, slices, spans, stored
+from shelfcast.llm.common import IS_SPACE, LOWER, mixed, run_hashes, slices, small, spans, stored
 from shelfcast.llm.components import components
 
 WORDS = 5
 TINY, SMALL = 7, 127
 #: Shingles a segment at the upper end of a band, and the ratio of a band's ends.
 PER_SEGMENT, BAND = 2.6, 2
-#: Id lists of up to so many rows are broadcast (16 bytes a row); longer ones are joined by shuffle.
-BROADCAST_ROWS = 2_000_000
 #: One document in so many is looked at to find signatures that would fill a task; at most HEAVY_MOST of them can pass.
 HEAVY_SAMPLE, HEAVY_LEAST, HEAVY_MOST, HEAVY_SALTS = 64, 48, 20_000, 512
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -174,13 +172,9 @@ def _lists(a: pa.Array) -> list[np.ndarray]:
     return [values[s:e] for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
 
 
-def _small(ids: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(ids) if rows <= BROADCAST_ROWS else ids
-
-
 def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """ids (id, class_a, ...) with the shingle set of each id's text in `shingles`."""
-    found = texts.join(_small(ids, ids.count()), F.col("doc_id") == F.col("id")).withColumn("shingles", _set_column(F.col("text")))
+    found = texts.join(small(ids, ids.count()), F.col("doc_id") == F.col("id")).withColumn("shingles", _set_column(F.col("text")))
     return found.drop("doc_id", "text")
 
 
@@ -193,9 +187,9 @@ def _heavy(texts: DataFrame, seed: int) -> DataFrame:
 
 
 def _picked(texts: DataFrame, classes: DataFrame, copies: DataFrame, n_copies: int, seed: int) -> DataFrame:
-    """doc, size, typical, picked [(sig, position, n)]: for each class its cheapest signatures that other classes have too."""
+    """For each class its cheapest signatures that other classes have too, in its own band and the one below; `typical` is the share that no other has."""
     signed = texts.select("doc_id", _signature_column(F.col("text"), seed).alias("s")).select("doc_id", "s.a", "s.signatures")
-    signed = signed.join(_small(copies, n_copies), ["doc_id", "a"], "left_anti")
+    signed = signed.join(small(copies, n_copies), ["doc_id", "a"], "left_anti")
     rows = signed.select(F.col("doc_id").alias("doc"), F.explode("signatures").alias("sig"))
     rows = rows.join(F.broadcast(_heavy(texts, seed)), "sig", "left")
     salt = F.when(F.col("heavy").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc"), F.lit(HEAVY_SALTS)))
@@ -205,24 +199,34 @@ def _picked(texts: DataFrame, classes: DataFrame, copies: DataFrame, n_copies: i
     rows = rows.where(F.col("heavy").isNotNull() | ~F.col("alone"))
     shared = rows.groupBy("doc").agg(F.collect_set(F.struct("cost", "sig")).alias("shared"))
     shared = shared.join(classes.select(F.col("rep").alias("doc"), "n_shingles", "parity", "n_own", "n_below"), "doc")
-    size = F.col("n_shingles")
+    size, n_own, n_below = F.col("n_shingles"), F.col("n_own"), F.col("n_below")
+    for name, parity in (("own", F.col("parity")), ("below", 1 - F.col("parity"))):
+        shared = shared.withColumn(name, _of_parity(F.col("shared"), parity))
+    need = F.floor((size + F.floor(size * 5 / 4)) / 9) + 1
+    need_below = F.floor((2 * size - 1) / 9) + 1
+    own = F.when(size <= TINY, F.size("own")).otherwise(F.greatest(F.lit(0), need - n_own + F.size("own"))).cast("int")
+    below = F.when(size == TINY + 1, F.size("below")).otherwise(F.greatest(F.lit(0), need_below - n_below + F.size("below"))).cast("int")
+    out = shared.select(
+        F.col("doc"), size.alias("size"), ((n_own + n_below - F.size("shared")) / (n_own + n_below)).alias("typical"),
+        F.slice("own", 1, own)["sig"].alias("own"), (n_own - F.size("own")).alias("own_alone"), "n_own",
+        F.slice("below", 1, below)["sig"].alias("below"), (n_below - F.size("below")).alias("below_alone"), "n_below",
+    )
+    return stored(out.where("size(own) + size(below) > 0"), "picked")
+
+
+def _of_parity(shared: Column, parity: Column) -> Column:
+    return F.sort_array(F.filter(shared, lambda x: x["sig"].bitwiseAND(1) == parity))
 
-    def first(parity: Column, n: Column, need: Column, everything: Column) -> Column:
-        mine = F.sort_array(F.filter("shared", lambda x: x["sig"].bitwiseAND(1) == parity))
-        alone = n - F.size(mine)
-        many = F.when(everything, F.size(mine)).otherwise(F.greatest(F.lit(0), need - alone)).cast("int")
-        return F.transform(F.slice(mine, 1, many), lambda x, i: F.struct(x["sig"].alias("sig"), (alone + i + 1).cast("int").alias("position"), n.cast("int").alias("n")))
 
-    own = first(F.col("parity"), F.col("n_own"), F.floor((size + F.floor(size * 5 / 4)) / 9) + 1, size <= TINY)
-    below = first(1 - F.col("parity"), F.col("n_below"), F.floor((2 * size - 1) / 9) + 1, size == TINY + 1)
-    typical = (F.col("n_own") + F.col("n_below") - F.size("shared")) / (F.col("n_own") + F.col("n_below"))
-    out = shared.select("doc", size.alias("size"), typical.alias("typical"), F.concat(own, below).alias("picked"))
-    return stored(out.where(F.size("picked") > 0), "picked")
+def _exploded(picked: DataFrame) -> DataFrame:
+    """doc, size, typical, sig, position among the n signatures of its band, for each picked signature."""
+    parts = [picked.select("doc", "size", "typical", F.posexplode(k).alias("i", "sig"), F.col(f"{k}_alone").alias("alone"), F.col(f"n_{k}").alias("n")) for k in ("own", "below")]
+    return parts[0].union(parts[1]).select("doc", "size", "typical", "sig", (F.col("alone") + F.col("i") + 1).alias("position"), "n")
 
 
 def _pivots(picked: DataFrame) -> DataFrame:
     """doc, size, pivot, pivot_size: the set that most of a document's buckets call their most typical."""
-    rows = picked.select("doc", "size", "typical", F.explode("picked.sig").alias("sig"))
+    rows = _exploded(picked).select("doc", "size", "typical", "sig")
     heads = rows.groupBy("sig").agg(F.min(F.struct("typical", "doc", "size")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     votes = rows.join(heads, "sig").groupBy("doc", "size", F.col("head.typical").alias("typical"), F.col("head.doc").alias("pivot"), F.col("head.size").alias("pivot_size")).count()
     best = votes.groupBy("doc").agg(F.max(F.struct("count", -F.col("typical"), "pivot", "pivot_size", "size")).alias("b"))
@@ -268,8 +272,9 @@ def _within_pivot(checked: DataFrame) -> DataFrame:
 
 def _across_pivots(picked: DataFrame, pivots: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs x, y of different pivots and components that share a picked signature early enough to link."""
-    rows = picked.join(pivots.select("doc", "pivot"), "doc").join(label, F.col("doc") == F.col("node"), "left")
-    rows = rows.select("doc", "size", "pivot", F.coalesce("label", "doc").alias("label"), F.inline("picked"))
+    rows = _exploded(picked.join(pivots.select("doc"), "doc", "left_semi"))
+    rows = rows.join(pivots.select("doc", "pivot"), "doc").join(label, F.col("doc") == F.col("node"), "left")
+    rows = rows.select("doc", "size", "pivot", F.coalesce("label", "doc").alias("label"), "sig", "position", "n")
     mixed_buckets = rows.groupBy("sig").agg(F.min("pivot").alias("p"), F.max("pivot").alias("q"), F.min("label").alias("k"), F.max("label").alias("l")).where("p <> q and k <> l").select("sig")
     rows = stored(rows.join(mixed_buckets, "sig", "left_semi"), "across")
     x = rows.select("sig", *[F.col(c).alias(f"{c}_x") for c in ("size", "pivot", "label", "position", "n")], F.col("doc").alias("x"))

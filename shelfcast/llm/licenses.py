@@ -18,6 +18,7 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 #: Opening or notice texts of public licences, by label.
 TEMPLATES = {
     "apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ],

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import stored
+from shelfcast.llm.common import small, stored
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -54,8 +54,9 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     target = target.withColumn("copies", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
     target = target.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
     target = target.withColumn("chance", F.coalesce(F.try_divide("rest", "source_size"), F.lit(0.0)))
-    target = target.select(F.col("source").alias("of"), "source_size", "target", "copies", "rest", "chance")
-    rows = rows.join(target, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    target = stored(target.select(F.col("source").alias("of"), "source_size", "target", "copies", "rest", "chance"), "mix-targets")
+    n_sources = target.count()
+    rows = rows.join(small(target, n_sources), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     u = (F.conv(F.substring(F.md5(F.concat_ws("/", F.col("doc_id").cast("string"), F.lit(seed))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
     odds = (u / (1 - u)) * ((1 - F.col("chance")) / F.col("chance"))
     rows = rows.withColumn("odds", F.when(F.col("chance") > 0, odds).otherwise(F.lit(1e300)))
@@ -70,12 +71,12 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     rows = stored(rows, "mix-sampled")
     given = rows.groupBy("source").agg(F.sum(F.when(F.col("sampled"), F.col("size")).otherwise(0)).alias("given"))
     given = given.select(F.col("source").alias("of"), "given")
-    rows = rows.join(given, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    rows = rows.join(small(given, n_sources), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     gap = F.col("rest") - F.col("given")
     fits = ~F.col("sampled") & (F.abs(F.col("size") - gap) < gap)
     last = rows.where(fits).groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - gap).alias("miss"), "odds", "doc_id", "row")).alias("last"))
     last = last.select(F.col("source").alias("of"), F.col("last.row").alias("last_row"))
-    rows = rows.join(last, F.col("source").eqNullSafe(F.col("of")), "left")
+    rows = rows.join(small(last, n_sources), F.col("source").eqNullSafe(F.col("of")), "left")
     more = F.when(F.col("sampled") | F.coalesce(F.col("row") == F.col("last_row"), F.lit(False)), 1).otherwise(0)
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + more)).cast("long").alias("taken"))
 

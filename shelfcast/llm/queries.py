@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import decontamination, jaccard, language, licenses, lines, media, mixing, sharding
+from shelfcast.llm import decontamination, jaccard, language, licenses, lines, media, mixing, secrets, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,20 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    classifier = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), toxicity.score(docs, classifier).alias("score"))
+    return found.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    many = [secrets.count_of(F.col("base"), k).alias(f"n_{k}") for k in secrets.BASE]
+    return found.select("doc_id", *many, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", media.describe_media(F.col("text")).alias("m")).select("doc_id", "m.*")
@@ -67,5 +81,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_line_dedup, op4_media_columns, op5_sharding, op6_license_scans, op7_decontamination, op8_language_id, op9_ngram_jaccard, op10_mixing)}
+QUERIES |= {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_secret_scans, op4_media_columns, op5_sharding, op6_license_scans, op7_decontamination, op8_language_id, op9_ngram_jaccard, op10_mixing)}
 ORACLES["op10_mixing"] = mixing.ORACLE

@@ -24,6 +24,7 @@ LOWER = np.array([c + 32 if c in _UPPER else c for c in range(256)], np.uint8)
 IS_SPACE = np.array([c in _SPACE for c in range(256)])
 #: Narrow tables (ids, sources) of up to so many rows are broadcast.
 BROADCAST_ROWS = 2_000_000
+BATCH_BYTES = 8 << 20
 _own_folder: dict[str, str] = {}
 
 
@@ -45,6 +46,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches end at BATCH_BYTES, so a Python worker's memory follows its longest texts and not a count of rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df marked for broadcast if it has few rows; a longer one is left to a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

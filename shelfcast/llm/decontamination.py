@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from shelfcast.llm.common import stored, words_of
+from shelfcast.llm.common import bounded_batches, stored, words_of
 
 WINDOW = 13
 #: Words of benchmark text in one broadcast block; more text is searched in further blocks.
@@ -123,6 +123,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     Only a block of the benchmark is ever broadcast. A benchmark of several blocks is searched block by block, each pass written to
     the shared folder, so memory doesn't grow with it. Null texts and texts without words have no hits; items without words or id are never found.
     """
+    bounded_batches(docs.sparkSession)
     columns, passes = docs.columns, []
     for i, rows in enumerate(_blocks(benchmark, block_words)):
         if i:

@@ -19,13 +19,15 @@ comparison is exact on 64-bit shingle hashes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from shelfcast.llm.common import IS_SPACE, LOWER, mixed, run_hashes, slices, small, spans, stored
+from shelfcast.llm.common import IS_SPACE, LOWER, bounded_batches, mixed, run_hashes, slices, small, spans, stored
 from shelfcast.llm.components import components
 
 WORDS = 5
@@ -37,9 +39,8 @@ HEAVY_SAMPLE, HEAVY_LEAST, HEAVY_MOST, HEAVY_SALTS = 64, 48, 20_000, 512
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
-def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer than five words are one shingle, no words none."""
-    out: list[np.ndarray] = []
     none = np.zeros(0, np.uint64)
     for start, end, data, off in slices(texts):
         data = LOWER[data]
@@ -53,15 +54,14 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if b - a >= WORDS:
                 h = np.sort(runs[a : b - WORDS + 1])
-                out.append(h[np.concatenate([[True], h[1:] != h[:-1]])])
+                yield h[np.concatenate([[True], h[1:] != h[:-1]])]
             elif b > a:
                 short = np.array([b - a], np.uint64)
                 for i in range(b - a):
                     short += word[a + i : a + i + 1] * _ODD[i]
-                out.append(mixed(short))
+                yield mixed(short)
             else:
-                out.append(none)
-    return out
+                yield none
 
 
 def band(size: int) -> tuple[int, int]:
@@ -143,7 +143,7 @@ def _signature_column(text: Column, seed: int) -> Column:
 
 def _set_column(text: Column) -> Column:
     def gathered(texts: pa.Array) -> pa.Array:
-        parts = shingle_sets(texts)
+        parts = list(shingle_sets(texts))
         off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
         values = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
         return pa.ListArray.from_arrays(pa.array(off), pa.array(values))
@@ -294,6 +294,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     no shingles and are components of their own. Rows without doc_id join the component of their class (null if no row of the class has an id) but
     make no links. doc_id is taken to identify a text; of a doc_id with several texts each is classed by its own text.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     seed = 0
     while True:

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from shelfcast.llm.common import bounded_batches
+
 DIMENSIONS = 512
 SEED = 20240229
 UNKNOWN = "und"
@@ -136,6 +138,7 @@ def learn(docs: DataFrame) -> Profiles:
 
 def predict_language(docs: DataFrame, profiles: Profiles, text: str = "text") -> Column:
     """struct<lang, score> for a text column. The profiles (languages x DIMENSIONS numbers) are broadcast."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def predicted(texts: pa.Array) -> pa.Array:

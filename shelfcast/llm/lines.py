@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from shelfcast.llm.common import mixed, run_hashes, stored
+from shelfcast.llm.common import bounded_batches, mixed, run_hashes, stored
 
 #: Lines under the rolling hash, lines a chunk on average, and the most lines of one chunk.
 ROLL, AVERAGE, MOST = 2, 3, 64
@@ -90,6 +90,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     with map-side partial sums, so a chunk in a third of all texts stays one record a task; the texts are shuffled only to meet their
     own chunks' decisions.
     """
+    bounded_batches(docs.sparkSession)
     text = F.col("text").cast("binary")
     rows = docs.select("doc_id", "text")
     hashed = rows.select("doc_id", F.explode(_call(_hashed, "array<struct<place: int, lines: int, h: long, k: long>>", text)).alias("c")).where("c.lines > 1")

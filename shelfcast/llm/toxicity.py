@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from shelfcast.llm.common import words_of
+from shelfcast.llm.common import bounded_batches, words_of
 
 LABELLED_ROWS, TRAINING_ROWS = 12_000, 12_000
 #: Word beginnings have so many bytes; so many are kept, dealt over so many lexicon voters.
@@ -201,6 +201,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     Votes are counted over all docs. Labels of null are left out; without labels of both kinds the label model starts from a
     general guess and the fixed lexicon alone. Repeated labels count as often as they occur.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     known = F.broadcast(_bounded(labels.where("doc_id is not null and toxic is not null").select("doc_id", "toxic"), LABELLED_ROWS))
     labelled = rows.join(known, "doc_id")
@@ -226,6 +227,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
 
 def score(docs: DataFrame, classifier: Classifier, text: str = "text") -> Column:
     """Score from 0 to 1 of each whole text; null and empty texts get the score of no evidence."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def scored(texts: pa.Array) -> pa.Array:

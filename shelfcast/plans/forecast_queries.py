@@ -1 +1,181 @@
+"""Splits, forecasts, scores and backtests as queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfcast.functions.errors import clipped
+from shelfcast.operators import backtest, forecast
+from shelfcast.operators import features as fx
+from shelfcast.plans import adapters, sql
+from shelfcast.plans.cleaning_queries import scratch
+from shelfcast.plans.feature_queries import matrix
+from shelfcast.plans.registry import query
+from shelfcast.sources import io
+
+METRICS = "wape mae rmse bias"
+
+
+def steps() -> dict[str, str]:
+    """The matrix with split and three simple predictions."""
+    return sql.features(adapters.CLEAN) | {
+        "last": "SELECT max(business_date) AS d FROM feat",
+        "pred": """SELECT feat.*, CASE WHEN business_date >= d - 44 THEN 'test' WHEN business_date >= d - 89 THEN 'val' ELSE 'train' END AS split,
+          CASE WHEN demand_lag_7 IS NOT NULL THEN greatest(demand_lag_7, 0) END AS naive, CASE WHEN demand_rollmean_28 IS NOT NULL THEN greatest(demand_rollmean_28, 0) END AS mean28, CASE WHEN demand_rollmean_7 IS NOT NULL THEN greatest(demand_rollmean_7, 0) END AS mean7 FROM feat, last""",
+        "folds": "SELECT fold, test_end - 60 AS train_end, test_end - 59 AS val_start, test_end - 30 AS val_end, test_end - 29 AS test_start, test_end FROM (SELECT CAST(i AS BIGINT) AS fold, CAST(d - CAST((5 - i) * 30 AS INT) AS DATE) AS test_end FROM last, range(1, 6) AS r(i)) AS f",
+    }
+
+
+def _p(final: str, **types: str) -> str:
+    return sql.shown(sql.with_(steps(), final), **types)
+
+
+def _metrics(p: str) -> str:
+    return f"sum(abs(demand - {p})) / nullif(sum(abs(demand)), 0) AS wape, avg(abs({p} - demand)) AS mae, sqrt(avg(({p} - demand) * ({p} - demand))) AS rmse, avg({p} - demand) AS bias"
+
+
+def predicted(spark: SparkSession, d: str) -> DataFrame:
+    rows = forecast.temporal_split(matrix(spark, d))
+    rows = forecast.seasonal_naive(rows, "naive")
+    return rows.withColumn("mean28", clipped(F.col("demand_rollmean_28"))).withColumn("mean7", clipped(F.col("demand_rollmean_7")))
+
+
+_LONG = " UNION ALL ".join(f"SELECT '{m}' AS model, demand, {m} AS p FROM pred WHERE split = 'test'" for m in ("naive", "mean28", "mean7"))
+
+
+@query(_p("SELECT split, count(*) AS n_rows, min(business_date) AS first_day, max(business_date) AS last_day FROM pred GROUP BY split", dates="first_day last_day"))
+def temporal_split(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.split_profile(forecast.temporal_split(matrix(spark, d)))
+
+
+@query(_p("SELECT category, count(*) AS n FROM pred WHERE split IN ('train', 'val') GROUP BY category"))
+def training_rows(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.training_rows(forecast.temporal_split(matrix(spark, d))).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+_INPUTS = forecast.select_model_features([*fx.DAILY, *fx.CALENDAR, *fx.HISTORY])
+
+
+@query(_p("SELECT " + ", ".join(_INPUTS) + " FROM pred WHERE split = 'test'", doubles=" ".join(c for c in _INPUTS if c in fx.HISTORY and c != "txn_count_lag_1" or c in ("avg_unit_price", "dow_sin", "dow_cos", "month_sin", "month_cos")), longs=" ".join(c for c in fx.CALENDAR if not c.endswith(("sin", "cos")))))
+def select_model_features(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.temporal_split(matrix(spark, d)).where("split = 'test'").select(*_INPUTS)
+
+
+@query(_p("SELECT store_id, product, business_date, naive AS pred FROM pred WHERE split = 'test'", doubles="pred", dates="business_date"))
+def seasonal_naive(spark: SparkSession, d: str) -> DataFrame:
+    return predicted(spark, d).where("split = 'test'").select("store_id", "product", "business_date", F.col("naive").alias("pred"))
+
+
+@query(_p(f"SELECT {_metrics('naive')} FROM pred WHERE split = 'test'", doubles=METRICS))
+def forecast_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.forecast_metrics(predicted(spark, d).where("split = 'test'"), pred="naive")
+
+
+@query(_p("SELECT category, sum(abs(demand - naive)) / nullif(sum(abs(demand)), 0) AS wape FROM pred WHERE split = 'test' GROUP BY category", doubles="wape"))
+def segment_wape(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.segment_wape(predicted(spark, d).where("split = 'test'"), pred="naive")
+
+
+@query(_p(f"SELECT model, {_metrics('p')} FROM ({_LONG}) AS l GROUP BY model", doubles=METRICS))
+def compare_models(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.compare_models(predicted(spark, d).where("split = 'test'"), ["naive", "mean28", "mean7"])
+
+
+@query(_p(f"SELECT model, wape, 100 * ((SELECT wape FROM m WHERE model = 'naive') - wape) / (SELECT wape FROM m WHERE model = 'naive') AS lift_pct, model = (SELECT model FROM m ORDER BY wape, model LIMIT 1) AS is_best FROM m".replace("FROM m", f"FROM (SELECT model, {_metrics('p')} FROM ({_LONG}) AS l GROUP BY model) AS m"), doubles="wape lift_pct"))
+def lift_over_baseline(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.lift_over_baseline(forecast.compare_models(predicted(spark, d).where("split = 'test'"), ["naive", "mean28", "mean7"]), "naive")
+
+
+_GRID = """SELECT ROW_NUMBER() OVER (ORDER BY i, j) AS n, i / 10.0::DOUBLE AS a, j / 10.0::DOUBLE AS b, round(1 - i / 10.0::DOUBLE - j / 10.0::DOUBLE, 10) AS c FROM range(0, 11) AS x(i), range(0, 11) AS y(j) WHERE i + j <= 10"""
+_TUNED = f"SELECT a AS w_naive, b AS w_mean28, c AS w_mean7, wape FROM (SELECT n, a, b, c, round(sum(abs(demand - (a * naive + b * mean28 + c * mean7))) / nullif(sum(abs(demand)), 0), 9) AS wape FROM (SELECT * FROM pred WHERE split = 'val') AS v, ({_GRID}) AS g GROUP BY n, a, b, c) AS t ORDER BY t.wape, n LIMIT 1"
+
+
+@query(_p(_TUNED, doubles="w_naive w_mean28 w_mean7 wape"))
+def tune_ensemble_weights(spark: SparkSession, d: str) -> DataFrame:
+    best = forecast.tune_ensemble_weights(predicted(spark, d).where("split = 'val'"), ["naive", "mean28", "mean7"])
+    return best.withColumns({c: best[c].cast("double") for c in best.columns})
+
+
+@query(_p("SELECT store_id, product, business_date, 0.2 * naive + 0.5 * mean28 + 0.3 * mean7 AS pred FROM pred WHERE split = 'test'", doubles="pred", dates="business_date"))
+def blend_predictions(spark: SparkSession, d: str) -> DataFrame:
+    rows = forecast.blend_predictions(predicted(spark, d).where("split = 'test'"), {"naive": 0.2, "mean28": 0.5, "mean7": 0.3})
+    return rows.select("store_id", "product", "business_date", "pred")
+
+
+@query()
+def train_global_gbt(spark: SparkSession, d: str) -> DataFrame:
+    rows = predicted(spark, d).persist()
+    known = forecast.training_rows(rows).withColumn("_val", F.col("split") == "val")
+    model = forecast.train_global_gbt(known, _INPUTS, "_val", max_iter=8, depth=4)
+    return forecast.forecast_metrics(forecast.score(model, rows.where("split = 'test'")), ["category"])
+
+
+@query()
+def feature_importance(spark: SparkSession, d: str) -> DataFrame:
+    known = forecast.training_rows(predicted(spark, d)).persist()
+    return forecast.feature_importance(forecast.train_global_gbt(known, _INPUTS, max_iter=4, depth=4))
+
+
+@query()
+def seasonal_decomposition(spark: SparkSession, d: str) -> DataFrame:
+    rows = predicted(spark, d).persist()
+    test = rows.where("split = 'test'")
+    fitted = forecast.seasonal_decomposition_forecast(forecast.training_rows(rows), test)
+    both = forecast.fall_back(fitted, test.select("store_id", "product", "business_date", "category", "demand", F.col("naive").alias("pred")))
+    return forecast.forecast_metrics(both, ["category"])
+
+
+@query(_p("SELECT * FROM folds", dates="train_end val_start val_end test_start test_end", longs="fold"))
+def make_folds(spark: SparkSession, d: str) -> DataFrame:
+    return backtest.make_folds(matrix(spark, d))
+
+
+@query(_p("SELECT fold, CASE WHEN business_date <= train_end THEN 'train' WHEN business_date <= val_end THEN 'val' ELSE 'test' END AS block, count(*) AS n, sum(demand) AS demand FROM pred JOIN folds ON business_date <= test_end GROUP BY 1, 2", doubles="demand", longs="fold"))
+def assign_folds(spark: SparkSession, d: str) -> DataFrame:
+    m = matrix(spark, d).persist()
+    return backtest.assign_folds(m, backtest.make_folds(m)).groupBy("fold", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("demand").alias("demand"))
+
+
+_BASE = "SELECT fold, count(*) FILTER (business_date <= train_end) AS train_rows, sum(abs(demand - naive)) FILTER (business_date >= test_start) / nullif(sum(abs(demand)) FILTER (business_date >= test_start), 0) AS base_wape, avg(abs(naive - demand)) FILTER (business_date >= test_start) AS base_mae, avg(naive - demand) FILTER (business_date >= test_start) AS base_bias FROM pred JOIN folds ON business_date <= test_end GROUP BY fold HAVING count(*) FILTER (business_date BETWEEN val_start AND val_end) > 0"
+
+
+@query(_p(_BASE, doubles="base_wape base_mae base_bias", longs="fold"))
+def fold_baseline(spark: SparkSession, d: str) -> DataFrame:
+    m = matrix(spark, d).persist()
+    return backtest.fold_baseline(m, backtest.make_folds(m))
+
+
+@query(_p(_BASE, doubles="base_wape base_mae base_bias", longs="fold"))
+def write_fold_results(spark: SparkSession, d: str) -> DataFrame:
+    path, m = scratch(spark), matrix(spark, d).persist()
+    io.write_fold_results(backtest.fold_baseline(m, backtest.make_folds(m)), path)
+    return spark.read.schema("fold int, train_rows long, base_wape double, base_mae double, base_bias double").option("header", True).csv(path)
+
+
+_SCORED = "SELECT fold, sum(abs(demand - naive)) / nullif(sum(abs(demand)), 0) AS base_wape, sum(abs(demand - mean28)) / nullif(sum(abs(demand)), 0) AS model_wape FROM pred JOIN folds ON business_date BETWEEN test_start AND test_end GROUP BY fold"
+
+
+@query(_p(f"SELECT avg(base_wape) AS mean_base_wape, stddev_samp(base_wape) AS std_base_wape, avg(model_wape) AS mean_model_wape, stddev_samp(model_wape) AS std_model_wape, avg(i) AS mean_improvement_pct, stddev_samp(i) AS std_improvement_pct, count(*) FILTER (model_wape < base_wape) AS folds_won, count(*) AS folds FROM (SELECT *, 100 * (base_wape - model_wape) / base_wape AS i FROM ({_SCORED}) AS s) AS t", doubles="mean_base_wape std_base_wape mean_model_wape std_model_wape mean_improvement_pct std_improvement_pct"))
+def backtest_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = predicted(spark, d).persist()
+    test = backtest.assign_folds(rows, backtest.make_folds(rows)).where("block = 'test'")
+    base = forecast.forecast_metrics(test, ["fold"], "naive").select("fold", F.col("wape").alias("base_wape"))
+    both = base.join(forecast.forecast_metrics(test, ["fold"], "mean28").select("fold", F.col("wape").alias("model_wape")), "fold")
+    return backtest.backtest_summary(both.withColumn("improvement_pct", 100 * (F.col("base_wape") - F.col("model_wape")) / F.col("base_wape")))
+
+
+@query()
+def rolling_origin_backtest(spark: SparkSession, d: str) -> DataFrame:
+    return backtest.rolling_origin_backtest(matrix(spark, d), n_folds=2, max_iter=4, depth=4)
+
+
+@query()
+def ablation(spark: SparkSession, d: str) -> DataFrame:
+    return backtest.ablation_verdict(backtest.ablation(matrix(spark, d), max_iter=2, depth=3))
+
+
+@query("SELECT grp, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(['store_id', 'product', 'category']) AS c, 'categorical' AS grp UNION ALL SELECT unnest(['demand_lag_1', 'demand_lag_7', 'demand_lag_14', 'demand_lag_28']), 'lags' UNION ALL SELECT unnest(range(12)::VARCHAR[]), 'rolling' UNION ALL SELECT unnest(range(13)::VARCHAR[]), 'calendar' UNION ALL SELECT unnest(['avg_unit_price', 'price_change_1']), 'price_current' UNION ALL SELECT unnest(['price_lag_1', 'txn_count_lag_1']), 'price_past') AS t GROUP BY grp")
+def feature_groups(spark: SparkSession, d: str) -> DataFrame:
+    inputs = forecast.select_model_features(matrix(spark, d).columns)
+    return spark.createDataFrame([(g, len(c)) for g, c in backtest.feature_groups(inputs).items()], "grp string, n long")

@@ -16,7 +16,7 @@ ORACLES: dict[str, str] = {}
 
 def shown(df: DataFrame) -> DataFrame:
     """Results in types that engines print alike: doubles of six decimals, dates and times as text, whole numbers as long."""
-    forms = {"double": lambda c: F.round(c, 6), "date": lambda c: c.cast("string"), "timestamp": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss"), "int": lambda c: c.cast("long")}
+    forms = {"double": lambda c: F.round(c, 6) + 0.0, "date": lambda c: c.cast("string"), "timestamp": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss"), "int": lambda c: c.cast("long")}
     return df.select([forms.get(t, lambda c: c)(F.col(f"`{c}`")).alias(c) for c, t in df.dtypes])
 
 

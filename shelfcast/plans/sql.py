@@ -11,7 +11,7 @@ EARLIEST, LATEST = "1995-01-01 00:00:00", "2002-01-01 00:00:00"
 
 def shown(sql: str, doubles: str = "", dates: str = "", longs: str = "") -> str:
     """Doubles rounded, dates as text, counts as BIGINT."""
-    parts = [f"round({c}, 6) AS {c}" for c in doubles.split()] + [f"CAST({c} AS VARCHAR) AS {c}" for c in dates.split()] + [f"CAST({c} AS BIGINT) AS {c}" for c in longs.split()]
+    parts = [f"round({c}, 6) + 0.0 AS {c}" for c in doubles.split()] + [f"CAST({c} AS VARCHAR) AS {c}" for c in dates.split()] + [f"CAST({c} AS BIGINT) AS {c}" for c in longs.split()]
     return f"SELECT * REPLACE ({', '.join(parts)}) FROM ({sql}) AS shown" if parts else sql
 
 
@@ -70,7 +70,7 @@ def features(source: str) -> dict[str, str]:
     """daily, span, full (gap-free), cal, hist (history columns, all rows), feat (the matrix)."""
     return daily(source) | {
         "span": "SELECT CAST(unnest(generate_series(min(business_date), max(business_date), INTERVAL 1 DAY)) AS DATE) AS business_date FROM daily",
-        "full": """SELECT g.store_id, g.product, g.business_date, g.category, coalesce(demand, 0.0) AS demand, coalesce(revenue, 0.0) AS revenue, coalesce(txn_count, 0) AS txn_count, avg_unit_price, coalesce(refund_units, 0.0) AS refund_units, coalesce(outlier_txns, 0) AS outlier_txns
+        "filled": """SELECT g.store_id, g.product, g.business_date, g.category, coalesce(demand, 0.0) AS demand, coalesce(revenue, 0.0) AS revenue, coalesce(txn_count, 0) AS txn_count, avg_unit_price, coalesce(refund_units, 0.0) AS refund_units, coalesce(outlier_txns, 0) AS outlier_txns
           FROM (SELECT DISTINCT store_id, product, category, span.business_date FROM daily, span) AS g LEFT JOIN daily AS d ON g.store_id = d.store_id AND g.product = d.product AND g.business_date = d.business_date""",
         "holidays": f"SELECT holiday FROM (VALUES {_HOLIDAYS}) AS t(holiday) WHERE year(holiday) BETWEEN (SELECT min(year(business_date)) FROM span) AND (SELECT max(year(business_date)) FROM span)",
         "cal": """SELECT business_date, isodow(business_date) - 1 AS dow, CASE WHEN isodow(business_date) >= 6 THEN 1 ELSE 0 END AS is_weekend, day(business_date) AS day_of_month, month(business_date) AS month, week(business_date) AS week_of_year, dayofyear(business_date) AS day_of_year,
@@ -79,7 +79,7 @@ def features(source: str) -> dict[str, str]:
         "hist0": f"""SELECT *, last_value(avg_unit_price IGNORE NULLS) OVER (PARTITION BY store_id, product ORDER BY business_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS price, row_number() OVER ({_W}) - 1 AS position,
           lag(demand, 1) OVER w AS demand_lag_1, lag(demand, 7) OVER w AS demand_lag_7, lag(demand, 14) OVER w AS demand_lag_14, lag(demand, 28) OVER w AS demand_lag_28, lag(demand, 8) OVER w AS b8, lag(demand, 15) OVER w AS b15, lag(demand, 22) OVER w AS b22,
           {_ROLL}, CASE WHEN count(demand) OVER we >= 7 THEN avg(demand) OVER we END AS demand_expanding_mean, lag(txn_count, 1) OVER w AS txn_count_lag_1
-          FROM full WINDOW w AS ({_W}), w7 AS ({_W} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), w14 AS ({_W} ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING), w28 AS ({_W} ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING), we AS ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""".replace("FROM full ", 'FROM "full" '),
+          FROM filled WINDOW w AS ({_W}), w7 AS ({_W} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), w14 AS ({_W} ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING), w28 AS ({_W} ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING), we AS ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
         "hist": f"""SELECT * EXCLUDE (avg_unit_price, price, b8, b15, b22), price AS avg_unit_price, demand_lag_1 - demand_lag_7 AS demand_momentum_7, lag(price, 1) OVER ({_W}) AS price_lag_1, price - lag(price, 1) OVER ({_W}) AS price_change_1,
           CASE WHEN position >= 7 AND position NOT IN (7, 14, 21) THEN (coalesce(demand_lag_1, 0) + coalesce(b8, 0) + coalesce(b15, 0) + coalesce(b22, 0)) / ((demand_lag_1 IS NOT NULL)::INT + (b8 IS NOT NULL)::INT + (b15 IS NOT NULL)::INT + (b22 IS NOT NULL)::INT) END AS demand_same_dow_mean4 FROM hist0""",
         "feat": "SELECT h.* EXCLUDE (position), c.* EXCLUDE (business_date) FROM hist AS h JOIN cal AS c ON h.business_date = c.business_date WHERE position >= 28",

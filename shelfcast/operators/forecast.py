@@ -55,7 +55,7 @@ def train_global_gbt(rows: DataFrame, columns: list[str], validation: str | None
     vector = VectorAssembler(inputCols=[*(f"_{c}" for c in cats), *numeric], outputCol="_features", handleInvalid="skip")
     trees = GBTRegressor(featuresCol="_features", labelCol="demand", predictionCol="_raw_pred", lossType="absolute", maxIter=max_iter, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=40, maxBins=64, seed=seed)
     if validation:
-        trees = trees.setValidationIndicatorCol(validation).setValidationTol(0.001)
+        trees = trees.setParams(validationIndicatorCol=validation, validationTol=0.001)
     return Pipeline(stages=[*index, vector, trees]).fit(rows)
 
 

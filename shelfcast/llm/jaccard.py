@@ -186,8 +186,8 @@ def _heavy(texts: DataFrame, seed: int) -> DataFrame:
     return sample.where(F.col("count") >= max(HEAVY_LEAST, total // HEAVY_MOST)).select("sig", (F.col("count") * HEAVY_SAMPLE).alias("heavy"))
 
 
-def _picked(texts: DataFrame, classes: DataFrame, copies: DataFrame, n_copies: int, seed: int) -> DataFrame:
-    """For each class its cheapest signatures that other classes have too, in its own band and the one below; `typical` is the share that no other has."""
+def _shared(texts: DataFrame, classes: DataFrame, copies: DataFrame, n_copies: int, seed: int) -> DataFrame:
+    """For each class the signatures that other classes have too, with their cost; `typical` is the mean number of owners, negated: less is more typical."""
     signed = texts.select("doc_id", _signature_column(F.col("text"), seed).alias("s")).select("doc_id", "s.a", "s.signatures")
     signed = signed.join(small(copies, n_copies), ["doc_id", "a"], "left_anti")
     rows = signed.select(F.col("doc_id").alias("doc"), F.explode("signatures").alias("sig"))
@@ -199,6 +199,13 @@ def _picked(texts: DataFrame, classes: DataFrame, copies: DataFrame, n_copies: i
     rows = rows.where(F.col("heavy").isNotNull() | ~F.col("alone"))
     shared = rows.groupBy("doc").agg(F.collect_set(F.struct("cost", "sig")).alias("shared"))
     shared = shared.join(classes.select(F.col("rep").alias("doc"), "n_shingles", "parity", "n_own", "n_below"), "doc")
+    n = F.col("n_own") + F.col("n_below")
+    owners = F.aggregate("shared", F.lit(0.0), lambda acc, x: acc + x["cost"]) + (n - F.size("shared"))
+    return stored(shared.withColumn("typical", -owners / n), "shared")
+
+
+def _picked(shared: DataFrame) -> DataFrame:
+    """The cheapest signatures of each class, in its own band and the one below, as many as the pigeonhole needs."""
     size, n_own, n_below = F.col("n_shingles"), F.col("n_own"), F.col("n_below")
     for name, parity in (("own", F.col("parity")), ("below", 1 - F.col("parity"))):
         shared = shared.withColumn(name, _of_parity(F.col("shared"), parity))
@@ -207,7 +214,7 @@ def _picked(texts: DataFrame, classes: DataFrame, copies: DataFrame, n_copies: i
     own = F.when(size <= TINY, F.size("own")).otherwise(F.greatest(F.lit(0), need - n_own + F.size("own"))).cast("int")
     below = F.when(size == TINY + 1, F.size("below")).otherwise(F.greatest(F.lit(0), need_below - n_below + F.size("below"))).cast("int")
     out = shared.select(
-        F.col("doc"), size.alias("size"), ((n_own + n_below - F.size("shared")) / (n_own + n_below)).alias("typical"),
+        "doc", size.alias("size"), "typical",
         F.slice("own", 1, own)["sig"].alias("own"), (n_own - F.size("own")).alias("own_alone"), "n_own",
         F.slice("below", 1, below)["sig"].alias("below"), (n_below - F.size("below")).alias("below_alone"), "n_below",
     )
@@ -224,11 +231,12 @@ def _exploded(picked: DataFrame) -> DataFrame:
     return parts[0].union(parts[1]).select("doc", "size", "typical", "sig", (F.col("alone") + F.col("i") + 1).alias("position"), "n")
 
 
-def _pivots(picked: DataFrame) -> DataFrame:
-    """doc, size, pivot, pivot_size: the set that most of a document's buckets call their most typical."""
-    rows = _exploded(picked).select("doc", "size", "typical", "sig")
-    heads = rows.groupBy("sig").agg(F.min(F.struct("typical", "doc", "size")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    votes = rows.join(heads, "sig").groupBy("doc", "size", F.col("head.typical").alias("typical"), F.col("head.doc").alias("pivot"), F.col("head.size").alias("pivot_size")).count()
+def _pivots(shared: DataFrame, picked: DataFrame) -> DataFrame:
+    """doc, size, pivot, pivot_size for classes with picked signatures: the set that is the most typical owner of most of a class's shared signatures."""
+    owners = shared.select("doc", "typical", F.col("n_shingles").alias("size"), F.explode("shared.sig").alias("sig"))
+    heads = owners.groupBy("sig").agg(F.min(F.struct("typical", "doc", "size")).alias("head"))
+    rows = owners.join(picked.select("doc"), "doc", "left_semi").join(heads, "sig")
+    votes = rows.groupBy("doc", "size", F.col("head.typical").alias("typical"), F.col("head.doc").alias("pivot"), F.col("head.size").alias("pivot_size")).count()
     best = votes.groupBy("doc").agg(F.max(F.struct("count", -F.col("typical"), "pivot", "pivot_size", "size")).alias("b"))
     return stored(best.select("doc", "b.size", "b.pivot", "b.pivot_size"), "pivots")
 
@@ -308,8 +316,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stored(members, "classed")
     copies = members.where("rep is not null and (doc_id is null or doc_id <> rep)").select("doc_id", "a").distinct()
     texts = texts.where("doc_id is not null")
-    picked = _picked(texts, classes.where("rep is not null"), copies, copies.count(), seed)
-    pivots = _pivots(picked)
+    shared = _shared(texts, classes.where("rep is not null"), copies, copies.count(), seed)
+    picked = _picked(shared)
+    pivots = _pivots(shared, picked)
     pairs = pivots.where("doc <> pivot").select(F.col("doc").alias("x"), F.col("pivot").alias("y"), "size", "pivot_size")
     checked = _compared(texts, pairs).select(F.col("x").alias("doc"), F.col("y").alias("pivot"), "size", _linked(F.size("difference"), F.col("size"), F.col("pivot_size")).alias("linked"), "difference")
     checked = stored(checked, "checked")

@@ -24,7 +24,7 @@ LOWER = np.array([c + 32 if c in _UPPER else c for c in range(256)], np.uint8)
 IS_SPACE = np.array([c in _SPACE for c in range(256)])
 #: Narrow tables (ids, sources) of up to so many rows are broadcast.
 BROADCAST_ROWS = 2_000_000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _own_folder: dict[str, str] = {}
 
 
@@ -56,7 +56,7 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of about `limit` bytes (one row at least), each with its bytes and its rows' offsets in them. Null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     _, offsets, data = texts.buffers()
@@ -99,7 +99,7 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        n = max(n, 1 << 21)
+        n = max(n, 1 << 19)
         for base in (_BASE, pow(_BASE, -1, 2**64)):
             steps = np.full(n + 1, base, np.uint64)
             steps[0] = 1

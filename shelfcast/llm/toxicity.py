@@ -14,11 +14,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -35,7 +34,7 @@ ADDRESS = frozenset(b"you your u ur are she he they".split())
 _SHOUT, _CRY, _DRAWL = re.compile(rb"\b[A-Z]{4,}\b"), re.compile(rb"[!?]{2,}"), re.compile(rb"([a-z])\1{3,}")
 _STEPS = (0.002, 0.005, 0.008, 0.011, 0.014, 0.017)
 VOTERS = LEXICONS + 10
-N_FEATURES = ROOTS + LEXICONS + 2 * len(_STEPS) + 9
+N_FEATURES = ROOTS + LEXICONS + 2 * len(_STEPS) + 8
 
 
 @dataclass(frozen=True)
@@ -44,14 +43,17 @@ class Lexicon:
 
     roots: tuple[bytes, ...]
 
+    @cached_property
+    def _index(self) -> tuple[set[bytes], dict[bytes, int], list[int]]:
+        """First bytes of the roots, their places, and their lengths, longest first."""
+        return {r[:SHORTEST] for r in self.roots}, {r: i for i, r in enumerate(self.roots)}, sorted({len(r) for r in self.roots}, reverse=True)
+
     def evidence(self, text: bytes | None) -> tuple[np.ndarray, int]:
         """Feature vector of a whole text and its votes as bits."""
         words = words_of(text)
         n = max(1, len(words))
-        heads = {r[:SHORTEST] for r in self.roots}
+        heads, place, lengths = self._index
         by_root = np.zeros(ROOTS)
-        place = {r: i for i, r in enumerate(self.roots)}
-        lengths = sorted({len(r) for r in self.roots}, reverse=True)
         for w in [w for w in words if w[:SHORTEST] in heads]:
             for k in lengths:
                 i = place.get(w[:k]) if len(w) >= k else None
@@ -64,10 +66,10 @@ class Lexicon:
         shout, cry, drawl = len(_SHOUT.findall(raw)) / n, len(_CRY.findall(raw)) / n, len(_DRAWL.findall(raw)) / n
         groups = np.array([by_root[i::LEXICONS].sum() for i in range(LEXICONS)]) / n
         learned, fixed = by_root.sum() / n, len(at) / n
-        clean = len(words) >= 50 and not learned and not at
+        clean = not learned and not at
         features = np.concatenate([
             np.minimum(by_root / n * 100, 1), np.minimum(groups * 50, 1), [learned >= s for s in _STEPS], [fixed >= s for s in _STEPS],
-            [min(learned * 50, 2), min(fixed * 50, 2), addressed, min(shout * 20, 1), min(cry * 20, 1), min(drawl * 20, 1), clean, np.log1p(len(words)) / 10, by_root.sum() >= 2],
+            [min(learned * 50, 2), min(fixed * 50, 2), addressed, min(shout * 20, 1), min(cry * 20, 1), min(drawl * 20, 1), clean, by_root.sum() >= 2],
         ])
         votes = [*(groups >= 0.003), learned >= 0.006, learned >= 0.01, learned >= 0.014, fixed >= 0.003, fixed >= 0.01, addressed, shout >= 0.05, cry >= 0.02, drawl >= 0.02, clean]
         return features, sum(1 << i for i, v in enumerate(votes) if v)
@@ -201,6 +203,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     Votes are counted over all docs. Labels of null are left out; without labels of both kinds the label model starts from a
     general guess and the fixed lexicon alone. Repeated labels count as often as they occur.
     """
+    from pyspark.ml.classification import LogisticRegression  # here, as the workers that score have no use for it
+    from pyspark.ml.functions import array_to_vector
+
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     known = F.broadcast(_bounded(labels.where("doc_id is not null and toxic is not null").select("doc_id", "toxic"), LABELLED_ROWS))

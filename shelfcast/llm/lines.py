@@ -1,7 +1,7 @@
 """Line dedup by content-defined chunks of lines.
 
-A text is cut after lines where a rolling hash over the last lines' hashes falls on a boundary, so the cuts move with the content
-when lines are put in above. A chunk of two or more lines that occurs more than once in the corpus is kept at its first place
+A text is cut after a line where a rolling hash over the last lines' hashes falls on a boundary and did not one line before. That looks at
+a few lines only, so cuts move with the content when lines are put in above, and a chunk between two cuts has two lines at least. A chunk of two or more lines that occurs more than once in the corpus is kept at its first place
 (least doc_id, then place) and removed everywhere else. Hashes only nominate chunks; what is removed was equal byte for byte.
 """
 
@@ -17,8 +17,8 @@ from pyspark.sql.functions import arrow_udf
 
 from shelfcast.llm.common import bounded_batches, mixed, run_hashes, stored
 
-#: Lines under the rolling hash, lines a chunk on average, and the most lines of one chunk.
-ROLL, AVERAGE, MOST = 2, 3, 64
+#: Lines under the rolling hash, one line in so many is a boundary, and the most lines of one chunk.
+ROLL, AVERAGE, MOST = 2, 2, 64
 
 
 def chunks(text: bytes | None) -> list[tuple[int, int, int]]:
@@ -35,10 +35,11 @@ def chunks(text: bytes | None) -> list[tuple[int, int, int]]:
     for back in range(1, ROLL):
         roll[back:] += h[:-back] * np.uint64(2 * back + 1)
     cut = mixed(roll) % np.uint64(AVERAGE) == 0
+    cut[1:] &= ~cut[:-1].copy()
     out, begun, lines = [], 0, 0
     for a, end in zip(after.tolist(), cut.tolist(), strict=True):
         lines += 1
-        if end and lines > 1 or lines == MOST or a == len(data):
+        if end or lines == MOST or a == len(data):
             out.append((begun, a, lines))
             begun, lines = a, 0
     return out

@@ -27,7 +27,8 @@ from shelfcast.llm.common import bounded_batches, words_of
 LABELLED_ROWS, TRAINING_ROWS = 12_000, 12_000
 #: Word beginnings have so many bytes; so many are kept, dealt over so many lexicon voters.
 SHORTEST, LONGEST, ROOTS, LEXICONS = 4, 10, 64, 4
-LEAST_COUNT, LEAST_RATIO, LEAST_EVIDENCE = 6, 4.0, 20.0
+#: A beginning stands in so many toxic texts at least, and in this share of them; it is so many times as frequent as in clean ones.
+LEAST_TEXTS, LEAST_SHARE, LEAST_RATIO, LEAST_EVIDENCE = 3, 0.015, 4.0, 6.0
 #: Common English insults, and words of address.
 INSULTS = frozenset(b"clown creep disgusting dumb fool freak garbage idiot idiots imbecile jerk loser losers moron morons pathetic pig scum stupid trash vermin worthless".split())
 ADDRESS = frozenset(b"you your u ur are she he they".split())
@@ -79,29 +80,37 @@ def learn_lexicon(labelled: DataFrame) -> Lexicon:
     """Word beginnings that toxic rows of labelled (text, toxic) show far more often; counts are summed by Spark, at most 8 * ROOTS come to the driver."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of: tuple[Counter, Counter] = (Counter(), Counter())
+        of: tuple[dict, dict] = ({}, {})
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                mine = of[1 if toxic else 0]
+                mine: Counter = Counter()
                 for w, n in Counter(words_of(text)).items():
                     mine[b""] += n
                     for k in range(SHORTEST, min(LONGEST, len(w)) + 1):
                         mine[w[:k]] += n
-        for keys, toxic in ((list(of[0]), 0), (list(of[1]), 1)):
-            for i in range(0, len(keys), 50_000):
-                some = keys[i : i + 50_000]
-                yield pa.RecordBatch.from_pydict({"root": pa.array(some, pa.binary()), "toxic": pa.array([toxic] * len(some), pa.int32()), "n": pa.array([of[toxic][k] for k in some], pa.int64())})
-
-    parts = labelled.select(F.col("text").cast("binary"), F.col("toxic").cast("int")).mapInArrow(counted, "root binary, toxic int, n long")
-    counts = parts.groupBy("root").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
-    counts = counts.where((F.col("a") >= LEAST_COUNT)).persist()
+                total = of[1 if toxic else 0]
+                for root, n in mine.items():
+                    words, texts = total.get(root, (0, 0))
+                    total[root] = (words + n, texts + 1)
+        for counts, toxic in ((of[0], 0), (of[1], 1)):
+            keys = list(counts)
+            for i in range(0, len(keys), 20_000):
+                some = keys[i : i + 20_000]
+                yield pa.RecordBatch.from_pydict({"root": pa.array(some, pa.binary()), "toxic": pa.array([toxic] * len(some), pa.int32()), "words": pa.array([counts[k][0] for k in some], pa.int64()), "texts": pa.array([counts[k][1] for k in some], pa.int64())})
+
+    distinct = labelled.select(F.col("text").cast("binary").alias("text"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates()
+    parts = distinct.mapInArrow(counted, "root binary, toxic int, words long, texts long")
+    sums = [F.sum(F.when(F.col("toxic") == t, F.col(c)).otherwise(0)).alias(f"{c}_{t}") for c in ("words", "texts") for t in (0, 1)]
+    counts = parts.groupBy("root").agg(*sums).where(F.col("texts_1") >= LEAST_TEXTS).persist()
     whole = counts.where(F.octet_length("root") == 0).first()
-    if whole is None or not whole["b"]:
+    if whole is None or not whole["texts_0"]:
         counts.unpersist()
         return Lexicon(())
-    p, q = F.col("a") / float(whole["a"]), (F.col("b") + 0.5) / float(whole["b"])
-    gain = F.col("a") * F.ln(p / q) - (F.col("a") - F.lit(float(whole["a"])) * q)
-    best = counts.where((F.octet_length("root") > 0) & (p >= LEAST_RATIO * q) & (gain >= LEAST_EVIDENCE)).orderBy(gain.desc(), F.octet_length("root").desc(), "root").limit(8 * ROOTS)
+    rate = (F.col("words_1") / float(whole["words_1"])) / ((F.col("words_0") + 0.5) / float(whole["words_0"]))
+    p, q = F.col("texts_1") / float(whole["texts_1"]), (F.col("texts_0") + 0.5) / float(whole["texts_0"])
+    gain = F.col("texts_1") * F.ln(p / q) - (F.col("texts_1") - F.lit(float(whole["texts_1"])) * q)
+    known = (F.octet_length("root") > 0) & (p >= LEAST_SHARE) & (rate >= LEAST_RATIO) & (p > q) & (gain >= LEAST_EVIDENCE)
+    best = counts.where(known).orderBy(gain.desc(), F.octet_length("root").desc(), "root").limit(8 * ROOTS)
     roots: list[bytes] = []
     for row in best.collect():
         r = bytes(row["root"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.session import SETTINGS
+from shelfcast.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,8 +25,7 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
     def register(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", SETTINGS["spark.sql.session.timeZone"])
-            return shown(f(spark, sf_dir))
+            return shown(f(prepare(spark), sf_dir))
 
         QUERIES[f.__name__.rstrip("_")] = run
         if oracle is not None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -17,3 +19,13 @@ def build_session(app: str = "shelfcast", master: str | None = None, **extra: st
     """A session in UTC with adaptive execution on. On a cluster, leave master out."""
     builder = SparkSession.builder.appName(app).config(map=SETTINGS | extra)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """The session in UTC, with this package on the path of Python workers (where it isn't installed on them)."""
+    spark.conf.set("spark.sql.session.timeZone", SETTINGS["spark.sql.session.timeZone"])
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+    return spark

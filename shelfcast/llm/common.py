@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfcast.session import prepare
+
 _SPACE = frozenset(b"\x20\x09\x0a\x0b\x0c\x0d")
 _UPPER = bytes(range(65, 91))
 #: Lower-cases A-Z and turns every byte outside 0-9, a-z and the non-ASCII range into a space.
@@ -47,7 +49,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches end at BATCH_BYTES, so a Python worker's memory follows its longest texts and not a count of rows."""
+    """Arrow batches end at BATCH_BYTES, so a Python worker's memory follows its longest texts and not a count of rows. Workers find this package."""
+    prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 

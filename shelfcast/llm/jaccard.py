@@ -260,7 +260,7 @@ def _within_pivot(checked: DataFrame) -> DataFrame:
     pivot already; else they share an element of X and Y, and the rarest one they share stands early enough in both.
     """
     open_pivots = checked.where("not linked").select("pivot").distinct()
-    rows = checked.where("pivot <> doc").join(open_pivots, "pivot", "left_semi").withColumn("n", F.size("difference"))
+    rows = checked.where("pivot <> doc").join(small(open_pivots, open_pivots.count()), "pivot", "left_semi").withColumn("n", F.size("difference"))
     elements = rows.select("pivot", "doc", "size", "linked", "n", F.explode("difference").alias("element"))
     counts = elements.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("cost"))
     ordered = elements.join(counts, ["pivot", "element"]).groupBy("pivot", "doc", "size", "linked", "n")

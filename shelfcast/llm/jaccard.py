@@ -333,3 +333,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = members.join(joined, F.col("at") == F.col("old"), "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("new", "at"))
     return members.select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+#: The same classes by counting the shared shingles of all pairs, for comparison on small tables.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s0 AS (SELECT doc_id, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + n - 1], ' ') AS k FROM s0),
+z AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS u, y.doc_id AS v, count(*) AS n FROM s x JOIN s y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT u, v FROM c JOIN z a ON a.doc_id = u JOIN z b ON b.doc_id = v WHERE 100 * c.n >= 80 * (a.n + b.n - c.n)),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.v),
+least_of AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN z USING (doc_id) LEFT JOIN least_of ON least_of.u = d.doc_id
+"""

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from shelfcast.llm.common import bounded_batches, words_of
+from shelfcast.llm.common import bounded_batches, stored, words_of
 
 LABELLED_ROWS, TRAINING_ROWS = 12_000, 12_000
 #: Word beginnings have so many bytes; so many are kept, dealt over so many lexicon voters.
@@ -228,7 +228,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     posterior = dict(zip(patterns["votes"].tolist(), model.posterior(_unpacked(patterns["votes"].to_numpy(np.int64))).tolist(), strict=True))
     belief = docs.sparkSession.createDataFrame(list(posterior.items()), "votes long, belief double")
     chosen = F.broadcast(_bounded(rows.select("doc_id").where("doc_id is not null"), TRAINING_ROWS).distinct())
-    sample = rows.join(chosen, "doc_id").select(_evidence_column(lexicon, F.col("text")).alias("e")).select("e.features", "e.votes").join(F.broadcast(belief), "votes")
+    # Stored, as the null check of the join on votes would otherwise be made below the join with `chosen`, on the evidence of every document.
+    sample = stored(rows.join(chosen, "doc_id").select("text"), "toxicity-sample")
+    sample = sample.select(_evidence_column(lexicon, F.col("text")).alias("e")).select("e.features", "e.votes").join(F.broadcast(belief), "votes")
     both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("belief").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("belief")).alias("weight"))))
     sample = sample.select(array_to_vector("features").alias("features"), both.alias("s")).select("features", "s.*").where("weight > 0.0001").persist()
     if sample.isEmpty():

@@ -1,14 +1,15 @@
-"""Line dedup by content-defined chunks of lines.
-
-A text is cut after a line where a rolling hash over the last lines' hashes falls on a boundary and did not one line before. That looks at
-a few lines only, so cuts move with the content when lines are put in above, and a chunk between two cuts has two lines at least. A chunk of two or more lines that occurs more than once in the corpus is kept at its first place
-(least doc_id, then place) and removed everywhere else. Hashes only nominate chunks; what is removed was equal byte for byte.
+"""Line dedup by content-defined chunks and two-line windows.
+
+Two families of pieces are compared. One is content-defined: a text is cut after a line where a rolling hash over the last lines' hashes falls on a boundary and did not
+one line before, so cuts move with the content when lines are put in above. The other begins a window of two lines at every line, so that each adjacent
+pair of lines is in a piece whatever surrounds it. A piece of two lines or more that occurs more than once in its family is kept at its first
+place (least doc_id, then row, then place) and its lines are removed everywhere else. Windows that overlap extend each other line by line, so a repeated passage of two or more
+lines goes as a whole. A line that repeats without a repeated neighbour stays, and every line stays at its first place. Blank lines are lines.
+Hashes only nominate pieces; what is removed was equal byte for byte.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,37 +46,57 @@ def chunks(text: bytes | None) -> list[tuple[int, int, int]]:
     return out
 
 
-_CHUNK = pa.list_(pa.struct([("place", pa.int32()), ("lines", pa.int32()), ("h", pa.int64()), ("k", pa.int64())]))
+def _lines(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and byte after (without the line feed) of each line."""
+    feeds = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
+    first, until = np.concatenate([[0], feeds + 1]), np.append(feeds, len(text))
+    return (first[:-1], until[:-1]) if first[-1] == len(text) else (first, until)
+
+
+def _pieces_of(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place (line), chunk lines (0: a window of two lines), first byte and byte after of each piece of two lines or more."""
+    first, until = _lines(text) if text else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    n = np.array([lines for _, _, lines in chunks(text)], np.int64)
+    begins = np.cumsum(n) - n
+    begins, n = begins[n > 1], n[n > 1]
+    windows = np.arange(max(0, len(first) - 1))
+    place, chunk = np.concatenate([windows, begins]), np.concatenate([np.zeros(len(windows), np.int64), n])
+    return place, chunk, first[place], until[place + np.maximum(chunk, 2) - 1]
 
 
 def _hashed(texts: pa.Array) -> pa.Array:
-    out = []
+    sizes, columns = [0], [[], [], []]
     for text in texts:
         text = text.as_py()
-        mine = []
-        for place, (a, b, lines) in enumerate(chunks(text)):
-            digest = hashlib.blake2b(text[a:b].rstrip(b"\n"), digest_size=16).digest()
-            mine.append({"place": place, "lines": lines, "h": int.from_bytes(digest[:8], "big", signed=True), "k": int.from_bytes(digest[8:], "big", signed=True)})
-        out.append(mine)
-    return pa.array(out, _CHUNK)
+        place, chunk, a, b = _pieces_of(text)
+        sizes.append(len(place))
+        if len(place):
+            for column, values in zip(columns, (place, chunk, run_hashes(np.frombuffer(text, np.uint8), a, b).view(np.int64)), strict=True):
+                column.append(values)
+    flat = [np.concatenate([np.zeros(0, np.int64), *column]) for column in columns]
+    pieces = pa.StructArray.from_arrays([pa.array(flat[0].astype(np.int32)), pa.array(flat[1].astype(np.int32)), pa.array(flat[2])], ["place", "chunk", "h"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pieces)
 
 
-def _pieces(texts: pa.Array, places: pa.Array) -> pa.Array:
+def _bytes(texts: pa.Array, wanted: pa.Array) -> pa.Array:
     out = []
-    for text, wanted in zip(texts, places, strict=True):
+    for text, pieces in zip(texts, wanted, strict=True):
         text = text.as_py()
-        cuts = chunks(text)
-        out.append([{"place": p, "bytes": text[cuts[p][0] : cuts[p][1]].rstrip(b"\n")} for p in wanted.as_py()])
-    return pa.array(out, pa.list_(pa.struct([("place", pa.int32()), ("bytes", pa.binary())])))
+        first, until = (x.tolist() for x in _lines(text))
+        out.append([p | {"bytes": text[first[p["place"]] : until[p["place"] + max(p["chunk"], 2) - 1]]} for p in pieces.as_py()])
+    return pa.array(out, pa.list_(pa.struct([("place", pa.int32()), ("chunk", pa.int32()), ("bytes", pa.binary())])))
 
 
 def _without(texts: pa.Array, places: pa.Array) -> pa.Array:
     out = []
     for text, gone in zip(texts, places, strict=True):
-        text = text.as_py()
-        cuts, drop = chunks(text), set(gone.as_py() or ())
-        kept = b"".join(text[a:b] for p, (a, b, _) in enumerate(cuts) if p not in drop) if text is not None else None
-        out.append({"n_lines": sum(n for _, _, n in cuts), "n_chunks": len(cuts), "removed_lines": sum(cuts[p][2] for p in drop), "removed_chunks": len(drop), "kept": None if kept is None else kept.decode("utf-8", "replace")})
+        text, gone = text.as_py(), gone.as_py() or []
+        cuts = chunks(text)
+        kept, drop = text, {i for p in gone for i in range(p["place"], p["place"] + max(p["chunk"], 2))}
+        if drop:
+            starts = [*_lines(text)[0].tolist(), len(text)]
+            kept = b"".join(text[a:b] for i, (a, b) in enumerate(zip(starts, starts[1:], strict=False)) if i not in drop)
+        out.append({"n_lines": sum(n for _, _, n in cuts), "n_chunks": len(cuts), "removed_lines": len(drop), "removed_chunks": sum(p["chunk"] > 0 for p in gone), "kept": None if kept is None else kept.decode("utf-8", "replace")})
     return pa.array(out, pa.struct([("n_lines", pa.int64()), ("n_chunks", pa.int64()), ("removed_lines", pa.int64()), ("removed_chunks", pa.int64()), ("kept", pa.string())]))
 
 
@@ -84,26 +105,27 @@ def _call(f, schema: str, *columns: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_chunks, removed_lines, removed_chunks, kept (the text without repeated chunks) for every row of docs (doc_id, text).
+    """doc_id, n_lines, n_chunks, removed_lines, removed_chunks, kept (the text without repeated passages) for every row of docs (doc_id, text).
 
-    Null stays null and empty stays empty. Rows that repeat a doc_id are one document to the removal: its chunks' places are decided once. A trailing line feed is not
-    part of a chunk's bytes, so a passage at the end of a text equals the same passage in the middle. Counting is by (hash, hash)
-    with map-side partial sums, so a chunk in a third of all texts stays one record a task; the texts are shuffled only to meet their
-    own chunks' decisions.
+    removed_chunks counts the content-defined chunks that repeat an earlier one. Null stays null and empty stays empty. The last line feed is not
+    part of a piece's bytes, so a passage at the end of a text equals the same passage in the middle. All decisions are by a stored row id: rows that repeat a doc_id
+    are documents of their own, in the order of their rows, and rows without doc_id come after all others. Counting is by hash
+    with map-side partial sums, so a piece in a third of all texts stays one record a task; the texts are shuffled only to meet their
+    own pieces' decisions.
     """
     bounded_batches(docs.sparkSession)
     text = F.col("text").cast("binary")
-    rows = docs.select("doc_id", "text")
-    hashed = rows.select("doc_id", F.explode(_call(_hashed, "array<struct<place: int, lines: int, h: long, k: long>>", text)).alias("c")).where("c.lines > 1")
-    hashed = stored(hashed.select("doc_id", "c.place", "c.h", "c.k"), "chunk-hashes")
-    first = F.min(F.struct("doc_id", "place"))
-    repeated = hashed.groupBy("h", "k").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).where("n > 1").select("h", "k")
-    wanted = hashed.join(repeated, ["h", "k"]).where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    pieces = rows.join(wanted, "doc_id").select("doc_id", F.explode(_call(_pieces, "array<struct<place: int, bytes: binary>>", text, F.col("places"))).alias("p"))
-    pieces = stored(pieces.select("doc_id", "p.place", "p.bytes", F.xxhash64("p.bytes").alias("h")).distinct(), "chunk-bytes")
-    keep = pieces.groupBy("bytes").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    keep = keep.select(F.xxhash64("bytes").alias("h"), F.col("bytes").alias("same"), "first")
-    again = pieces.join(keep, ["h"]).where("bytes = same and (doc_id <> first.doc_id or place <> first.place)")
-    gone = again.groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
+    rows = stored(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "line-texts", "zstd")
+    hashed = rows.select("row", F.explode(_call(_hashed, "array<struct<place: int, chunk: int, h: long>>", text)).alias("p")).select("row", "p.*")
+    hashed = stored(hashed, "line-hashes")
+    repeated = hashed.groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "chunk")
+    wanted = hashed.join(repeated, ["h", "chunk"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("place", "chunk")).alias("places"))
+    pieces = rows.join(wanted.hint("merge"), "row").select("row", "doc_id", F.explode(_call(_bytes, "array<struct<place: int, chunk: int, bytes: binary>>", text, F.col("places"))).alias("p"))
+    pieces = stored(pieces.select("row", "doc_id", "p.*", F.xxhash64("p.bytes").alias("h")), "line-bytes", "zstd")
+    same = ["h", "chunk", "bytes"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "place"))
+    keep = pieces.groupBy(*same).agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*same, "first")
+    again = pieces.join(keep, same).where("row <> first.row or place <> first.place")
+    gone = stored(again.groupBy("row").agg(F.collect_list(F.struct("place", "chunk")).alias("gone")), "line-gone")
     schema = "struct<n_lines: long, n_chunks: long, removed_lines: long, removed_chunks: long, kept: string>"
-    return rows.join(gone, "doc_id", "left").select("doc_id", _call(_without, schema, text, F.col("gone")).alias("r")).select("doc_id", "r.*")
+    return rows.join(gone.hint("merge"), "row", "left").select("doc_id", _call(_without, schema, text, F.col("gone")).alias("r")).select("doc_id", "r.*")

@@ -186,6 +186,35 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(docs(spark, texts).limit(0)).count() == 0
 
 
+def without_pairs(texts):
+    """Kept text and removed lines of each of texts, in order: both lines of every adjacent pair that occurred before are removed."""
+    seen, out = set(), []
+    for t in texts:
+        own = (t or "").split("\n")
+        if own[-1] == "":
+            own.pop()
+        drop = set()
+        for i, pair in enumerate(zip(own, own[1:])):
+            drop |= {i, i + 1} if pair in seen else set()
+            seen.add(pair)
+        kept = "".join(x for i, x in enumerate((t or "").splitlines(keepends=True)) if i not in drop)
+        out.append((None if t is None else kept, len(drop)))
+    return out
+
+
+def test_short_passages_equal_brute_force(spark):
+    rng = random.Random(10)
+    line = lambda: " ".join(f"t{rng.randrange(10**5)}" for _ in range(6))
+    some = lambda n: [line() for _ in range(n)]
+    passages = [some(2 + i % 4) for i in range(40)]
+    texts = ["\n".join([*some(rng.randrange(4)), *p, *some(rng.randrange(4)), *rng.choice(passages)]) + rng.choice(["", "\n"]) for p in passages for _ in range(3)]
+    alone = line()
+    texts += ["\n".join([*some(2), alone, *some(2)]) for _ in range(5)] + [None, "", "\n\n", "a\n\n\nb\n\n\n", "x\nx\nx\nx", "é\nü\n", "é\nü"]
+    got = {r["doc_id"]: (r["kept"], r["removed_lines"]) for r in lines.dedup_lines(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(without_pairs(texts)))
+    assert all(got[i][0] == texts[i] for i in range(120, 125))
+
+
 def test_chunks_shift_with_content():
     rng = random.Random(9)
     body = "".join(f"line {rng.randrange(10**6)} of text\n" for _ in range(200)).encode()

@@ -6,9 +6,10 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,16 +48,43 @@ def seasonal_naive(features: DataFrame, out: str = "pred") -> DataFrame:
     return features.withColumn(out, clipped(F.col("demand_lag_7").cast("double")))
 
 
-def train_global_gbt(rows: DataFrame, columns: list[str], validation: str | None = None, max_iter: int = 20, depth: int = 5, seed: int = 42) -> PipelineModel:
-    """One boosted-tree model for all series with absolute loss. `validation` names a boolean column whose true rows stop the boosting early."""
+def train_global_gbt(rows: DataFrame, columns: list[str], validation: str | None = None, max_iter: int = 20, depth: int = 5, seed: int = 42, patience: int = 40) -> PipelineModel:
+    """One boosted-tree model for all series with absolute loss. `validation` names a boolean column whose true rows aren't fitted but end the boosting:
+    it keeps the rounds up to the one of least validation error, looking `patience` rounds beyond each new best."""
     cats = [c for c in CATEGORICALS if c in columns]
     numeric = [c for c in columns if c not in cats]
     index = [StringIndexer(inputCols=list(cats), outputCols=[f"_{c}" for c in cats], handleInvalid="keep")] if cats else []
     vector = VectorAssembler(inputCols=[*(f"_{c}" for c in cats), *numeric], outputCol="_features", handleInvalid="skip")
     trees = GBTRegressor(featuresCol="_features", labelCol="demand", predictionCol="_raw_pred", lossType="absolute", maxIter=max_iter, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=40, maxBins=64, seed=seed)
-    if validation:
-        trees = trees.setParams(validationIndicatorCol=validation, validationTol=0.001)
-    return Pipeline(stages=[*index, vector, trees]).fit(rows)
+    ready = Pipeline(stages=[*index, vector]).fit(rows)
+    vectors = ready.transform(rows).select("_features", "demand", *([validation] if validation else []))
+    if not validation:
+        return PipelineModel([*ready.stages, trees.fit(vectors)])
+    model = trees.fit(vectors.where(~F.col(validation)))
+    errors = model.evaluateEachIteration(vectors.where(validation), "absolute")
+    return PipelineModel([*ready.stages, _first_rounds(model, best_round(errors, patience))])
+
+
+def best_round(errors: list[float], patience: int) -> int:
+    """The number of rounds with the least error, as found by stopping `patience` rounds after the last new best."""
+    best = 0
+    for i, e in enumerate(errors):
+        if i - best > patience:
+            break
+        if e < errors[best]:
+            best = i
+    return best + 1
+
+
+def _first_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """model with its first trees only."""
+    gateway, java = SparkContext._active_spark_context._gateway, model._java_obj
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(gateway.jvm.double, rounds)
+    for i in range(rounds):
+        trees[i], weights[i] = java.trees()[i], java.treeWeights()[i]
+    short = gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures())
+    return GBTRegressionModel(java.copyValues(short, java.extractParamMap()))
 
 
 def score(model: PipelineModel, rows: DataFrame, out: str = "pred") -> DataFrame:

@@ -61,6 +61,30 @@ def test_gbt_learns_a_step(spark):
     assert forecast.feature_importance(model).first()["feature"] == "odd"
 
 
+def test_boosting_looks_past_a_worse_round(spark):
+    assert forecast.best_round([3.0, 3.1, 2.0, 2.5, 2.5], 40) == 3 and forecast.best_round([3.0, 3.1, 3.1, 2.0], 1) == 1
+    data = rows(spark, [5.0 if i % 2 else 25.0 for i in range(300)]).withColumn("odd", (F.datediff("business_date", F.lit(START)) % 2).cast("double")).withColumn("_val", F.col("business_date") > F.lit(START + timedelta(days=200)))
+    model = forecast.train_global_gbt(data, ["odd"], "_val", max_iter=4, depth=1)
+    errors = model.stages[-1].evaluateEachIteration(model.stages[0].transform(data.where("_val")), "absolute")
+    assert errors[-1] == min(errors) and forecast.score(model, data).count() == 300
+
+
+def test_registered_queries_do_the_whole_job(spark, monkeypatch):
+    import shelfcast.plans.registry
+    from shelfcast.plans import forecast_queries as q
+
+    asked = []
+    start = rows(spark, range(10))
+    monkeypatch.setattr(q, "matrix", lambda spark, d: start)
+    monkeypatch.setattr(q, "predicted", lambda spark, d: start.withColumn("split", F.lit("val")))
+    monkeypatch.setattr(forecast, "train_global_gbt", lambda *a, **k: asked.append((a, k)))
+    monkeypatch.setattr(forecast, "feature_importance", lambda model: None)
+    monkeypatch.setattr(backtest, "rolling_origin_backtest", lambda features, **k: asked.append(((), k)))
+    q.feature_importance(spark, "")
+    q.rolling_origin_backtest(spark, "")
+    assert asked[0][0][2] == "_val" and all("n_folds" not in k and "depth" not in k and k["max_iter"] >= 20 for _, k in asked)
+
+
 def test_folds(spark):
     data = rows(spark, range(400))
     folds = backtest.make_folds(data).orderBy("fold").collect()

@@ -215,6 +215,13 @@ def test_short_passages_equal_brute_force(spark):
     assert all(got[i][0] == texts[i] for i in range(120, 125))
 
 
+def test_line_dedup_of_null_and_repeated_ids(spark):
+    texts = [(7, "a\nb\nc\nd"), (7, "e"), (7, None), (7, "x\na\nb"), (None, "c\nd\ny"), (None, "c\nd"), (3, "z\nb\nc")]
+    rows = lines.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)).collect()
+    got = Counter((r["doc_id"], r["kept"]) for r in rows)
+    assert got == Counter([(7, "a\nd"), (7, "e"), (7, None), (7, "x\n"), (None, "y"), (None, ""), (3, "z\nb\nc")])
+
+
 def test_chunks_shift_with_content():
     rng = random.Random(9)
     body = "".join(f"line {rng.randrange(10**6)} of text\n" for _ in range(200)).encode()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,10 @@ IS_SPACE = np.array([c in _SPACE for c in range(256)])
 #: Narrow tables (ids, sources) of up to so many rows are broadcast.
 BROADCAST_ROWS = 2_000_000
 BATCH_BYTES = 2 << 20
+#: A key of so many rows may be cut into parts; at most so many keys are.
+HOT_ROWS, HOT_KEYS = 1_000, 100_000
 _own_folder: dict[str, str] = {}
+_path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -36,16 +40,29 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset (local tests), a folder of this run."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset, a folder of this run on a local master; a cluster has to name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or _own_folder.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
+    if folder:
+        return folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
 
 
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written to the shared folder and read back: lineage is cut, and a lost executor costs no recomputation of it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later plan reads."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(_path_of.pop(t))
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -59,6 +76,33 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def hot(counts: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
+    """Of counts (keys, n), one row a key, the keys of so many rows that they would fill a task, with `parts`, into how many pieces their rows are to be cut.
+
+    A key is hot from HOT_ROWS rows or a HOT_KEYS-th of all rows on, so there are at most HOT_KEYS of them, and they are broadcast.
+    """
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    return F.broadcast(counts.where(F.col(n) >= least).select(*keys, F.ceil(F.col(n) / (least / 2)).cast("int").alias("parts")))
+
+
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], hot_keys: DataFrame, spread: Column, how: str = "inner", by: list[str] | None = None) -> DataFrame:
+    """rows joined with table (one row a key). The rows of a hot key are cut by `spread` into its parts, each of which meets a copy of the key's row in table.
+
+    `by` names the columns of hot_keys, where they aren't all of `keys`.
+    """
+    by = by or keys
+    part = F.coalesce(F.pmod(F.xxhash64(spread), F.col("parts")).cast("int"), F.lit(0))
+    left = rows.join(hot_keys, by, "left").withColumn("__part", part).drop("parts")
+    right = table.join(hot_keys, by, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return left.join(right, [*keys, "__part"], how).drop("__part")
+
+
+def in_struct(docs: DataFrame, *named: str) -> DataFrame:
+    """All columns of docs as the struct `doc`, and beside it the columns `named`: whatever else docs has, no name clashes with those of an operator."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    return docs.select(whole, *[F.col(f"`{c}`") for c in named])
+
+
 def slices(texts: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of about `limit` bytes (one row at least), each with its bytes and its rows' offsets in them. Null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_binary()), b"")

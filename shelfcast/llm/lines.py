@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from shelfcast.llm.common import bounded_batches, mixed, run_hashes, stored
+from shelfcast.llm.common import bounded_batches, hot, hot_join, mixed, released, run_hashes, stored
 
-#: Lines under the rolling hash, one line in so many is a boundary, and the most lines of one chunk.
-ROLL, AVERAGE, MOST = 2, 2, 64
+#: Lines under the rolling hash, and one line in so many is a boundary. Chunks have no greatest length: a run of equal lines without a boundary is one chunk.
+ROLL, AVERAGE = 2, 2
 
 
 def chunks(text: bytes | None) -> list[tuple[int, int, int]]:
@@ -37,13 +37,10 @@ def chunks(text: bytes | None) -> list[tuple[int, int, int]]:
         roll[back:] += h[:-back] * np.uint64(2 * back + 1)
     cut = mixed(roll) % np.uint64(AVERAGE) == 0
     cut[1:] &= ~cut[:-1].copy()
-    out, begun, lines = [], 0, 0
-    for a, end in zip(after.tolist(), cut.tolist(), strict=True):
-        lines += 1
-        if end or lines == MOST or a == len(data):
-            out.append((begun, a, lines))
-            begun, lines = a, 0
-    return out
+    cut[-1] = True
+    last = np.flatnonzero(cut)
+    begun = np.concatenate([[0], after[last[:-1]]])
+    return list(zip(begun.tolist(), after[last].tolist(), np.diff(last, prepend=-1).tolist(), strict=True))
 
 
 def _lines(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -110,22 +107,30 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     removed_chunks counts the content-defined chunks that repeat an earlier one. Null stays null and empty stays empty. The last line feed is not
     part of a piece's bytes, so a passage at the end of a text equals the same passage in the middle. All decisions are by a stored row id: rows that repeat a doc_id
     are documents of their own, in the order of their rows, and rows without doc_id come after all others. Counting is by hash
-    with map-side partial sums, so a piece in a third of all texts stays one record a task; the texts are shuffled only to meet their
-    own pieces' decisions.
+    with map-side partial sums, so a piece in a third of all texts stays one record a task, and its rows are cut into parts where they meet its count
+    and its first place; the texts are shuffled only to meet their own pieces' decisions.
     """
     bounded_batches(docs.sparkSession)
     text = F.col("text").cast("binary")
     rows = stored(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "line-texts", "zstd")
     hashed = rows.select("row", F.explode(_call(_hashed, "array<struct<place: int, chunk: int, h: long>>", text)).alias("p")).select("row", "p.*")
-    hashed = stored(hashed, "line-hashes")
-    repeated = hashed.groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "chunk")
-    wanted = hashed.join(repeated, ["h", "chunk"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("place", "chunk")).alias("places"))
+    hashed = stored(hashed, "line-hashes", "zstd")
+    repeated = stored(hashed.groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "line-repeats")
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    wanted = hot_join(hashed, repeated.select("h", "chunk"), ["h", "chunk"], hot(repeated, ["h", "chunk"], total), F.col("row"), "left_semi")
+    wanted = stored(wanted.groupBy("row").agg(F.collect_list(F.struct("place", "chunk")).alias("places")), "line-places", "zstd")
+    released(hashed, repeated)
     pieces = rows.join(wanted.hint("merge"), "row").select("row", "doc_id", F.explode(_call(_bytes, "array<struct<place: int, chunk: int, bytes: binary>>", text, F.col("places"))).alias("p"))
     pieces = stored(pieces.select("row", "doc_id", "p.*", F.xxhash64("p.bytes").alias("h")), "line-bytes", "zstd")
-    same = ["h", "chunk", "bytes"]
+    released(wanted)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "place"))
-    keep = pieces.groupBy(*same).agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*same, "first")
-    again = pieces.join(keep, same).where("row <> first.row or place <> first.place")
-    gone = stored(again.groupBy("row").agg(F.collect_list(F.struct("place", "chunk")).alias("gone")), "line-gone")
+    same = ["h", "chunk", "bytes"]
+    keep = stored(pieces.groupBy(*same).agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "line-first", "zstd")
+    counts = keep.groupBy("h", "chunk").agg(F.sum("n").alias("n"))
+    hot_pieces = hot(counts, ["h", "chunk"], keep.agg(F.sum("n")).first()[0] or 0)
+    again = hot_join(pieces, keep.select(*same, "first"), same, hot_pieces, F.col("row"), by=["h", "chunk"])
+    gone = again.where("row <> first.row or place <> first.place").groupBy("row").agg(F.collect_list(F.struct("place", "chunk")).alias("gone"))
+    gone = stored(gone, "line-gone", "zstd")
+    released(pieces, keep)
     schema = "struct<n_lines: long, n_chunks: long, removed_lines: long, removed_chunks: long, kept: string>"
     return rows.join(gone.hint("merge"), "row", "left").select("doc_id", _call(_without, schema, text, F.col("gone")).alias("r")).select("doc_id", "r.*")

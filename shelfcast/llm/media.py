@@ -74,22 +74,34 @@ def write_movie(payload: bytes) -> bytes:
     return head + movie(first) + _box(b"mdat", payload)
 
 
-def walk(data: bytes | memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()):
-    """(path, start of body, end) of every box, outer ones first. A size of 0 reaches to the end, 1 means a 64-bit size; a broken box ends its level."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
-        size, kind = struct.unpack_from(">I4s", data, start)
-        header = 8
-        if size == 1 and start + 16 <= end:
-            size, header = struct.unpack_from(">Q", data, start + 8)[0], 16
-        elif size == 0:
-            size = end - start
+def walk(data: bytes | memoryview):
+    """(kind, start of body, end) of every box, outer ones before inner ones, in file order. A size of 0 reaches to the end, 1 means a 64-bit size; a broken box ends its level.
+
+    Open levels are kept on a list, so nesting as deep as the file is long is walked like any other.
+    """
+    start, ends = 0, [len(data)]
+    while ends:
+        end = ends[-1]
+        size, header = 0, 8
+        if start + 8 <= end:
+            size, kind = struct.unpack_from(">I4s", data, start)
+            if size == 1 and start + 16 <= end:
+                size, header = struct.unpack_from(">Q", data, start + 8)[0], 16
+            elif size == 0:
+                size = end - start
         if size < header or start + size > end:
-            return
-        yield (*path, kind), start + header, start + size
+            start = ends.pop()
+            continue
+        yield kind, start + header, start + size
         if kind in CONTAINERS:
-            yield from walk(data, start + header, start + size, (*path, kind))
-        start += size
+            ends.append(start + size)
+            start += header
+        else:
+            start += size
+
+
+class BrokenTrack(ValueError):
+    """A track whose boxes or sample tables contradict each other or reach beyond their boxes."""
 
 
 @dataclass
@@ -104,42 +116,80 @@ class Track:
     keyframe_ranges: np.ndarray
 
 
-def _table(data: bytes, at: int, kind: str, width: int = 1, skip: int = 4) -> np.ndarray:
-    count = struct.unpack_from(">I", data, at + skip)[0]
-    return np.frombuffer(data, kind, count * width, at + skip + 4).astype(np.int64).reshape(-1, width)
+Boxes = dict[bytes, tuple[int, int]]
+
+
+def _field(data: bytes, boxes: Boxes, kind: bytes, form: str, skip: int) -> tuple:
+    at, end = boxes[kind]
+    if at + skip + struct.calcsize(form) > end:
+        raise BrokenTrack(kind)
+    return struct.unpack_from(form, data, at + skip)
+
+
+def _table(data: bytes, boxes: Boxes, kind: bytes, form: str, width: int = 1, skip: int = 4) -> np.ndarray:
+    """The entries of a counted table, none of them beyond the end of its box."""
+    (count,) = _field(data, boxes, kind, ">I", skip)
+    at, end = boxes[kind]
+    if at + skip + 4 + count * width * np.dtype(form).itemsize > end:
+        raise BrokenTrack(kind)
+    values = np.frombuffer(data, form, count * width, at + skip + 4)
+    if count and values.max() >= 1 << 62:
+        raise BrokenTrack(kind)
+    return values.astype(np.int64).reshape(-1, width)
+
+
+def _track(data: bytes, boxes: Boxes) -> Track:
+    """A track from its boxes. Samples are only expanded where the file has a size for each, so memory follows the file's length."""
+    if not {b"mdhd", b"stsd", b"stsc", b"stsz"} <= boxes.keys() or not {b"stco", b"co64"} & boxes.keys():
+        raise BrokenTrack("tables are missing")
+    long = _field(data, boxes, b"mdhd", ">B", 0)[0] == 1
+    timescale, duration = _field(data, boxes, b"mdhd", ">IQ" if long else ">II", 20 if long else 12)
+    codec = _field(data, boxes, b"stsd", ">4s", 12)[0].decode("latin-1")
+    same, n = _field(data, boxes, b"stsz", ">II", 4)
+    sizes = None if same else _table(data, boxes, b"stsz", ">u4", skip=8)[:, 0]
+    chunks = _table(data, boxes, b"stco", ">u4")[:, 0] if b"stco" in boxes else _table(data, boxes, b"co64", ">u8")[:, 0]
+    runs = _table(data, boxes, b"stsc", ">u4", 3)
+    lengths = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+    if len(chunks) and (not len(runs) or runs[0, 0] != 1 or (lengths < 1).any()) or not len(chunks) and len(runs):
+        raise BrokenTrack(b"stsc")
+    per_chunk = np.repeat(runs[:, 1], lengths)
+    until = np.cumsum(per_chunk)
+    if (until[-1] if len(until) else 0) != n:
+        raise BrokenTrack("chunks and sizes differ in samples")
+    first = until - per_chunk
+    total = np.concatenate([[0], np.cumsum(sizes)]) if sizes is not None else None
+
+    def upto(sample: np.ndarray) -> np.ndarray:
+        """Bytes of all samples before each of these."""
+        return sample * same if total is None else total[sample]
+
+    ranges = np.stack([chunks, chunks + upto(until) - upto(first)], 1)
+    if b"stss" not in boxes:
+        return Track(codec, timescale, duration, n, ranges, ranges)
+    keys = _table(data, boxes, b"stss", ">u4")[:, 0] - 1
+    if len(keys) and (keys.min() < 0 or keys.max() >= n):
+        raise BrokenTrack(b"stss")
+    of = np.searchsorted(until, keys, "right")
+    starts = chunks[of] + upto(keys) - upto(first[of])
+    return Track(codec, timescale, duration, n, ranges, np.stack([starts, starts + upto(keys + 1) - upto(keys)], 1))
 
 
 def read_movie(data: bytes) -> list[Track]:
-    """The tracks of a movie, from its boxes and sample tables alone."""
-    tracks: list[dict[bytes, int]] = []
-    for path, at, _ in walk(data):
-        if path[-1] == b"trak":
+    """The tracks of a movie, from its boxes and sample tables alone. A broken track is left out. Without a table of sync samples all are such, and its keyframe ranges are its chunks."""
+    tracks: list[Boxes] = []
+    inside = 0
+    for kind, at, end in walk(data):
+        if kind == b"trak":
             tracks.append({})
-        elif tracks and b"trak" in path:
-            tracks[-1].setdefault(path[-1], at)
+            inside = end
+        elif tracks and at <= inside:
+            tracks[-1].setdefault(kind, (at, end))
     out = []
-    for t in tracks:
-        if not {b"mdhd", b"stsd", b"stsc", b"stsz"} <= t.keys() or not {b"stco", b"co64"} & t.keys():
+    for boxes in tracks:
+        try:
+            out.append(_track(data, boxes))
+        except BrokenTrack:
             continue
-        if data[t[b"mdhd"]]:
-            timescale, duration = struct.unpack_from(">IQ", data, t[b"mdhd"] + 20)
-        else:
-            timescale, duration = struct.unpack_from(">II", data, t[b"mdhd"] + 12)
-        codec = bytes(data[t[b"stsd"] + 12 : t[b"stsd"] + 16]).decode("latin-1")
-        same, n = struct.unpack_from(">II", data, t[b"stsz"] + 4)
-        sizes = np.full(n, same, np.int64) if same else _table(data, t[b"stsz"], ">u4", skip=8)[:, 0]
-        chunks = _table(data, t[b"stco"], ">u4")[:, 0] if b"stco" in t else _table(data, t[b"co64"], ">u8")[:, 0]
-        runs = _table(data, t[b"stsc"], ">u4", 3)
-        lengths = np.diff(np.append(runs[:, 0], len(chunks) + 1))
-        per_chunk = np.repeat(runs[:, 1], lengths)
-        chunk_of = np.repeat(np.arange(len(chunks)), per_chunk)[:n]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        first_of = np.concatenate([[0], np.cumsum(per_chunk)])[:-1]
-        starts = chunks[chunk_of] + total[:-1] - total[first_of[chunk_of]]
-        after = np.minimum(first_of + per_chunk, n)
-        ranges = np.stack([chunks, chunks + total[after] - total[first_of]], 1)
-        keys = _table(data, t[b"stss"], ">u4")[:, 0] - 1 if b"stss" in t else np.arange(n)
-        out.append(Track(codec, timescale, duration, n, ranges, np.stack([starts[keys], starts[keys] + sizes[keys]], 1)))
     return out
 
 
@@ -154,7 +204,7 @@ def padded(text: bytes | None) -> bytes:
     return text + bytes(-len(text) % SAMPLE if text else SAMPLE)
 
 
-_RESULT = pa.struct([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+_RESULT = pa.struct([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("keyframes", pa.string())])
 
 
 def _described(texts: pa.Array) -> pa.Array:
@@ -165,9 +215,9 @@ def _described(texts: pa.Array) -> pa.Array:
         (track,) = read_movie(media)
         payload = payload_of(media, track)
         keys = track.keyframe_ranges
-        ranges = hashlib.sha256(",".join(f"{a}:{b}" for a, b in keys.tolist()).encode()).hexdigest()
-        feature = f"codec={track.codec.strip()};duration={track.duration}/{track.timescale};samples={track.n_samples};keyframes={len(keys)};first={keys[0][0]}:{keys[0][1]};last={keys[-1][0]}:{keys[-1][1]};ranges={ranges}"
-        out.append({"n_bytes": len(text or b""), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-SAMPLE:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature})
+        ranges = ",".join(f"{a}:{b}" for a, b in keys.tolist())
+        feature = f"codec={track.codec.strip()};duration={track.duration}/{track.timescale};samples={track.n_samples};keyframes={len(keys)}"
+        out.append({"n_bytes": len(text or b""), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-SAMPLE:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature, "keyframes": ranges})
     return pa.array(out, _RESULT)
 
 
@@ -197,6 +247,6 @@ def read_media(media: Column) -> Column:
 
 
 def describe_media(payload: Column) -> Column:
-    """Stores `payload` as a movie, reads it back by its sample tables, and gives checksums of both forms and a feature string that is equal for equal payloads."""
-    schema = "struct<n_bytes: long, payload_bytes: long, payload_sha256: string, tail_crc32: long, media_bytes: long, media_sha256: string, feature: string>"
+    """Stores `payload` as a movie, reads it back by its sample tables, and gives checksums of both forms, a feature string, and the byte range (first:after) of each keyframe; equal payloads give equal values."""
+    schema = "struct<n_bytes: long, payload_bytes: long, payload_sha256: string, tail_crc32: long, media_bytes: long, media_sha256: string, feature: string, keyframes: string>"
     return arrow_udf(_described, schema)(payload.cast("binary"))

@@ -23,8 +23,8 @@ SEED = 20240229
 UNKNOWN = "und"
 #: Letters other than a-z share so many classes by code point.
 SYMBOLS = 128
-#: Characters handled at once.
-PIECE = 1 << 18
+#: Characters and pieces of texts handled at once.
+PIECE, ROWS = 1 << 18, 256
 _cache: dict[str, np.ndarray] = {}
 
 
@@ -54,38 +54,44 @@ def trigram_vectors(codes: np.ndarray) -> np.ndarray:
 
 
 def bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The vector of each text and its number of letters. Runs of other characters count as one border; texts begin and end with one."""
-    vectors, letters = np.zeros((len(texts), DIMENSIONS), np.float32), np.zeros(len(texts), np.int64)
+    """The vector of each text and its number of letters. Runs of other characters count as one border; texts begin and end with one.
+
+    A long text is handled in pieces; each carries over the last two symbols of the one before, so its trigrams are those of the whole.
+    """
+    vectors, letters = np.zeros((len(texts), DIMENSIONS)), np.zeros(len(texts), np.int64)
     pending, n = [], 0
     for i, text in enumerate(texts):
-        for at in range(0, max(1, len(text)), PIECE):
-            pending.append((i, f" {text[max(0, at - 2) : at + PIECE].lower()} "))
-            n += len(pending[-1][1])
-            if n >= PIECE:
-                _add(pending, vectors, letters)
+        low, carried = f" {text.lower()} ", np.zeros(0, np.uint8)
+        for at in range(0, len(low), PIECE):
+            symbols = _symbols()[np.frombuffer(low[at : at + PIECE].encode("utf-32-le", "replace"), np.uint32)]
+            letters[i] += np.count_nonzero(symbols)
+            symbols = np.concatenate([carried, symbols])
+            keep = np.ones(len(symbols), bool)
+            keep[1:] = (symbols[1:] != 0) | (symbols[:-1] != 0)
+            symbols = symbols[keep]
+            pending.append((i, symbols))
+            carried, n = symbols[-2:], n + len(symbols)
+            if n >= PIECE or len(pending) == ROWS:
+                _add(pending, vectors)
                 pending, n = [], 0
-    _add(pending, vectors, letters)
+    _add(pending, vectors)
     return vectors, letters
 
 
-def _add(pieces: list[tuple[int, str]], vectors: np.ndarray, letters: np.ndarray) -> None:
+def _add(pieces: list[tuple[int, np.ndarray]], vectors: np.ndarray) -> None:
+    """Adds the bound trigrams of each piece to its text's vector. Trigrams of different pieces are never mixed."""
     if not pieces:
         return
-    symbols = _symbols()[np.frombuffer("".join(p for _, p in pieces).encode("utf-32-le", "replace"), np.uint32)]
-    rows = np.repeat(np.arange(len(pieces)), [len(p) for _, p in pieces])
-    keep = np.ones(len(symbols), bool)
-    keep[1:] = (symbols[1:] != 0) | (symbols[:-1] != 0) | (rows[1:] != rows[:-1])
-    symbols, rows = symbols[keep].astype(np.int64), rows[keep]
+    symbols = np.concatenate([s for _, s in pieces]).astype(np.int64)
+    rows = np.repeat(np.arange(len(pieces)), [len(s) for _, s in pieces])
     codes = symbols[:-2] * SYMBOLS**2 + symbols[1:-1] * SYMBOLS + symbols[2:]
-    inside = (rows[:-2] == rows[2:]) & (codes != 0) if len(rows) > 2 else np.zeros(0, bool)
-    codes, at = codes[inside], rows[:-2][inside] if len(rows) > 2 else rows[:0]
+    inside = (rows[:-2] == rows[2:]) & (codes != 0)
+    codes, at = codes[inside], rows[:-2][inside]
     seen = np.flatnonzero(np.bincount(codes, minlength=1))
-    if len(seen):
-        place = np.zeros(seen[-1] + 1, np.int64)
-        place[seen] = np.arange(len(seen))
-        counts = np.bincount(at * len(seen) + place[codes], minlength=len(pieces) * len(seen)).reshape(len(pieces), len(seen))
-        np.add.at(vectors, [i for i, _ in pieces], counts.astype(np.float32) @ trigram_vectors(seen))
-    np.add.at(letters, [i for i, _ in pieces], np.bincount(rows[symbols > 0], minlength=len(pieces)))
+    place = np.zeros(seen[-1] + 1 if len(seen) else 0, np.int64)
+    place[seen] = np.arange(len(seen))
+    counts = np.bincount(at * len(seen) + place[codes], minlength=len(pieces) * len(seen)).reshape(len(pieces), len(seen))
+    np.add.at(vectors, [i for i, _ in pieces], counts.astype(np.float32) @ trigram_vectors(seen))
 
 
 @dataclass
@@ -106,7 +112,7 @@ class Profiles:
         cosine = vectors @ self.prototypes.T / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
         best = cosine.argmax(1)
         known = letters > 0
-        return [self.names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, (1 + cosine.max(1)) / 2, 0.0).clip(0, 1).astype(float)
+        return [self.names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, (1 + cosine.max(1)) / 2, 0.0).clip(0, 1)
 
 
 def learn(docs: DataFrame) -> Profiles:

@@ -1,32 +1,40 @@
-"""Connected components by alternating large and small stars; no neighbourhood is ever collected."""
+"""Connected components by alternating large and small stars; no neighbourhood is ever collected, and the rows of a hub are cut into parts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import stored
+from shelfcast.llm.common import hot, hot_join, released, stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _star(rows: DataFrame, kept: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
+    """kept (u, v) with m, the least of u and all its neighbours in rows (u, v); and u, m of every u in rows."""
+    least = rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    hubs = hot(least, ["u"], n_rows)
+    return hot_join(kept, least.select("u", "m"), ["u"], hubs, F.col("v")), least.select("u", "m")
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    met, _ = _star(both, both.where("v > u"), 2 * n)
+    return met.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+    met, least = _star(down, down, n)
+    return met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for every node of edges (u, v); self-edges and repeats are harmless."""
     edges = stored(edges.select("u", "v").where("u <> v").distinct(), "edges")
-    state = None
+    n, state = edges.count(), None
     while True:
-        edges = stored(_small_star(_large_star(edges)).where("u <> v").distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        new = stored(_small_star(_large_star(edges, n), n).where("u <> v").distinct(), "edges")
+        released(edges)
+        edges, now = new, new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
-        state = now
+        n, state = now[0], now

@@ -11,14 +11,16 @@ one-deletion neighbourhood, since H <= 1 there; up to 127 shingles every shingle
 Allocation by cost. The order is by measured frequency, rarest first: a set with H + 1 signatures of its own costs nothing
 further, and common passages are picked only by sets that hardly have anything else.
 
-Verification. Each set is compared with the most typical set among its buckets (its pivot), which settles most links. Sets of one
-pivot that are not yet in one component are then joined on their differences from the pivot, again as a prefix join with positions, so
-a large family is never expanded into all pairs. Pairs across pivots that share a picked signature are compared directly. Every
-comparison is exact on 64-bit shingle hashes.
+Verification. Each set is compared with the most typical set among its buckets (its pivot), which settles most links; sets without a link are compared
+with a second pivot among themselves. Sets of one pivot that are not yet in one component are then joined on their differences from the pivot, again as
+a prefix join with positions, and pairs across pivots that share a picked signature are compared directly. In a bucket only sets outside its most common component meet the others, so
+a large family is never expanded into all pairs. 64-bit shingle hashes nominate links and reject pairs; every accepted link is counted on the words themselves.
+Texts of equal words are one class by SHA-256 of their words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from shelfcast.llm.common import IS_SPACE, LOWER, bounded_batches, mixed, run_hashes, slices, small, spans, stored
+from shelfcast.llm.common import IS_SPACE, LOWER, bounded_batches, hot, hot_join, mixed, released, run_hashes, slices, small, spans, stored
 from shelfcast.llm.components import components
 
 WORDS = 5
@@ -36,6 +38,11 @@ TINY, SMALL = 7, 127
 PER_SEGMENT, BAND = 2.6, 2
 #: One document in so many is looked at to find signatures that would fill a task; at most HEAVY_MOST of them can pass.
 HEAVY_SAMPLE, HEAVY_LEAST, HEAVY_MOST, HEAVY_SALTS = 64, 48, 20_000, 512
+#: Seeds of segments tried; then every shingle is a segment of its own, which always meets the pigeonhole.
+SEEDS, EVERY = 4, -1
+#: Owners of one signature that vote in one task.
+OWNERS_PER_TASK = 500
+_LOW = LOWER.tobytes()
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -74,14 +81,14 @@ def band(size: int) -> tuple[int, int]:
     return k, low
 
 
-def signatures(h: np.ndarray, k: int, low: int) -> np.ndarray:
-    """Signatures of a sorted set in band k; the lowest bit is the band's parity."""
+def signatures(h: np.ndarray, k: int, low: int, every: bool = False) -> np.ndarray:
+    """Signatures of a sorted set in band k; the lowest bit is the band's parity. With `every`, each shingle of a larger set is a segment."""
     tag = np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
     v = mixed(h ^ tag)
     if k == 0:
         total = v.sum(dtype=np.uint64)
         s = np.concatenate([[total], total - v]) if len(v) > 1 else np.array([total], np.uint64)
-    elif k == 1:
+    elif k == 1 or every:
         s = v
     else:
         segments = int(np.ceil(low * BAND * 1.25 / PER_SEGMENT))
@@ -98,99 +105,101 @@ def picks(size: int) -> tuple[int, int]:
 
 def sketch(h: np.ndarray, seed: int) -> tuple[int, np.ndarray, np.ndarray, bool]:
     """Parity of the own band, its signatures, those in the band below, and whether either set is too small for the pigeonhole."""
-    if seed:
+    every = seed == EVERY
+    if seed > 0:
         h = np.sort(mixed(h ^ np.uint64(seed)))
     k, low = band(len(h))
-    own = signatures(h, k, low)
+    own = signatures(h, k, low, every)
     below = np.zeros(0, np.uint64)
     if k and -(-4 * len(h) // 5) < low:
-        below = signatures(h, k - 1, low // BAND if k > 2 else TINY + 1 if k == 2 else 1)
+        below = signatures(h, k - 1, low // BAND if k > 2 else TINY + 1 if k == 2 else 1, every)
     need, need_below = picks(len(h))
     return k & 1, own, below, k > 0 and len(own) < need or k > 1 and len(below) > 0 and len(below) < need_below
 
 
+def _words(text: bytes) -> list[bytes]:
+    return text.translate(_LOW).split()
+
+
+def _digest(text: bytes | None) -> bytes:
+    return hashlib.sha256(b" ".join(_words(text or b""))).digest()
+
+
 def _class_column(text: Column, seed: int) -> Column:
     def described(texts: pa.Array) -> pa.Array:
         out: list[tuple] = []
-        for h in shingle_sets(texts):
+        for h, t in zip(shingle_sets(texts), texts, strict=True):
             if len(h):
                 parity, own, below, poor = sketch(h, seed)
-                ab = [int(mixed(h ^ c).sum(dtype=np.uint64).view(np.int64)) for c in (_ODD[2], _ODD[3])]
-                out.append((len(h), *ab, parity, len(own), len(below), poor))
+                out.append((len(h), _digest(t.as_py()), parity, len(own), len(below), poor))
             else:
-                out.append((0, 0, 0, 0, 0, 0, False))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-        names = ["n_shingles", "a", "b", "parity", "n_own", "n_below", "poor"]
+                out.append((0, None, 0, 0, 0, False))
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+        names = ["n_shingles", "digest", "parity", "n_own", "n_below", "poor"]
         columns = list(zip(*out, strict=True)) or [[]] * len(names)
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return arrow_udf(described, "struct<n_shingles: long, a: long, b: long, parity: int, n_own: int, n_below: int, poor: boolean>")(text)
+    return arrow_udf(described, "struct<n_shingles: long, digest: binary, parity: int, n_own: int, n_below: int, poor: boolean>")(text)
 
 
 def _signature_column(text: Column, seed: int) -> Column:
     def signed(texts: pa.Array) -> pa.Array:
-        parts, classes = [], []
+        parts = []
         for h in shingle_sets(texts):
             _, own, below, _ = sketch(h, seed) if len(h) else (0, h, h, False)
             parts.append(np.concatenate([own, below]))
-            classes.append(int(mixed(h ^ _ODD[2]).sum(dtype=np.uint64).view(np.int64)) if len(h) else 0)
-        off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-        values = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-        return pa.StructArray.from_arrays([pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(off), pa.array(values))], ["a", "signatures"])
+        return _long_lists(parts)
 
-    return arrow_udf(signed, "struct<a: long, signatures: array<long>>")(text)
+    return arrow_udf(signed, "array<long>")(text)
 
 
-def _set_column(text: Column) -> Column:
-    def gathered(texts: pa.Array) -> pa.Array:
-        parts = list(shingle_sets(texts))
-        off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-        values = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(off), pa.array(values))
+def _long_lists(parts: list[np.ndarray]) -> pa.Array:
+    off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array((np.concatenate(parts) if parts else np.zeros(0, np.uint64)).view(np.int64)))
 
-    return arrow_udf(gathered, "array<long>")(text)
 
+def word_shingles(text: bytes) -> set[tuple[bytes, ...]]:
+    """The distinct shingles of a text, as words."""
+    words = _words(text)
+    return set(zip(*[words[i:] for i in range(WORDS)], strict=False)) if len(words) >= WORDS else {tuple(words)} if words else set()
 
-def _difference_column(x: Column, y: Column) -> Column:
-    """Shingles in one of two sets only."""
 
-    def differing(xs: pa.Array, ys: pa.Array) -> pa.Array:
-        parts = []
-        for x, y in zip(_lists(xs), _lists(ys), strict=True):
-            h = np.sort(np.concatenate([x, y]))
+def _comparison(x: Column, y: Column) -> Column:
+    """linked, by the words of both texts, and `difference`, the hashes of shingles that only one of them has. A y that repeats from row to row is taken apart once."""
+
+    def compared(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        linked, parts = [], []
+        last, words_y = None, set()
+        for tx, ty, hx, hy in zip(xs, ys, shingle_sets(xs), shingle_sets(ys), strict=True):
+            h = np.sort(np.concatenate([hx, hy]))
             twice = np.concatenate([h[1:] == h[:-1], [False]])
             parts.append(h[~(twice | np.concatenate([[False], twice[:-1]]))])
-        off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
-
-    return arrow_udf(differing, "array<long>")(x, y)
+            if 9 * len(parts[-1]) > len(hx) + len(hy):
+                linked.append(False)
+                continue
+            ty = ty.as_py()
+            if ty != last:
+                last, words_y = ty, word_shingles(ty)
+            words_x = word_shingles(tx.as_py())
+            both = len(words_x & words_y)
+            linked.append(100 * both >= 80 * (len(words_x) + len(words_y) - both))
+        return pa.StructArray.from_arrays([pa.array(linked, pa.bool_()), _long_lists(parts)], ["linked", "difference"])
 
-
-def _lists(a: pa.Array) -> list[np.ndarray]:
-    off = np.asarray(a.offsets)
-    values = np.asarray(a.values)
-    return [values[s:e] for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-
-
-def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """ids (id, class_a, ...) with the shingle set of each id's text in `shingles`."""
-    found = texts.join(small(ids, ids.count()), F.col("doc_id") == F.col("id")).withColumn("shingles", _set_column(F.col("text")))
-    return found.drop("doc_id", "text")
+    return arrow_udf(compared, "struct<linked: boolean, difference: array<long>>")(x, y)
 
 
 def _heavy(texts: DataFrame, seed: int) -> DataFrame:
     """sig, heavy (estimated rows) of signatures that would fill a task by themselves, found on one document in HEAVY_SAMPLE. Bounded by HEAVY_MOST rows."""
     sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(HEAVY_SAMPLE)) == 0)
-    sample = stored(sample.select(F.explode(_signature_column(F.col("text"), seed)["signatures"]).alias("sig")).groupBy("sig").count(), "heavy")
+    sample = stored(sample.select(F.explode(_signature_column(F.col("text"), seed)).alias("sig")).groupBy("sig").count(), "heavy")
     total = sample.agg(F.sum("count")).first()[0] or 0
     return sample.where(F.col("count") >= max(HEAVY_LEAST, total // HEAVY_MOST)).select("sig", (F.col("count") * HEAVY_SAMPLE).alias("heavy"))
 
 
 def _shared(texts: DataFrame, classes: DataFrame, copies: DataFrame, n_copies: int, seed: int) -> DataFrame:
     """For each class the signatures that other classes have too, with their cost; `typical` is the mean number of owners, negated: less is more typical."""
-    signed = texts.select("doc_id", _signature_column(F.col("text"), seed).alias("s")).select("doc_id", "s.a", "s.signatures")
-    signed = signed.join(small(copies, n_copies), ["doc_id", "a"], "left_anti")
-    rows = signed.select(F.col("doc_id").alias("doc"), F.explode("signatures").alias("sig"))
+    signed = texts.join(small(copies, n_copies), "doc_id", "left_anti").select(F.col("doc_id").alias("doc"), _signature_column(F.col("text"), seed).alias("signatures"))
+    rows = signed.select("doc", F.explode("signatures").alias("sig"))
     rows = rows.join(F.broadcast(_heavy(texts, seed)), "sig", "left")
     salt = F.when(F.col("heavy").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc"), F.lit(HEAVY_SALTS)))
     bucket = Window.partitionBy("sig", "salt")
@@ -232,107 +241,162 @@ def _exploded(picked: DataFrame) -> DataFrame:
 
 
 def _pivots(shared: DataFrame, picked: DataFrame) -> DataFrame:
-    """doc, size, pivot, pivot_size for classes with picked signatures: the set that is the most typical owner of most of a class's shared signatures."""
-    owners = shared.select("doc", "typical", F.col("n_shingles").alias("size"), F.explode("shared.sig").alias("sig"))
-    heads = owners.groupBy("sig").agg(F.min(F.struct("typical", "doc", "size")).alias("head"))
-    rows = owners.join(picked.select("doc"), "doc", "left_semi").join(heads, "sig")
+    """doc, size, pivot, pivot_size for classes with picked signatures: the set that is the most typical owner of most of a class's shared signatures.
+
+    The owners of a signature are cut into parts by its cost, which all of them know, and each part gets the signature's head.
+    """
+    owners = shared.select("doc", "typical", F.col("n_shingles").alias("size"), F.explode("shared").alias("s")).select("doc", "typical", "size", "s.*")
+    parts = F.ceil(F.col("cost") / OWNERS_PER_TASK).cast("int")
+    heads = owners.groupBy("sig", "cost").agg(F.min(F.struct("typical", "doc", "size")).alias("head")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = owners.join(picked.select("doc"), "doc", "left_semi").withColumn("part", F.pmod(F.xxhash64("doc"), parts).cast("int")).join(heads, ["sig", "cost", "part"])
     votes = rows.groupBy("doc", "size", F.col("head.typical").alias("typical"), F.col("head.doc").alias("pivot"), F.col("head.size").alias("pivot_size")).count()
     best = votes.groupBy("doc").agg(F.max(F.struct("count", -F.col("typical"), "pivot", "pivot_size", "size")).alias("b"))
     return stored(best.select("doc", "b.size", "b.pivot", "b.pivot_size"), "pivots")
 
 
-def _linked(difference: Column, x: Column, y: Column) -> Column:
-    return 9 * difference <= x + y
+def _compared(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (x, y, ...) with `linked` and `difference`. The texts of a y in many pairs are met by its pairs in parts."""
+    ids = texts.select(F.col("doc_id").alias("id"), "text")
+    left = ids.join(small(pairs, pairs.count()), F.col("id") == F.col("x")).drop("id").withColumnRenamed("text", "text_x")
+    of_y = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    n_pairs = pairs.count()
+    right = ids.join(small(of_y.select("y"), n_pairs), F.col("id") == F.col("y")).select("y", F.col("text").alias("text_y"))
+    met = hot_join(left, right, ["y"], hot(of_y, ["y"], n_pairs), F.col("x"))
+    return met.withColumn("c", _comparison(F.col("text_x"), F.col("text_y"))).drop("text_x", "text_y").select(*pairs.columns, "c.*")
 
 
-def _compared(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (x, y, ...) with `difference`, the shingles that only one of them has."""
-    pairs = pairs.withColumn("id", F.col("x"))
-    left = _sets_of(texts, pairs).withColumnRenamed("shingles", "of_x")
-    right = _sets_of(texts, pairs.select(F.col("y").alias("id")).distinct()).select(F.col("id").alias("y"), F.col("shingles").alias("of_y"))
-    return left.join(right, "y").withColumn("difference", _difference_column(F.col("of_x"), F.col("of_y"))).drop("of_x", "of_y", "id")
+def _apart(rows: DataFrame, keys: list[str], columns: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two sides (columns named _x and _y) of the pairs of rows (keys, doc, label, ...) that meet in a bucket and are of different labels, and the buckets that fill a task.
 
+    One side has only the rows outside their bucket's most common label, the other has all, so a bucket that is nearly one component makes few pairs. Buckets of one label are left out.
+    """
+    labels = rows.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
+    buckets = labels.groupBy(*keys).agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    buckets = stored(buckets, "buckets")
+    large = hot(buckets, keys, buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    rows = stored(hot_join(rows, buckets.select(*keys, "common"), keys, large, F.col("doc")), "met")
+    side = lambda df, of: df.select(*keys, F.col("doc").alias(of), *[F.col(c).alias(f"{c}_{of}") for c in columns], (F.col("label") != F.col("common")).alias(f"rare_{of}"))
+    return side(rows.where("label <> common"), "x"), side(rows, "y"), large
+
+
+def _met(rows: DataFrame, keys: list[str], columns: tuple[str, ...], may_link: Column) -> DataFrame:
+    """x, y, size_x, size_y of the pairs of rows of a bucket and of different labels for which may_link holds."""
+    x, y, large = _apart(rows, keys, (*columns, "size", "label"))
+    near = (5 * F.col("size_x") >= 4 * F.col("size_y")) & (5 * F.col("size_y") >= 4 * F.col("size_x"))
+    once = (F.col("x") < F.col("y")) | ~F.col("rare_y")
+    return hot_join(y, x, keys, large, F.col("y")).where((F.col("label_x") != F.col("label_y")) & once & near & may_link).select("x", "y", "size_x", "size_y")
 
-def _within_pivot(checked: DataFrame) -> DataFrame:
-    """Pairs x, y of one pivot that may link though at least one of them does not link with the pivot.
 
-    With differences X and Y from the pivot, the pair differs in |X| + |Y| - 2 |X & Y|. If |X| + |Y| <= H both link with the
-    pivot already; else they share an element of X and Y, and the rarest one they share stands early enough in both.
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    return rows.join(label, F.col("doc") == F.col("node"), "left").withColumn("label", F.coalesce("label", "doc")).drop("node")
+
+
+def _within_pivot(checked: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs x, y of one pivot and of different components that may link.
+
+    With differences X and Y from the pivot, the pair differs in |X| + |Y| - 2 |X & Y|, so it shares (|X| + |Y| - H) / 2 elements of X and Y at least, and the rarest one they share
+    stands early enough in both. What no partner could make enough of is dropped before rows meet: a partner has |X| - H elements at least, and H is at most (size + 5/4 size) / 9.
     """
     open_pivots = checked.where("not linked").select("pivot").distinct()
     rows = checked.where("pivot <> doc").join(small(open_pivots, open_pivots.count()), "pivot", "left_semi").withColumn("n", F.size("difference"))
-    elements = rows.select("pivot", "doc", "size", "linked", "n", F.explode("difference").alias("element"))
-    counts = elements.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("cost"))
-    ordered = elements.join(counts, ["pivot", "element"]).groupBy("pivot", "doc", "size", "linked", "n")
+    elements = stored(rows.select("pivot", "doc", "size", "n", F.explode("difference").alias("element")), "elements")
+    counts = stored(elements.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("cost")), "costs")
+    large = hot(counts, ["pivot", "element"], elements.count(), "cost")
+    ordered = hot_join(elements, counts, ["pivot", "element"], large, F.col("doc")).groupBy("pivot", "doc", "size", "n")
     ordered = ordered.agg(F.sort_array(F.collect_set(F.struct("cost", "element"))).alias("order"))
-    half = F.floor(5 * F.col("n") / 9) + 1
-    most = F.when(F.col("linked"), half).otherwise(F.greatest(half, F.floor(F.col("size") / 4) + 1))
-    early = ordered.select("pivot", "doc", "size", "linked", "n", half.alias("half"), F.posexplode(F.slice("order", 1, most.cast("int"))).alias("i", "e"))
-    early = stored(early.where("e.cost > 1").select("pivot", "doc", "size", "linked", "n", "half", (F.col("i") + 1).alias("i"), F.col("e.element").alias("element")), "early")
-    x = early.where("not linked").select("pivot", "element", F.col("doc").alias("x"), F.col("size").alias("size_x"), F.col("n").alias("n_x"), F.col("i").alias("i_x"))
-    y = early.where("i <= half").select("pivot", "element", F.col("doc").alias("y"), F.col("size").alias("size_y"), F.col("n").alias("n_y"), F.col("i").alias("i_y"))
+    most = F.floor((F.col("size") + F.floor(5 * F.col("size") / 4)) / 9)
+    least_shared = (F.col("n") + F.greatest(F.lit(1), F.col("n") - most) - most) / 2
+    early = F.greatest(F.lit(0), F.floor(F.col("n") + 1 - least_shared)).cast("int")
+    early = ordered.select("pivot", "doc", "size", "n", F.posexplode(F.slice("order", 1, early)).alias("i", "e")).where("e.cost > 1")
+    early = _labelled(early.select("pivot", "doc", "size", "n", (F.col("i") + 1).alias("i"), F.col("e.element").alias("element")), label)
     room = 1 + F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
     needed = F.col("n_x") + F.col("n_y") - F.floor((F.col("size_x") + F.col("size_y")) / 9)
-    near = (5 * F.col("size_x") >= 4 * F.col("size_y")) & (5 * F.col("size_y") >= 4 * F.col("size_x"))
-    same = (x["pivot"] == y["pivot"]) & (x["element"] == y["element"]) & (F.col("x") != F.col("y"))
-    return x.join(y, same & near & (2 * room >= needed)).select("x", "y", "size_x", "size_y")
+    return _met(early, ["pivot", "element"], ("n", "i"), 2 * room >= needed)
 
 
 def _across_pivots(picked: DataFrame, pivots: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs x, y of different pivots and components that share a picked signature early enough to link."""
     rows = _exploded(picked.join(pivots.select("doc"), "doc", "left_semi"))
-    rows = rows.join(pivots.select("doc", "pivot"), "doc").join(label, F.col("doc") == F.col("node"), "left")
-    rows = rows.select("doc", "size", "pivot", F.coalesce("label", "doc").alias("label"), "sig", "position", "n")
-    mixed_buckets = rows.groupBy("sig").agg(F.min("pivot").alias("p"), F.max("pivot").alias("q"), F.min("label").alias("k"), F.max("label").alias("l")).where("p <> q and k <> l").select("sig")
-    rows = stored(rows.join(mixed_buckets, "sig", "left_semi"), "across")
-    x = rows.select("sig", *[F.col(c).alias(f"{c}_x") for c in ("size", "pivot", "label", "position", "n")], F.col("doc").alias("x"))
-    y = rows.select("sig", *[F.col(c).alias(f"{c}_y") for c in ("size", "pivot", "label", "position", "n")], F.col("doc").alias("y"))
+    rows = _labelled(rows.join(pivots.select("doc", "pivot"), "doc"), label).drop("typical")
     most = F.floor((F.col("size_x") + F.col("size_y")) / 9)
     room = 1 + F.least(F.col("n_x") - F.col("position_x"), F.col("n_y") - F.col("position_y"))
     fits = (F.greatest("size_x", "size_y") <= TINY + 1) | (room >= F.greatest("n_x", "n_y") - most)
-    near = (5 * F.col("size_x") >= 4 * F.col("size_y")) & (5 * F.col("size_y") >= 4 * F.col("size_x"))
-    met = (x["sig"] == y["sig"]) & (F.col("x") < F.col("y")) & (F.col("pivot_x") != F.col("pivot_y")) & (F.col("label_x") != F.col("label_y"))
-    return x.join(y, met & near & fits).select("x", "y", "size_x", "size_y")
+    return _met(rows, ["sig"], ("pivot", "position", "n"), fits & (F.col("pivot_x") != F.col("pivot_y")))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs (doc_id, text); other columns are ignored.
+def _against_pivots(texts: DataFrame, pivots: DataFrame) -> DataFrame:
+    """doc, pivot, size, linked, difference of every class and its pivot."""
+    pairs = pivots.where("doc <> pivot").select(F.col("doc").alias("x"), F.col("pivot").alias("y"), "size")
+    checked = _compared(texts, pairs).select(F.col("x").alias("doc"), F.col("y").alias("pivot"), "size", "linked", "difference")
+    return stored(checked, "checked", "zstd")
 
-    Texts with equal shingle sets are one class and are compared once, as the class's least doc_id. Null, empty and blank texts have
-    no shingles and are components of their own. Rows without doc_id join the component of their class (null if no row of the class has an id) but
-    make no links. doc_id is taken to identify a text; of a doc_id with several texts each is classed by its own text.
-    """
+
+def _numbered(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Every row of docs with a number of its own: row, doc_id, kept (a struct of the columns `keep`), text. All links are between rows, so ids may be null or repeat."""
     bounded_batches(docs.sparkSession)
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    seed = 0
-    while True:
-        members = stored(texts.select("doc_id", _class_column(F.col("text"), seed).alias("c")).select("doc_id", "c.*"), "members")
-        if members.where("poor").isEmpty():
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.struct(*keep).alias("kept"), F.col("text").cast("binary").alias("text")), "numbered", "zstd")
+
+
+def _row_components(rows: DataFrame) -> DataFrame:
+    """row, doc_id, n_shingles, component (the least row of those reachable by links, or of the class; its own for a row without words)."""
+    texts = rows.select(F.col("row").alias("doc_id"), "text")
+    for seed in (*range(SEEDS), EVERY):
+        members = rows.select("row", "doc_id", _class_column(F.col("text"), seed).alias("c")).select("row", "doc_id", "c.*")
+        members = stored(members, "members")
+        if seed == EVERY or members.where("poor").isEmpty():
             break
-        seed += 1
-    classes = members.where("n_shingles > 0").groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("parity", "n_own", "n_below")])
+        released(members)
+    worded, n_rows = members.where("n_shingles > 0"), members.count()
+    classes = worded.groupBy("digest").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("n_shingles", "parity", "n_own", "n_below")])
     classes = stored(classes, "classes")
-    members = members.select("doc_id", "n_shingles", "a", "b").join(classes.select("n_shingles", "a", "b", "rep"), ["n_shingles", "a", "b"], "left")
-    members = stored(members, "classed")
-    copies = members.where("rep is not null and (doc_id is null or doc_id <> rep)").select("doc_id", "a").distinct()
-    texts = texts.where("doc_id is not null")
-    shared = _shared(texts, classes.where("rep is not null"), copies, copies.count(), seed)
+    large = hot(classes, ["digest"], n_rows)
+    copies = hot_join(worded.select("row", "digest"), classes.where("n > 1").select("digest", "rep"), ["digest"], large, F.col("row"))
+    copies = stored(copies.where("row <> rep").select(F.col("row").alias("doc_id")), "copies")
+    shared = _shared(texts, classes, copies, copies.count(), seed)
+    released(copies)
     picked = _picked(shared)
     pivots = _pivots(shared, picked)
-    pairs = pivots.where("doc <> pivot").select(F.col("doc").alias("x"), F.col("pivot").alias("y"), "size", "pivot_size")
-    checked = _compared(texts, pairs).select(F.col("x").alias("doc"), F.col("y").alias("pivot"), "size", _linked(F.size("difference"), F.col("size"), F.col("pivot_size")).alias("linked"), "difference")
-    checked = stored(checked, "checked")
-    label = stored(components(checked.where("linked").select(F.col("doc").alias("u"), F.col("pivot").alias("v"))), "labels")
-    more = _within_pivot(checked).union(_across_pivots(picked, pivots, label))
-    more = stored(more.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), (F.col("size_x") + F.col("size_y")).alias("sizes")).distinct(), "more")
-    links = _compared(texts, more).where(9 * F.size("difference") <= F.col("sizes")).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    checked = _against_pivots(texts, pivots)
+    alone = checked.where("not linked").select("doc")
+    second = _pivots(shared.join(alone, "doc", "left_semi"), picked.join(alone, "doc", "left_semi"))
+    again = _against_pivots(texts, second)
+    released(shared, second)
+    found = checked.where("linked").select("doc", "pivot").union(again.where("linked").select("doc", "pivot"))
+    label = stored(components(found.select(F.col("doc").alias("u"), F.col("pivot").alias("v"))), "labels")
+    released(again)
+    more = _within_pivot(checked, label).union(_across_pivots(picked, pivots, label))
+    more = stored(more.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "more")
+    released(checked, picked, pivots)
+    links = _compared(texts, more).where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
     links = links.join(label.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u", "left").join(label.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v", "left")
     joined = components(links.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))
     joined = joined.select(F.col("node").alias("old"), F.col("label").alias("new"))
-    members = members.join(label, F.col("rep") == F.col("node"), "left").withColumn("at", F.coalesce("label", "rep"))
-    members = members.join(joined, F.col("at") == F.col("old"), "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("new", "at"))
-    return members.select("doc_id", "n_shingles", own.alias("component_id"))
+    of = classes.select("digest", "rep").join(label, F.col("rep") == F.col("node"), "left").withColumn("at", F.coalesce("label", "rep")).join(joined, F.col("at") == F.col("old"), "left")
+    of = stored(of.select("digest", F.coalesce("new", "at").alias("component")), "of-class")
+    released(label, more)
+    columns = ["row", "doc_id", "n_shingles", "component"]
+    placed = hot_join(worded.select("row", "doc_id", "n_shingles", "digest"), of, ["digest"], large, F.col("row")).select(*columns)
+    return stored(placed.union(members.where("n_shingles = 0").select("row", "doc_id", "n_shingles", F.col("row").alias("component"))), "components")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs (doc_id, text); other columns are ignored.
+
+    Texts of equal words are one class and are compared once. Null, empty and blank texts have no shingles and are components of their own. Links are between
+    rows: rows that repeat a doc_id are classed by their own texts, and rows without doc_id link like others; component_id is the least doc_id of the component, null if none of its rows has one.
+    """
+    rows = _row_components(_numbered(docs, ("doc_id",)))
+    per = stored(rows.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "component-ids")
+    found = hot_join(rows, per.select("component", "component_id"), ["component"], hot(per, ["component"], rows.count()), F.col("row"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The columns `keep` of one row of each component of docs (doc_id, text, ...): that of least doc_id (null last), then of least number in the order of reading."""
+    rows = _numbered(docs, keep)
+    first = _row_components(rows).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row")).select("row")
+    first = stored(first, "first")
+    return rows.join(small(first, first.count()), "row", "left_semi").select("kept.*")
 
 
 #: The same classes by counting the shared shingles of all pairs, for comparison on small tables.

@@ -1,99 +1,96 @@
 """Licence scans with a generalised suffix automaton over the words of licence templates.
 
 The automaton holds every substring of every template. Streaming a text through it gives matching statistics: at each word, the longest
-template substring that ends there. Long maximal matches are chained, in order and with small gaps, into covered spans of a template.
+template substring that ends there. Long maximal matches are chained, by dynamic programming over matches in text order, into covered spans of a template.
 Marked phrases are read off the same walk: a phrase ends at a word when its state is the current one or one of its suffix links.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.functions import arrow_udf
 
 from shelfcast.llm.common import words_of
+from shelfcast.llm.licence_texts import TEMPLATES
 
 #: Marked phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Opening or notice texts of public licences, by label.
-TEMPLATES = {
-    "apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    ],
-    "bsd": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    ],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0."],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
-    "gpl": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "mit": [
-        "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
-    ],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-}
 #: Shortest match that enters a chain, widest gap in words between two links of a chain, and least covered share of a template.
 LEAST_MATCH, WIDEST_GAP, LEAST_COVER = 3, 6, 0.6
+#: A longer span counts from so many covered words on, even where they are a lesser share of a long licence.
+LEAST_WORDS = 24
+#: Bytes of template text that a table may hold: each Python worker builds the automaton of all of it.
+MOST_TEMPLATE_BYTES = 4 << 20
 
 
 class SuffixAutomaton:
-    """All substrings of several word sequences, with the sequences and places where each state's longest one ends first."""
+    """All substrings of several word sequences, and where they end."""
 
     def __init__(self, sequences: list[list[bytes]], phrases: dict[tuple[bytes, ...], str]):
         self.next: list[dict[bytes, int]] = [{}]
-        self.link, self.length, self.ends = [-1], [0], [(-1, 0)]
+        self.link, self.length = [-1], [0]
+        prefixes: list[list[tuple[int, int]]] = [[]]
         for number, words in enumerate(sequences):
             last = 0
             for place, word in enumerate(words, 1):
-                last = self._extend(last, word, (number, place))
+                last = self._extend(last, word)
+                prefixes += [[] for _ in range(len(self.next) - len(prefixes))]
+                prefixes[last].append((number, place))
         self.phrases: dict[int, tuple[int, str]] = {}
         for phrase, label in phrases.items():
             state = 0
             for word in phrase:
                 state = self.next[state][word]
             self.phrases[state] = (len(phrase), label)
-        self.found: list[tuple[tuple[int, str], ...]] = []
-        for state in range(len(self.next)):
-            out, at = [], state
-            while at > 0:
-                if at in self.phrases:
-                    out.append(self.phrases[at])
-                at = self.link[at]
-            self.found.append(tuple(out))
-
-    def _state(self, length: int, end: tuple[int, int], like: int | None = None) -> int:
+        self.found: list[tuple[tuple[int, str], ...]] = [()] * len(self.next)
+        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+            own = (self.phrases[state],) if state in self.phrases else ()
+            self.found[state] = own + self.found[self.link[state]]
+        self._number_ends(prefixes)
+
+    def _number_ends(self, prefixes: list[list[tuple[int, int]]]) -> None:
+        """`ends`: (sequence, place) of all prefixes in an order in which those below a state in the tree of suffix links are neighbours, from low[state] to high[state]."""
+        below: list[list[int]] = [[] for _ in self.next]
+        for state in range(1, len(self.next)):
+            below[self.link[state]].append(state)
+        self.ends: list[tuple[int, int]] = []
+        self.low, self.high = [0] * len(self.next), [0] * len(self.next)
+        todo = [(0, False)]
+        while todo:
+            state, done = todo.pop()
+            if done:
+                self.high[state] = len(self.ends)
+                continue
+            self.low[state] = len(self.ends)
+            self.ends += prefixes[state]
+            todo.append((state, True))
+            todo += [(s, False) for s in below[state]]
+
+    def _state(self, length: int, like: int | None = None) -> int:
         self.next.append(dict(self.next[like]) if like is not None else {})
         self.link.append(self.link[like] if like is not None else -1)
         self.length.append(length)
-        self.ends.append(self.ends[like] if like is not None else end)
         return len(self.next) - 1
 
-    def _split(self, parent: int, child: int, word: bytes, end: tuple[int, int]) -> int:
+    def _split(self, parent: int, child: int, word: bytes) -> int:
         if self.length[child] == self.length[parent] + 1:
             return child
-        clone = self._state(self.length[parent] + 1, end, child)
+        clone = self._state(self.length[parent] + 1, child)
         self.link[child] = clone
         while parent >= 0 and self.next[parent].get(word) == child:
             self.next[parent][word] = clone
             parent = self.link[parent]
         return clone
 
-    def _extend(self, last: int, word: bytes, end: tuple[int, int]) -> int:
+    def _extend(self, last: int, word: bytes) -> int:
         if word in self.next[last]:
-            return self._split(last, self.next[last][word], word, end)
-        new, at = self._state(self.length[last] + 1, end), last
+            return self._split(last, self.next[last][word], word)
+        new, at = self._state(self.length[last] + 1), last
         while at >= 0 and word not in self.next[at]:
             self.next[at][word] = new
             at = self.link[at]
-        self.link[new] = 0 if at < 0 else self._split(at, self.next[at][word], word, end)
+        self.link[new] = 0 if at < 0 else self._split(at, self.next[at][word], word)
         return new
 
     def stream(self, words: list[bytes]):
@@ -114,88 +111,113 @@ class SuffixAutomaton:
             yield i, state, length
 
 
+Match = tuple[int, int, int]
+
+
+def best_chains(matches: list[Match]) -> list[tuple[int, int, int]]:
+    """(first word, word after, template words covered) of chains of matches (first word, word after, place in the template), the best first; no match is in two chains.
+
+    A chain runs forward in text and template, with at most WIDEST_GAP words of text between neighbours; words that two of its matches share count once.
+    Where a chain meets matches of a better one, what is left of it begins behind them.
+    """
+    matches = sorted(set(matches), key=lambda m: (m[1], m[0], m[2]))
+    score, before = [], []
+    for i, (first, after, at) in enumerate(matches):
+        best, link = after - first, -1
+        for j in range(i - 1, -1, -1):
+            a, b, c = matches[j]
+            if b < first - WIDEST_GAP:
+                break
+            if a < first and c < at and c + b - a < at + after - first:
+                fresh = after - first - max(0, b - first, c + b - a - at)
+                if fresh > 0 and score[j] + fresh > best:
+                    best, link = score[j] + fresh, j
+        score.append(best)
+        before.append(link)
+    out, used = [], [False] * len(matches)
+    for end in sorted(range(len(matches)), key=lambda i: (-score[i], i)):
+        chain, i = [], end
+        while i >= 0 and not used[i]:
+            chain.append(i)
+            i = before[i]
+        if chain:
+            for k in chain:
+                used[k] = True
+            out.append((matches[chain[-1]][0], matches[end][1], score[end] - (score[i] if i >= 0 else 0)))
+    return out
+
+
 class Scanner:
     """Templates and phrases made ready; one of these per Python worker."""
 
-    def __init__(self, templates: dict[str, list[str]] | None = None, phrases: dict[str, str] | None = None):
-        templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
-        marked = {tuple(words_of(p.encode())): label for p, label in phrases.items()}
-        self.texts = [(label, words_of(t.encode())) for label, of in templates.items() for t in of]
+    def __init__(self, templates: list[tuple[str, str]], phrases: dict[str, str] | None = None):
+        marked = {tuple(words_of(p.encode())): label for p, label in (PHRASES if phrases is None else phrases).items()}
+        self.texts = [(label, words_of(t.encode())) for label, t in templates]
         self.automaton = SuffixAutomaton([w for _, w in self.texts] + [list(p) for p in marked], marked)
-        self.templates = len(self.texts)
-        self.starts: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-
-    def _places(self, words: list[bytes]) -> list[tuple[int, int]]:
-        """Every (template, start) of a matched substring."""
-        key = tuple(words)
-        if key not in self.starts:
-            n = len(words)
-            self.starts[key] = [(t, i) for t, (_, of) in enumerate(self.texts) for i in range(len(of) - n + 1) if of[i : i + n] == words]
-        return self.starts[key]
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, float]]]:
         """Marked phrases (label, first word, word after), and chained spans (label, first word, word after, share of the template)."""
-        marks, matches, open_match = [], [], None
+        marks, matches, last = [], [], None
         found = self.automaton.found
         for i, state, length in self.automaton.stream(words):
             for n, label in found[state]:
                 if n <= length:
                     marks.append((label, i - n, i))
-            if open_match and open_match[1] == i - 1 and open_match[0] == i - length:
-                open_match[1] = i
-            else:
-                if open_match:
-                    matches.append(tuple(open_match))
-                open_match = [i - length, i]
-        if open_match:
-            matches.append(tuple(open_match))
-        links: dict[int, list[tuple[int, int, int]]] = {}
-        for first, after in matches:
+            if last and not (last[1] == i - 1 and last[0] == i - length):
+                matches.append(last)
+            last = (i - length, i, state)
+        if last:
+            matches.append(last)
+        links: dict[int, list[Match]] = {}
+        for first, after, state in matches:
             if after - first >= LEAST_MATCH:
-                for t, at in self._places(words[first:after]):
-                    links.setdefault(t, []).append((first, after, at))
+                for t, end in self.automaton.ends[self.automaton.low[state] : self.automaton.high[state]]:
+                    if t < len(self.texts):
+                        links.setdefault(t, []).append((first, after, end - (after - first)))
         spans = []
         for t, of in links.items():
             label, size = self.texts[t][0], len(self.texts[t][1])
-            chain: list[tuple[int, int, int]] = []
-            covered = 0
-
-            def close() -> None:
-                if chain and covered >= LEAST_COVER * size:
-                    spans.append((label, chain[0][0], chain[-1][1], min(1.0, covered / size)))
-
-            for first, after, at in sorted(of):
-                if chain and first <= chain[-1][1] + WIDEST_GAP and at >= chain[-1][2] + 1 and at + after - first > chain[-1][2] + chain[-1][1] - chain[-1][0]:
-                    done_text, done_template = chain[-1][1], chain[-1][2] + chain[-1][1] - chain[-1][0]
-                    overlap = max(0, done_text - first, done_template - at)
-                    covered += max(0, after - first - overlap)
-                elif chain and first < chain[-1][1]:
-                    continue
-                else:
-                    close()
-                    chain, covered = [], after - first
-                chain.append((first, after, at))
-            close()
-        return marks, sorted(spans, key=lambda s: (s[1], s[2], s[0]))
+            taken: list[tuple[int, int]] = []
+            for first, after, covered in best_chains(of):
+                if (covered >= LEAST_COVER * size or covered >= LEAST_WORDS) and all(after <= a or b <= first for a, b in taken):
+                    taken.append((first, after))
+                    spans.append((label, first, after, min(1.0, covered / size)))
+        return marks, sorted(spans, key=lambda s: (s[1], s[2], s[0], s[3]))
 
 
 _SPAN = pa.struct([("label", pa.string()), ("first", pa.int64()), ("after", pa.int64()), ("cover", pa.float64())])
 _RESULT = pa.struct([("n_words", pa.int64()), ("phrases", pa.list_(_SPAN)), ("spans", pa.list_(_SPAN))])
 _SCHEMA = "struct<n_words: long, phrases: array<struct<label: string, first: long, after: long, cover: double>>, spans: array<struct<label: string, first: long, after: long, cover: double>>>"
-_ready: list[Scanner] = []
 
 
-def _scanned(texts: pa.Array) -> pa.Array:
-    if not _ready:
-        _ready.append(Scanner())
-    out = []
-    for text in texts:
-        words = words_of(text.as_py())
-        marks, spans = _ready[0].scan(words)
-        out.append({"n_words": len(words), "phrases": [dict(zip(("label", "first", "after", "cover"), (*m, 1.0), strict=True)) for m in marks], "spans": [dict(zip(("label", "first", "after", "cover"), s, strict=True)) for s in spans]})
-    return pa.array(out, _RESULT)
+def known_templates() -> list[tuple[str, str]]:
+    return [(label, text) for label, of in TEMPLATES.items() for text in of]
+
+
+def templates_of(table: DataFrame) -> list[tuple[str, str]]:
+    """The rows of a table of templates (label, text). It goes to every worker, so it may hold MOST_TEMPLATE_BYTES; rows with nulls are left out."""
+    from pyspark.sql import functions as F
+
+    table = table.select("label", "text").dropna().distinct()
+    size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MOST_TEMPLATE_BYTES:
+        raise ValueError(f"{size} bytes of templates are more than {MOST_TEMPLATE_BYTES}")
+    return sorted((r["label"], r["text"]) for r in table.collect())
 
 
-def scan_licenses(text: Column) -> Column:
+def scan_licenses(text: Column, templates: list[tuple[str, str]] | None = None) -> Column:
     """struct<n_words, phrases, spans> of a text: every marked phrase and every chained template span, by word. Null and empty texts have none."""
-    return arrow_udf(_scanned, _SCHEMA)(text.cast("binary"))
+    of = known_templates() if templates is None else templates
+    ready: list[Scanner] = []
+
+    def scanned(texts: pa.Array) -> pa.Array:
+        if not ready:
+            ready.append(Scanner(of))
+        out = []
+        for text in texts:
+            words = words_of(text.as_py())
+            marks, spans = ready[0].scan(words)
+            out.append({"n_words": len(words), "phrases": [dict(zip(("label", "first", "after", "cover"), (*m, 1.0), strict=True)) for m in marks], "spans": [dict(zip(("label", "first", "after", "cover"), s, strict=True)) for s in spans]})
+        return pa.array(out, _RESULT)
+
+    return arrow_udf(scanned, _SCHEMA)(text.cast("binary"))

@@ -27,9 +27,9 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    classifier = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
-    found = docs.select("doc_id", held_out.alias("held_out"), toxicity.score(docs, classifier).alias("score"))
-    return found.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    classifier, evidence = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    found = toxicity.scored(evidence, classifier).select("kept.doc_id", "score")
+    return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +60,9 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontamination.with_hits(docs, table(spark, sf_dir, "benchmark")).drop("text")
+    found = decontamination.find_hits(docs, table(spark, sf_dir, "benchmark"))
     n_hit = decontamination.hit_words(F.col("hits.spans"))
-    found = found.select("doc_id", "hits.n_words", n_hit.alias("n_hit"), "hits.items")
+    found = found.select("doc.doc_id", "hits.n_words", n_hit.alias("n_hit"), "hits.items")
     digest = F.sha2(F.array_join("items", ","), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), decontamination.contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"))
 
@@ -84,4 +84,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_secret_scans, op4_media_columns, op5_sharding, op6_license_scans, op7_decontamination, op8_language_id, op9_ngram_jaccard, op10_mixing)}
-ORACLES |= {"op7_decontamination": decontamination.ORACLE, "op9_ngram_jaccard": jaccard.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLES |= {"op5_sharding": sharding.ORACLE, "op7_decontamination": decontamination.ORACLE, "op9_ngram_jaccard": jaccard.ORACLE, "op10_mixing": mixing.ORACLE}

@@ -78,6 +78,8 @@ def test_jaccard_edges(spark):
     same = spark.createDataFrame([(7, "a b c d e f g"), (7, "a b c d e f g"), (3, "a b c d e f g"), (None, "a b c d e f g"), (None, None), (9, None)], "doc_id long, text string")
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(same).collect())
     assert got == Counter({(7, 3, 3): 2, (3, 3, 3): 1, (None, 3, 3): 1, (None, 0, None): 1, (9, 0, 9): 1})
+    split = spark.createDataFrame([(7, "a b c d e f g"), (7, "h i j k l m n"), (8, "h i j k l m n"), (None, "o p q r s t u"), (6, "A b c d e f g")], "doc_id long, text string")
+    assert Counter((r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(split).collect()) == Counter([(7, 6), (6, 6), (7, 7), (8, 7), (None, None)])
     assert jaccard.near_duplicates(same.limit(0)).count() == 0
 
 

@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,9 +108,9 @@ def test_decontamination(spark):
         for k in range(len(w) - n + 1 if n and item is not None else 0):
             windows.setdefault(tuple(w[k : k + n]), set()).add(str(item))
     for block in (10**6, 40):
-        found = decontamination.with_hits(docs(spark, texts, clash="hits_0"), bench, block_words=block)
-        assert found.columns == ["doc_id", "text", "hits_0", "hits"]
-        for r in found.withColumn("n", decontamination.hit_words(F.col("hits.spans"))).collect():
+        found = decontamination.find_hits(docs(spark, texts, clash="hits_0"), bench, block_words=block)
+        assert found.columns == ["doc", "hits"] and found.select("doc.*").columns == ["doc_id", "text", "hits_0"]
+        for r in found.withColumn("n", decontamination.hit_words(F.col("hits.spans"))).select("doc.*", "hits", "n").collect():
             w, hit, of = WORD.findall(low(r["text"])), set(), set()
             for p, who in windows.items():
                 for k in range(len(w) - len(p) + 1):
@@ -117,7 +118,7 @@ def test_decontamination(spark):
                         hit.update(range(k, k + len(p)))
                         of |= who
             assert (r["hits"]["n_words"], r["n"], r["hits"]["items"]) == (len(w), len(hit), sorted(of))
-    assert decontamination.with_hits(docs(spark, texts), bench.limit(0)).where("size(hits.items) > 0").count() == 0
+    assert decontamination.find_hits(docs(spark, texts), bench.limit(0)).where("size(hits.items) > 0").count() == 0
 
 
 def test_language(spark):
@@ -153,24 +154,78 @@ def test_toxicity(spark):
         labels.append((i, int(i % 6 == 0)))
     table = docs(spark, [*texts, *ODD], clash="votes")
     marks = spark.createDataFrame(labels, "doc_id long, toxic int")
-    classifier = toxicity.train(table, marks.where("doc_id % 5 <> 0"))
-    got = {r["doc_id"]: r["s"] for r in table.select("doc_id", toxicity.score(table, classifier).alias("s")).collect()}
+    classifier, evidence = toxicity.train(table, marks.where("doc_id % 5 <> 0"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(evidence, classifier).select("kept.doc_id", "score").collect()}
     right = [(got[i] >= 0.5) == bool(t) for i, t in labels]
     assert sum(right) / len(right) > 0.97 and all(0 <= s <= 1 for s in got.values()) and all(got[300 + k] < 0.5 for k in (0, 1, 2)) and got[305] == got[306]
-    assert toxicity.train(table.limit(0), marks).scores([None, b"x"]).max() < 0.5
-    unlabelled = toxicity.train(table, marks.limit(0))
+    nothing, none = toxicity.train(table.limit(0), marks)
+    assert nothing.scores([None, b"x"]).max() < 0.5 and toxicity.scored(none, nothing).count() == 0
+    unlabelled, _ = toxicity.train(table, marks.limit(0))
     assert unlabelled.scores([b"word " * 60 + b"you idiot scum trash"])[0] > unlabelled.scores([b"word " * 60])[0]
 
 
-def test_label_model_discounts_copies():
+def plain_evidence(lexicon, text):
+    """Words, roots by place, insults by kind, threats, address and the three patterns, one word and one regular expression at a time."""
+    words = words_of(text)
+    roots, fixed = [0] * toxicity.ROOTS, [sum(w in s for w in words) for s in (toxicity.INTELLECT, toxicity.CONTEMPT, toxicity.THREATS)]
+    for w in words:
+        for k in range(toxicity.LONGEST, toxicity.SHORTEST - 1, -1):
+            if len(w) >= k and w[:k] in lexicon.roots:
+                roots[lexicon.roots.index(w[:k])] += 1
+                break
+    addressed = any(w in toxicity.INSULTS and set(words[max(0, i - 3) : i]) & toxicity.ADDRESS for i, w in enumerate(words))
+    found = [len(re.findall(p, text or b"")) for p in (rb"\b[A-Z]{4,}\b", rb"[!?]{2,}", rb"([a-z])\1{3,}")]
+    return max(1, len(words)), roots, fixed, addressed, found
+
+
+def test_evidence_equals_word_by_word():
+    rng = random.Random(7)
+    lexicon = toxicity.Lexicon((b"zwor", b"grobb", b"\xc3\xa4bcd"))
+    pool = ["zworgly", "Grobbing", "grob", "äbcde", "you", "IDIOT", "scum", "HATE", "kill", "plain", "AAAA", "B_CD", "sooooo", "!!", "??!", "x", "é", "aaaa", "!", "YELLING"]
+    texts = ["".join(rng.choice(pool) + rng.choice([" ", ", ", "\n", ""]) for _ in range(rng.randrange(0, 80))).encode() for _ in range(120)] + [None, b"", b"zworgl" * 90_000, b"aaaa" * 100_000]
+    features, votes = lexicon.evidence(pa.array(texts, pa.binary()))
+    for text, row, bits in zip(texts, features, votes.tolist(), strict=True):
+        n, roots, fixed, addressed, found = plain_evidence(lexicon, text)
+        assert np.allclose(row[: toxicity.ROOTS], np.minimum(np.array(roots) / n * 100, 1))
+        assert np.allclose(row[-9:], [min(sum(roots) / n * 50, 2), min(sum(fixed[:2]) / n * 50, 2), min(fixed[2] / n * 50, 2), addressed, *[min(x / n * 20, 1) for x in found], sum(roots) == 0 and sum(fixed[:2]) == 0, sum(roots) >= 2]), text
+        groups = [sum(roots[i :: toxicity.LEXICONS]) / n >= 0.003 for i in range(toxicity.LEXICONS)]
+        want = [*groups, *[x / n >= 0.003 for x in fixed], addressed, found[0] / n >= 0.05, found[1] / n >= 0.02, found[2] / n >= 0.02]
+        assert [bool(bits >> i & 1) for i in range(toxicity.VOTERS)] == want
+
+
+def test_label_model_recovers_planted_correlations():
+    rng = np.random.default_rng(3)
+    pairs, theta = [(1, 0), (5, 3)], np.full((2, toxicity.VOTERS + 2), -2.5)
+    theta[1, :9] = 0.3
+    theta[:, -2:] = 2.0, 1.5
+    true = toxicity.LabelModel(pairs, theta, 0.3)
+    every = toxicity._unpacked(np.arange(1 << toxicity.VOTERS))
+    logs, z = true._logs(true.features(every))
+    p = np.exp(logs - z)
+    counts = np.concatenate([rng.multinomial(140_000, p[:, 0]), rng.multinomial(60_000, p[:, 1])]).reshape(2, -1).sum(0)
+    seen = np.flatnonzero(counts)
+    known = rng.choice(len(every), 3000, p=p[:, 0]), rng.choice(len(every), 1300, p=p[:, 1])
+    model = toxicity.fit_label_model(seen, counts[seen].astype(float), (np.concatenate(known), np.repeat([0.0, 1.0], [3000, 1300]), np.ones(4300)), rounds=15)
+    assert set(pairs) <= set(model.pairs)
+    for k, pair in enumerate(pairs):
+        assert np.allclose(model.theta[:, toxicity.VOTERS + model.pairs.index(pair)], theta[:, toxicity.VOTERS + k], atol=0.35)
+    assert np.abs(model.rates() - true.rates()).max() < 0.03 and np.abs(model.posterior(every[seen]) - true.posterior(every[seen])) @ counts[seen] / counts.sum() < 0.02
+
+
+def test_label_model_counts_a_copied_voter_once(monkeypatch):
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.3
     votes = np.zeros((4000, toxicity.VOTERS), int)
     for v, hit in ((0, 0.9), (1, 0.8), (2, 0.7)):
         votes[:, v] = rng.random(4000) < np.where(truth, hit, 0.05)
     votes[:, 3] = votes[:, 2]
-    votes[:, -1] = votes[:, :4].sum(1) == 0
     patterns, counts = np.unique(votes @ (1 << np.arange(toxicity.VOTERS)), return_counts=True)
-    model = toxicity.fit_label_model(patterns, counts.astype(float), None)
+    known = votes[:400] @ (1 << np.arange(toxicity.VOTERS)), truth[:400].astype(float), np.ones(400)
+    model = toxicity.fit_label_model(patterns, counts.astype(float), known)
     assert ((model.posterior(votes) > 0.5) == truth).mean() > 0.93
-    assert model.weights()[3] < 0.6 < model.weights()[0] and abs(model.rates[1][0] - 0.9) < 0.08
+    assert (3, 2) in model.pairs and abs(model.rates()[1][0] - 0.9) < 0.08
+    both, one = np.zeros((2, toxicity.VOTERS))
+    both[[2, 3]], one[2] = 1, 1
+    monkeypatch.setattr(toxicity, "MOST_PAIRS", 0)
+    single = toxicity.fit_label_model(patterns, counts.astype(float), known)
+    assert np.log(model.posterior(both[None]) / (1 - model.posterior(both[None])))[0] < np.log(single.posterior(both[None]) / (1 - single.posterior(both[None])))[0]

@@ -1,7 +1,7 @@
 """A corpus pipeline: toxicity filter, near-duplicate removal, benchmark decontamination, source mixing, sharding.
 
-Each stage takes (spark, docs, sf_dir) and works on every row of docs, which is what the stage before it kept.
-All but the last return the columns of docs.
+Each stage takes (spark, docs, sf_dir) and works on every row of docs, which is what the stage before it kept. All but the last return the columns of docs.
+Documents travel as a struct beside the columns that a stage needs, so other columns may have any name. Decisions are by row: doc_id may be null or repeat.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.llm import decontamination, jaccard, mixing, sharding, toxicity
-from shelfcast.llm.common import stored
+from shelfcast.llm.common import in_struct, stored
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,32 +20,27 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays under 0.5."""
-    classifier = toxicity.train(docs, _labels(spark, sf_dir))
-    return docs.withColumn("__score", toxicity.score(docs, classifier)).where("__score < 0.5").drop("__score")
+    """Documents whose score stays under 0.5. Null and empty texts stay."""
+    classifier, evidence = toxicity.train(in_struct(docs, "doc_id", "text"), _labels(spark, sf_dir), keep=("doc",))
+    return toxicity.scored(evidence, classifier).where("score < 0.5").select("kept.doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each component; a doc_id that repeats stays once, rows without doc_id stay."""
-    found = jaccard.near_duplicates(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One document of each component, that of least doc_id; documents without id come last. Documents without words stay."""
+    return jaccard.one_of_each(in_struct(docs, "doc_id", "text"), ("doc",)).select("doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth stands in benchmark windows."""
-    found = decontamination.with_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontamination.find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_hit = decontamination.hit_words(F.col("hits.spans"))
-    return found.withColumn("__hit", n_hit).where(~decontamination.contaminated(F.col("hits.n_words"), F.col("__hit"))).select(*docs.columns)
+    return found.where(~decontamination.contaminated(F.col("hits.n_words"), n_hit)).select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents of no words aren't taken."""
-    taken = mixing.mix_documents(docs).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    taken = stored(taken.groupBy("doc_id").agg(F.max("__times").alias("__times")), "mix-taken")
-    again = F.explode(F.sequence(F.lit(1), F.col("__times")))
-    return docs.join(taken, "doc_id").withColumn("__copy", again).select(*docs.columns)
+    """Each document as often as the mix takes it; documents without words aren't taken."""
+    taken = mixing.mix_documents(in_struct(docs, "doc_id", "text", "source"), keep=("doc",)).where("taken > 0")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")))).select("doc.*")
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,29 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions import text, time
+from shelfcast.functions.joins import small
 from shelfcast.schemas import CLEAN_COLUMNS, GATES, PAYMENT_TYPES, RAW_COLUMNS, CleaningRules
 
 _NULL_ID_SALTS = 64
+_SALT = "_salt"
+
+
+def _dealt(raw: DataFrame) -> DataFrame:
+    """Rows dealt by transaction_id, and those without one by a hash of all their columns too, so that they are spread over _NULL_ID_SALTS places."""
+    salt = F.when(F.col("transaction_id").isNull(), F.pmod(F.xxhash64(*raw.columns), F.lit(_NULL_ID_SALTS))).otherwise(F.lit(0))
+    return raw.withColumn(_SALT, salt.cast("int")).repartition("transaction_id", _SALT)
+
+
+def _ranked(dealt: DataFrame, raw: DataFrame, order_by: list[str] | None) -> DataFrame:
+    """dealt rows with id_rank. The first of all rows without id comes from an aggregate of those raw rows alone: one row, known before the ranking."""
+    columns = order_by or sorted(raw.columns)
+    place = F.row_number().over(Window.partitionBy("transaction_id", _SALT).orderBy(*[F.col(c).asc_nulls_first() for c in columns]))
+    first = raw.where("transaction_id is null").agg(F.min(F.struct(*columns)).alias("_first"))
+    late = F.col("transaction_id").isNull() & ~F.struct(*columns).eqNullSafe(F.col("_first"))
+    ranked = dealt.withColumn("id_rank", place).crossJoin(F.broadcast(first))
+    return ranked.withColumn("id_rank", F.when(late, F.col("id_rank") + 1).otherwise(F.col("id_rank"))).drop(_SALT, "_first")
 
 
 def drop_exact_duplicates(raw: DataFrame) -> DataFrame:
-    """Distinct rows, nulls equal. Rows are dealt by transaction_id, which the id gate needs too."""
-    return raw.repartition("transaction_id").dropDuplicates()
+    """Distinct rows, nulls equal."""
+    return _dealt(raw).dropDuplicates().drop(_SALT)
 
 
 def mark_conflicting_ids(raw: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """`id_rank`: 1 for the row kept of each transaction_id, more for its conflicting copies.
 
-    Spark keeps no file order, so the first row is the least by `order_by` (all columns). Null ids count as one id; they are ranked
-    within salts first, and only the salts' first rows meet each other.
+    Spark keeps no file order, so the first row is the least by `order_by` (all columns). Null ids count as one id.
     """
-    order = [F.col(c).asc_nulls_first() for c in order_by or sorted(raw.columns)]
-    salt = F.when(F.col("transaction_id").isNull(), F.pmod(F.xxhash64(*[c for c in raw.columns if c != "transaction_id"]), F.lit(_NULL_ID_SALTS))).otherwise(0)
-    ranked = raw.withColumn("_salt", salt).withColumn("id_rank", F.row_number().over(Window.partitionBy("transaction_id", "_salt").orderBy(*order)))
-    heads = ranked.where("transaction_id is null and id_rank = 1").agg(F.min(F.struct(*[F.col(c) for c in order_by or sorted(raw.columns)], "_salt"))["_salt"].alias("_first"))
-    ranked = ranked.crossJoin(F.broadcast(heads))
-    late = F.col("transaction_id").isNull() & (F.col("_salt") != F.col("_first")) & (F.col("id_rank") == 1)
-    return ranked.withColumn("id_rank", F.when(late, 2).otherwise(F.col("id_rank"))).drop("_salt", "_first")
+    return _ranked(_dealt(raw), raw, order_by)
 
 
 def normalize_product(c: Column, rules: CleaningRules = CleaningRules()) -> Column:
@@ -45,9 +56,9 @@ def normalize_category(c: Column) -> Column:
 
 
 def attach_store_timezone(raw: DataFrame, stores: DataFrame) -> DataFrame:
-    """Each row with its store's zone and whether the store is known. The dimension has a row a store and is broadcast."""
+    """Each row with its store's zone and whether the store is known. The dimension has a row a store and is broadcast if it is small."""
     dim = stores.select("store_id", F.col("timezone").alias("_zone"), F.lit(True).alias("_known"))
-    return raw.join(F.broadcast(dim), "store_id", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    return raw.join(small(dim), "store_id", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
 
 
 def _true(c: Column) -> Column:
@@ -58,15 +69,16 @@ def _true(c: Column) -> Column:
 def gate(raw: DataFrame, stores: DataFrame, rules: CleaningRules = CleaningRules(), order_by: list[str] | None = None) -> DataFrame:
     """Every distinct row with its derived columns and `_reject_reason`: the first gate that it fails, or null.
 
-    All gates but the id gate look at the row and its store alone, so they are one projection over one shuffle.
+    Exact duplicates and the id gate share one exchange; all other gates look at the row and its store alone and are one projection above it.
     """
-    rows = mark_conflicting_ids(drop_exact_duplicates(raw), order_by)
+    rows = _ranked(_dealt(raw).dropDuplicates(), raw, order_by)
     rows = attach_store_timezone(rows, stores)
     rows = rows.withColumn("product_raw", F.col("product")).withColumn("product", normalize_product(F.col("product_raw"), rules))
     rows = rows.withColumn("payment_type", normalize_payment(F.col("payment_type"))).withColumn("category", normalize_category(F.col("category")))
     for c in ("quantity", "unit_price", "amount"):
         rows = rows.withColumn(f"_text_{c}", F.col(c)).withColumn(c, text.to_number(F.col(c)))
-    instant, wall = time.parse(F.col("transaction_ts"))
+    rows = rows.withColumn("_ts", text.strip(F.col("transaction_ts")))
+    instant, wall = time.parse(F.col("_ts"))
     rows = rows.withColumn("_instant", instant).withColumn("_wall", wall)
     rows = rows.withColumn("ts_utc", F.coalesce("_instant", time.to_utc(F.col("_wall"), F.col("_zone"))))
     rows = rows.withColumn("ts_local", time.local_text(F.col("ts_utc"), F.col("_zone")))
@@ -94,7 +106,7 @@ def gate(raw: DataFrame, stores: DataFrame, rules: CleaningRules = CleaningRules
     reason = F.lit(None).cast("string")
     for name, test in reversed(list(zip(GATES, failed, strict=True))):
         reason = F.when(test, name).otherwise(reason)
-    return rows.withColumn("_reject_reason", reason)
+    return rows.withColumn("_reject_reason", reason).drop("_ts", "_instant", "_wall")
 
 
 def survivors(gated: DataFrame) -> DataFrame:
@@ -108,10 +120,17 @@ def quarantine(gated: DataFrame) -> DataFrame:
 
 
 def iqr_bounds(rows: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """category, q1, q3, lower, upper of abs(amount); a null category is a group. With `accuracy`, approximate percentiles for very large groups."""
-    size = F.abs("amount")
-    q = F.percentile(size, F.array(F.lit(0.25), F.lit(0.75))) if accuracy is None else F.percentile_approx(size, [0.25, 0.75], accuracy)
-    out = rows.groupBy("category").agg(q.alias("q")).select("category", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    """category, q1, q3, lower, upper of abs(amount); a null category is a group. With `accuracy`, approximate percentiles.
+
+    Exact ones are taken from counts by value: amounts are cents within the physical bounds, so a category has no more values than those allow.
+    """
+    rows = rows.select("category", F.abs("amount").alias("_size"))
+    if accuracy is None:
+        values = rows.groupBy("category", "_size").agg(F.count(F.lit(1)).alias("_n"))
+        q = values.groupBy("category").agg(F.percentile("_size", F.array(F.lit(0.25), F.lit(0.75)), F.col("_n")).alias("q"))
+    else:
+        q = rows.groupBy("category").agg(F.percentile_approx("_size", [0.25, 0.75], accuracy).alias("q"))
+    out = q.select("category", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     span = 1.5 * (F.col("q3") - F.col("q1"))
     return out.select("category", "q1", "q3", F.round(F.col("q1") - span, 9).alias("lower"), F.round(F.col("q3") + span, 9).alias("upper"))
 
@@ -136,14 +155,15 @@ def quarantine_breakdown(gated: DataFrame) -> DataFrame:
 
 
 def quality_funnel(raw: DataFrame, gated: DataFrame) -> DataFrame:
-    """Rows left after each stage, as a share of raw rows. One count by reason; stages are running differences in gate order."""
+    """Rows left after each stage, then rows in quarantine, each with its share of raw rows. One count by reason; stages are running differences in gate order."""
     spark = raw.sparkSession
-    stages = [("raw", 0), ("dedupe", 1), ("strings", 2), ("types", 2), ("timestamps", 4), ("referential", 6), ("business_rules", 11)]
+    stages = [("raw", 0), ("dedupe", 1), ("strings", 2), ("types", 2), ("timestamps", 4), ("referential", 6), ("business_rules", 10), ("outliers", 11), ("final_clean", 11), ("quarantined", -1)]
     gates = F.broadcast(spark.createDataFrame([(g, i + 1) for i, g in enumerate(GATES)], "reason string, gate int"))
     lost = gated.groupBy(F.col("_reject_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n")).join(gates, "reason", "left")
     total = raw.agg(F.count(F.lit(1)).alias("raw_rows"))
     plan = spark.createDataFrame([(i, s, g) for i, (s, g) in enumerate(stages)], "step int, stage string, upto int")
-    left = F.sum(F.when(F.col("gate").isNull() | (F.col("gate") > F.col("upto")), F.col("n")).otherwise(0))
+    here = F.when(F.col("upto") < 0, F.col("gate").isNotNull()).otherwise(F.col("gate").isNull() | (F.col("gate") > F.col("upto")))
+    left = F.sum(F.when(here, F.col("n")).otherwise(0))
     out = F.broadcast(plan).crossJoin(lost).groupBy("step", "stage").agg(left.alias("left")).crossJoin(F.broadcast(total))
     rows = F.when(F.col("stage") == "raw", F.col("raw_rows")).otherwise(F.col("left")).cast("long")
     return out.select("step", "stage", rows.alias("rows"), F.round(100.0 * rows / F.col("raw_rows"), 4).alias("kept_pct"))

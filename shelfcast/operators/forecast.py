@@ -7,8 +7,8 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark import SparkContext
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,11 @@ from shelfcast.functions.errors import clipped, error_metrics, wape
 from shelfcast.functions.holidays import holiday_dates
 
 CATEGORICALS = ("store_id", "product", "category")
-#: Ids, the target, and what is known only after the target day.
+#: Most boosting rounds and the share of each that is added; the validation error picks among them.
+ROUNDS, STEP = 60, 0.1
+#: What nulls count as in trees, and the most categories of a column that enter as such.
+MISSING, WIDE = -1e9, 2_000
+#: Ids, the target, and what is known only after the target day.
 NOT_INPUTS = ("store_id", "product", "category", "business_date", "demand", "revenue", "txn_count", "refund_units", "outlier_txns", "ts_local")
 
 
@@ -26,7 +30,7 @@ def select_model_features(columns: list[str]) -> list[str]:
     return [*CATEGORICALS, *(c for c in columns if c not in NOT_INPUTS)]
 
 
-def temporal_split(features: DataFrame, test_days: int = 45, val_days: int = 45) -> DataFrame:
+def temporal_split(features: DataFrame, test_days: int = 45, val_days: int = 30) -> DataFrame:
     """features with `split`: the last test_days are test, the val_days before them val, all earlier days train."""
     last = features.agg(F.max("business_date").alias("_last"))
     d = F.col("business_date")
@@ -48,21 +52,43 @@ def seasonal_naive(features: DataFrame, out: str = "pred") -> DataFrame:
     return features.withColumn(out, clipped(F.col("demand_lag_7").cast("double")))
 
 
-def train_global_gbt(rows: DataFrame, columns: list[str], validation: str | None = None, max_iter: int = 20, depth: int = 5, seed: int = 42, patience: int = 40) -> PipelineModel:
+def _filled(columns: list[str]) -> SQLTransformer:
+    """`_c` for each numeric column c, with MISSING for null and NaN: a value below all others, so a tree can set it apart."""
+    filled = ", ".join(f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)), CAST({MISSING} AS DOUBLE)) AS `_{c}`" for c in columns)
+    return SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
+
+
+def train_global_gbt(rows: DataFrame, columns: list[str], validation: str | None = None, max_iter: int = ROUNDS, depth: int = 5, seed: int = 42, patience: int = 40) -> PipelineModel:
     """One boosted-tree model for all series with absolute loss. `validation` names a boolean column whose true rows aren't fitted but end the boosting:
-    it keeps the rounds up to the one of least validation error, looking `patience` rounds beyond each new best."""
+    it keeps the rounds up to the one of least validation error, looking `patience` rounds beyond each new best.
+
+    Every row is fitted and scored: nulls are filled with MISSING, categories that weren't seen are one of their own. The number of bins follows the
+    categories; a column of more than WIDE of them enters as a number, their rank by frequency.
+    """
     cats = [c for c in CATEGORICALS if c in columns]
     numeric = [c for c in columns if c not in cats]
-    index = [StringIndexer(inputCols=list(cats), outputCols=[f"_{c}" for c in cats], handleInvalid="keep")] if cats else []
-    vector = VectorAssembler(inputCols=[*(f"_{c}" for c in cats), *numeric], outputCol="_features", handleInvalid="skip")
-    trees = GBTRegressor(featuresCol="_features", labelCol="demand", predictionCol="_raw_pred", lossType="absolute", maxIter=max_iter, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=40, maxBins=64, seed=seed)
-    ready = Pipeline(stages=[*index, vector]).fit(rows)
+    stages, inputs, bins = [], [], 64
+    if cats:
+        index = StringIndexer(inputCols=list(cats), outputCols=[f"_{c}" for c in cats], handleInvalid="keep").fit(rows)
+        stages.append(index)
+        for c, labels in zip(cats, index.labelsArray, strict=True):
+            if len(labels) <= WIDE:
+                inputs.append(f"_{c}")
+                bins = max(bins, len(labels) + 1)
+            else:
+                stages.append(SQLTransformer(statement=f"SELECT *, `_{c}` + 0D AS `_rank_{c}` FROM __THIS__"))
+                inputs.append(f"_rank_{c}")
+    if numeric:
+        stages.append(_filled(numeric))
+    stages.append(VectorAssembler(inputCols=[*inputs, *(f"_{c}" for c in numeric)], outputCol="_features", handleInvalid="error"))
+    trees = GBTRegressor(featuresCol="_features", labelCol="demand", predictionCol="_raw_pred", lossType="absolute", maxIter=max_iter, maxDepth=depth, stepSize=STEP, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=40, maxBins=bins, seed=seed)
+    ready = PipelineModel(stages)
     vectors = ready.transform(rows).select("_features", "demand", *([validation] if validation else []))
     if not validation:
-        return PipelineModel([*ready.stages, trees.fit(vectors)])
+        return PipelineModel([*stages, trees.fit(vectors)])
     model = trees.fit(vectors.where(~F.col(validation)))
     errors = model.evaluateEachIteration(vectors.where(validation), "absolute")
-    return PipelineModel([*ready.stages, _first_rounds(model, best_round(errors, patience))])
+    return PipelineModel([*stages, _first_rounds(model, best_round(errors, patience))])
 
 
 def best_round(errors: list[float], patience: int) -> int:
@@ -95,7 +121,7 @@ def score(model: PipelineModel, rows: DataFrame, out: str = "pred") -> DataFrame
 def feature_importance(model: PipelineModel, top: int = 12) -> DataFrame:
     """feature, importance: the most important inputs."""
     vector, trees = model.stages[-2], model.stages[-1]
-    names = [n.lstrip("_") for n in vector.getInputCols()]
+    names = [n.removeprefix("_rank").lstrip("_") for n in vector.getInputCols()]
     values = trees.featureImportances.toArray().tolist()
     return SparkSession.active().createDataFrame(list(zip(names, values, strict=True)), "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)
 
@@ -141,6 +167,35 @@ def fall_back(primary: DataFrame, other: DataFrame, pred: str = "pred") -> DataF
     return other.join(primary.select(*keys, F.col(pred).alias("_p")), keys, "left").withColumn(pred, F.coalesce("_p", pred)).drop("_p")
 
 
+#: The models that are compared, and the columns of their predictions.
+MODELS = ("naive", "gbt", "decomposition")
+
+
+def predict_all(split: DataFrame, **params: int) -> DataFrame:
+    """Val and test rows of `split` with a prediction by each of MODELS.
+
+    The trees are fitted on train and ended by val. A series' own model is fitted on train for val, and on train and val for test; where it can't be, the naive forecast stands in.
+    """
+    rows = seasonal_naive(split, "naive")
+    known = training_rows(rows).withColumn("_val", F.col("split") == "val")
+    model = train_global_gbt(known, select_model_features([c for c in split.columns if c != "split"]), "_val", **params)
+    ahead = score(model, rows.where("split in ('val', 'test')"), "gbt")
+    train, val, test = (rows.where(F.col("split") == s) for s in ("train", "val", "test"))
+    own = seasonal_decomposition_forecast(train, val).union(seasonal_decomposition_forecast(train.union(val), test)).withColumnRenamed("pred", "_own")
+    joined = ahead.join(own, ["store_id", "product", "business_date"], "left")
+    return joined.withColumn("decomposition", F.coalesce("_own", "naive")).drop("_own")
+
+
+def model_results(predicted: DataFrame) -> DataFrame:
+    """model, wape, mae, rmse, bias, lift_pct, is_best, weight on the test rows of predict_all's table: each of MODELS and their ensemble, whose weights are those of least error on val."""
+    best = tune_ensemble_weights(predicted.where("split = 'val'"), list(MODELS)).first()
+    weights = {m: best[f"w_{m}"] for m in MODELS}
+    test = blend_predictions(predicted.where("split = 'test'"), weights, "ensemble")
+    metrics = compare_models(test, [*MODELS, "ensemble"])
+    weight = F.try_element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), F.col("model"))
+    return metrics.join(lift_over_baseline(metrics, "naive").drop("wape"), "model").withColumn("weight", weight)
+
+
 def blend_predictions(rows: DataFrame, weights: dict[str, float], out: str = "pred") -> DataFrame:
     return rows.withColumn(out, reduce(lambda a, b: a + b, [F.lit(w) * F.col(c) for c, w in weights.items()]))
 

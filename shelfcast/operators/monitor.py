@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.errors import wape
+from shelfcast.functions.joins import small
+from shelfcast.functions.quantiles import exact_quantiles
+from shelfcast.operators import forecast
 
 SIGNIFICANT, MODERATE = 0.2, 0.1
 INPUTS = ("demand_lag_7", "demand_rollmean_28", "avg_unit_price", "dow")
@@ -21,8 +24,8 @@ class MonitorRules:
 
 
 def attach_store_type(rows: DataFrame, stores: DataFrame) -> DataFrame:
-    """The segment, for reporting only; a row a store, so broadcast."""
-    return rows.join(F.broadcast(stores.select("store_id", "store_type")), "store_id", "left")
+    """The segment, for reporting only. The dimension has a row a store and is broadcast if it is small."""
+    return rows.join(small(stores.select("store_id", "store_type")), "store_id", "left")
 
 
 def split_reference_production(rows: DataFrame, val_start: str, reference_end: str) -> DataFrame:
@@ -66,12 +69,11 @@ def max_consecutive_degraded(weekly: DataFrame, threshold: float | Column) -> Da
 def population_stability_index(rows: DataFrame, is_reference: Column, is_current: Column, by: str = "feature", value: str = "value") -> DataFrame:
     """PSI of `value` between two sides, for each `by`; null if a side has fewer than 10 values.
 
-    Edges are the reference's deciles; a bin holds its lower edge, repeated edges leave bins empty. The edges have a row for each
+    Edges are the reference's deciles, exact for groups of any size (see exact_quantiles); a bin holds its lower edge, repeated edges leave bins empty. The edges have a row for each
     `by`; counts of both sides come from one pass with partial sums.
     """
     side = rows.where(F.col(value).isNotNull()).select(F.col(by), F.col(value).cast("double").alias("_x"), is_reference.alias("_r"), is_current.alias("_c"))
-    tenths = F.array(*[F.lit(k / 10) for k in range(1, 10)])
-    edges = side.where("_r").groupBy(by).agg(F.percentile("_x", tenths).alias("_edges"))
+    edges = exact_quantiles(side.where("_r"), by, "_x", tuple(k / 10 for k in range(1, 10))).withColumnRenamed("q", "_edges")
     binned = side.join(F.broadcast(edges), by, "left").withColumn("_bin", F.size(F.filter("_edges", lambda e: F.round(e, 9) <= F.round(F.col("_x"), 9))))
     counts = binned.groupBy(by).agg(*[F.count_if((F.col("_bin") == k) & F.col(s)).alias(f"{s}{k}") for s in ("_r", "_c") for k in range(10)], F.count_if("_r").alias("_nr"), F.count_if("_c").alias("_nc"))
     total = F.lit(0.0)
@@ -115,6 +117,15 @@ def retrain_decision(weekly: DataFrame, operating: DataFrame, inputs: DataFrame,
     return row.select("threshold", "max_run", (sustained | (F.size("drifted") > 0) | F.col("target_drift")).alias("retrain"), reasons.alias("reasons"))
 
 
+def score_periods(rows: DataFrame, **params: int) -> DataFrame:
+    """rows (the matrix with `period`) with `pred` of one model for the reference and production periods, null in train: fitted on train, ended by the reference block, then frozen."""
+    inputs = forecast.select_model_features([c for c in rows.columns if c not in ("period", "store_type")])
+    known = rows.where("period <> 'production'").withColumn("_val", F.col("period") == "reference")
+    model = forecast.train_global_gbt(known, inputs, "_val", **params)
+    ahead = forecast.score(model, rows.where("period <> 'train'"))
+    return ahead.unionByName(rows.where("period = 'train'").withColumn("pred", F.lit(None).cast("double")))
+
+
 def monitor(rows: DataFrame, operating: DataFrame | None = None, rules: MonitorRules = MonitorRules()) -> dict[str, DataFrame]:
     """All tables of a monitoring pass over scored rows with `period` and `store_type`. `operating` defaults to the median week of the same production rows."""
     production = rows.where("period = 'production'")

@@ -59,11 +59,13 @@ _STEP2 = f"""
 SELECT *, CASE WHEN k % 509 = 0 THEN 0 ELSE q1 END AS q2, CAST(CASE WHEN k % 167 = 0 THEN floor(a1 * 3 / 2) ELSE a1 END AS BIGINT) AS a2, CASE WHEN k % 251 = 0 THEN price * 100 ELSE price END AS p2
 FROM ({_STEP1}) AS step1"""
 
+# k % 613 = 0: half past two on a day on which clocks are put forward at two, or half past one on a day on which that hour comes twice.
 _STEP3 = f"""
 SELECT *, CASE WHEN k % 211 = 0 THEN CASE category WHEN 'fuel' THEN 59 ELSE 50 END WHEN k % 397 = 0 THEN q2 * 10 ELSE q2 END AS q3,
   CASE WHEN k % 211 = 0 THEN 44250 WHEN k % 397 = 0 THEN q2 * 10 * p2 ELSE a2 END AS a3,
   CASE WHEN k % 211 = 0 THEN CASE category WHEN 'fuel' THEN 750 ELSE 885 END ELSE p2 END AS p3,
-  day + CASE WHEN minute >= 1440 THEN 1 ELSE 0 END AS day3, minute % 1440 AS minute3
+  CASE WHEN k % 613 = 0 THEN CASE k % 2 WHEN 0 THEN DATE '1998-04-05' ELSE DATE '1998-10-25' END ELSE day + CASE WHEN minute >= 1440 THEN 1 ELSE 0 END END AS day3,
+  CASE WHEN k % 613 = 0 THEN CASE k % 2 WHEN 0 THEN 150 ELSE 90 END ELSE minute % 1440 END AS minute3
 FROM ({_STEP2}) AS step2"""
 
 _CLOCK = f"concat({_pad('CAST(floor(minute3 / 60) AS BIGINT)', 2)}, ':', {_pad('minute3 % 60', 2)})"

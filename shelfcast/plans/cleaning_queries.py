@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import json
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfcast.operators import cleaning
 from shelfcast.plans import adapters, sql
 from shelfcast.plans.registry import query
 from shelfcast.schemas import CLEAN_COLUMNS, RAW_COLUMNS, CleaningRules
+from shelfcast.session import kept, new_path
 from shelfcast.sources import io
 
 RULES = CleaningRules(earliest=sql.EARLIEST, latest=sql.LATEST)
@@ -19,8 +19,7 @@ RULES = CleaningRules(earliest=sql.EARLIEST, latest=sql.LATEST)
 
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that all executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
-    return f"{folder}/{uuid.uuid4().hex}"
+    return new_path(spark, "scratch")
 
 
 def raw(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +35,7 @@ def gated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, d: str) -> DataFrame:
-    rows = cleaning.survivors(gated(spark, d).persist())
+    rows = cleaning.survivors(kept(gated(spark, d)))
     return cleaning.finalize(cleaning.flag_stat_outliers(rows, cleaning.iqr_bounds(rows)))
 
 
@@ -148,6 +147,19 @@ def clean_transactions(spark: SparkSession, d: str) -> DataFrame:
     return clean(spark, d).select(*CLEAN_COLUMNS)
 
 
+@query(_g("SELECT count(*) AS n, strftime(min(ts_utc), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts_utc), '%Y-%m-%d %H:%M:%S') AS last_ts, true AS in_order FROM clean"))
+def clean_time_sorted(spark: SparkSession, d: str) -> DataFrame:
+    """The clean table written in time order: within a part each row is at least the one before, and parts don't overlap."""
+    path = scratch(spark)
+    rows = clean(spark, d)
+    cleaning.finalize(rows, sort=True).select("ts_utc", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("i")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    before = F.lag("ts_utc").over(Window.partitionBy("part").orderBy("i"))
+    parts = rows.withColumn("ok", F.coalesce(before <= F.col("ts_utc"), F.lit(True))).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("ts_utc").alias("a"), F.max("ts_utc").alias("b"), F.bool_and("ok").alias("ok"))
+    parts = parts.withColumn("ok", F.col("ok") & F.coalesce(F.lag("b").over(Window.orderBy("part")) <= F.col("a"), F.lit(True)))
+    return parts.agg(F.sum("n").alias("n"), F.min("a").alias("first_ts"), F.max("b").alias("last_ts"), F.bool_and("ok").alias("in_order"))
+
+
 @query(_g("SELECT reason, count(*) AS n FROM gated WHERE reason IS NOT NULL GROUP BY reason"))
 def quarantine_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.quarantine_breakdown(gated(spark, d))
@@ -156,13 +168,13 @@ def quarantine_breakdown(spark: SparkSession, d: str) -> DataFrame:
 @query(
     _g(
         """SELECT step, stage, n AS rows, 100.0 * n / (SELECT count(*) FROM raw) AS kept_pct FROM (
-  SELECT step, stage, CASE WHEN stage = 'raw' THEN (SELECT count(*) FROM raw) ELSE (SELECT count(*) FROM gated AS g LEFT JOIN gates AS t ON g.reason = t.reason WHERE t.gate IS NULL OR t.gate > upto) END AS n
-  FROM (VALUES (0, 'raw', 0), (1, 'dedupe', 1), (2, 'strings', 2), (3, 'types', 2), (4, 'timestamps', 4), (5, 'referential', 6), (6, 'business_rules', 11)) AS v(step, stage, upto)) AS f""",
+  SELECT step, stage, CASE WHEN stage = 'raw' THEN (SELECT count(*) FROM raw) WHEN stage = 'quarantined' THEN (SELECT count(*) FROM gated WHERE reason IS NOT NULL) ELSE (SELECT count(*) FROM gated AS g LEFT JOIN gates AS t ON g.reason = t.reason WHERE t.gate IS NULL OR t.gate > upto) END AS n
+  FROM (VALUES (0, 'raw', 0), (1, 'dedupe', 1), (2, 'strings', 2), (3, 'types', 2), (4, 'timestamps', 4), (5, 'referential', 6), (6, 'business_rules', 10), (7, 'outliers', 11), (8, 'final_clean', 11), (9, 'quarantined', -1)) AS v(step, stage, upto)) AS f""",
         longs="step rows",
     ).replace("CAST(step AS BIGINT) AS step", "round(kept_pct, 4) AS kept_pct, CAST(step AS BIGINT) AS step")
 )
 def quality_funnel(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.quality_funnel(raw(spark, d), gated(spark, d).persist())
+    return cleaning.quality_funnel(raw(spark, d), gated(spark, d))
 
 
 _ALIVE = "SELECT g.*, coalesce(t.gate, 99) AS gate FROM gated AS g LEFT JOIN gates AS t ON g.reason = t.reason"
@@ -173,7 +185,7 @@ _COUNTERS = f"""SELECT (SELECT count(*) FROM raw) - count(*) AS exact_duplicates
 
 @query(_g(_COUNTERS))
 def quality_counters(spark: SparkSession, d: str) -> DataFrame:
-    g = gated(spark, d).persist()
+    g = kept(gated(spark, d))
     rows = cleaning.survivors(g)
     return cleaning.quality_counters(raw(spark, d), g, cleaning.flag_stat_outliers(rows, cleaning.iqr_bounds(rows)))
 
@@ -188,7 +200,7 @@ FROM (SELECT name, injected FROM (UNPIVOT ({adapters.LEDGER}) ON COLUMNS(*) INTO
     )
 )
 def reconcile_ledger(spark: SparkSession, d: str) -> DataFrame:
-    g = gated(spark, d).persist()
+    g = kept(gated(spark, d))
     rows = cleaning.survivors(g)
     counters = cleaning.quality_counters(raw(spark, d), g, cleaning.flag_stat_outliers(rows, cleaning.iqr_bounds(rows)))
     wide = adapters.adapt(spark, d, adapters.LEDGER)

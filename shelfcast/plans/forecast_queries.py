@@ -12,18 +12,17 @@ from shelfcast.plans import adapters, sql
 from shelfcast.plans.cleaning_queries import scratch
 from shelfcast.plans.feature_queries import matrix
 from shelfcast.plans.registry import query
+from shelfcast.session import kept
 from shelfcast.sources import io
 
 METRICS = "wape mae rmse bias"
-#: Most boosting rounds of the trained queries; the reference allows 600. Of these rounds the validation error picks.
-ROUNDS = 20
 
 
 def steps() -> dict[str, str]:
     """The matrix with split and three simple predictions."""
     return sql.features(adapters.CLEAN) | {
         "last": "SELECT max(business_date) AS d FROM feat",
-        "pred": """SELECT feat.*, CASE WHEN business_date >= d - 44 THEN 'test' WHEN business_date >= d - 89 THEN 'val' ELSE 'train' END AS split,
+        "pred": """SELECT feat.*, CASE WHEN business_date >= d - 44 THEN 'test' WHEN business_date >= d - 74 THEN 'val' ELSE 'train' END AS split,
           CASE WHEN demand_lag_7 IS NOT NULL THEN greatest(demand_lag_7, 0) END AS naive, CASE WHEN demand_rollmean_28 IS NOT NULL THEN greatest(demand_rollmean_28, 0) END AS mean28, CASE WHEN demand_rollmean_7 IS NOT NULL THEN greatest(demand_rollmean_7, 0) END AS mean7 FROM feat, last""",
         "folds": "SELECT fold, test_end - 60 AS train_end, test_end - 59 AS val_start, test_end - 30 AS val_end, test_end - 29 AS test_start, test_end FROM (SELECT CAST(i AS BIGINT) AS fold, CAST(d - CAST((5 - i) * 30 AS INT) AS DATE) AS test_end FROM last, range(1, 6) AS r(i)) AS f",
     }
@@ -107,21 +106,27 @@ def blend_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def train_global_gbt(spark: SparkSession, d: str) -> DataFrame:
-    rows = predicted(spark, d).persist()
+    rows = kept(predicted(spark, d))
     known = forecast.training_rows(rows).withColumn("_val", F.col("split") == "val")
-    model = forecast.train_global_gbt(known, _INPUTS, "_val", max_iter=ROUNDS)
+    model = forecast.train_global_gbt(known, _INPUTS, "_val")
     return forecast.forecast_metrics(forecast.score(model, rows.where("split = 'test'")), ["category"])
 
 
 @query()
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
-    known = forecast.training_rows(predicted(spark, d)).withColumn("_val", F.col("split") == "val").persist()
-    return forecast.feature_importance(forecast.train_global_gbt(known, _INPUTS, "_val", max_iter=ROUNDS))
+    known = kept(forecast.training_rows(predicted(spark, d))).withColumn("_val", F.col("split") == "val")
+    return forecast.feature_importance(forecast.train_global_gbt(known, _INPUTS, "_val"))
+
+
+@query()
+def model_results(spark: SparkSession, d: str) -> DataFrame:
+    """All models end to end: fitted on train, weights tuned on val, compared on test."""
+    return forecast.model_results(kept(forecast.predict_all(kept(forecast.temporal_split(matrix(spark, d))))))
 
 
 @query()
 def seasonal_decomposition(spark: SparkSession, d: str) -> DataFrame:
-    rows = predicted(spark, d).persist()
+    rows = kept(predicted(spark, d))
     test = rows.where("split = 'test'")
     fitted = forecast.seasonal_decomposition_forecast(forecast.training_rows(rows), test)
     both = forecast.fall_back(fitted, test.select("store_id", "product", "business_date", "category", "demand", F.col("naive").alias("pred")))
@@ -135,7 +140,7 @@ def make_folds(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_p("SELECT fold, CASE WHEN business_date <= train_end THEN 'train' WHEN business_date <= val_end THEN 'val' ELSE 'test' END AS block, count(*) AS n, sum(demand) AS demand FROM pred JOIN folds ON business_date <= test_end GROUP BY 1, 2", doubles="demand", longs="fold"))
 def assign_folds(spark: SparkSession, d: str) -> DataFrame:
-    m = matrix(spark, d).persist()
+    m = kept(matrix(spark, d))
     return backtest.assign_folds(m, backtest.make_folds(m)).groupBy("fold", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("demand").alias("demand"))
 
 
@@ -144,13 +149,13 @@ _BASE = "SELECT fold, count(*) FILTER (business_date <= train_end) AS train_rows
 
 @query(_p(_BASE, doubles="base_wape base_mae base_bias", longs="fold"))
 def fold_baseline(spark: SparkSession, d: str) -> DataFrame:
-    m = matrix(spark, d).persist()
+    m = kept(matrix(spark, d))
     return backtest.fold_baseline(m, backtest.make_folds(m))
 
 
 @query(_p(_BASE, doubles="base_wape base_mae base_bias", longs="fold"))
 def write_fold_results(spark: SparkSession, d: str) -> DataFrame:
-    path, m = scratch(spark), matrix(spark, d).persist()
+    path, m = scratch(spark), kept(matrix(spark, d))
     io.write_fold_results(backtest.fold_baseline(m, backtest.make_folds(m)), path)
     return spark.read.schema("fold int, train_rows long, base_wape double, base_mae double, base_bias double").option("header", True).csv(path)
 
@@ -160,7 +165,7 @@ _SCORED = "SELECT fold, sum(abs(demand - naive)) / nullif(sum(abs(demand)), 0) A
 
 @query(_p(f"SELECT avg(base_wape) AS mean_base_wape, stddev_samp(base_wape) AS std_base_wape, avg(model_wape) AS mean_model_wape, stddev_samp(model_wape) AS std_model_wape, avg(i) AS mean_improvement_pct, stddev_samp(i) AS std_improvement_pct, count(*) FILTER (model_wape < base_wape) AS folds_won, count(*) AS folds FROM (SELECT *, 100 * (base_wape - model_wape) / base_wape AS i FROM ({_SCORED}) AS s) AS t", doubles="mean_base_wape std_base_wape mean_model_wape std_model_wape mean_improvement_pct std_improvement_pct"))
 def backtest_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = predicted(spark, d).persist()
+    rows = kept(predicted(spark, d))
     test = backtest.assign_folds(rows, backtest.make_folds(rows)).where("block = 'test'")
     base = forecast.forecast_metrics(test, ["fold"], "naive").select("fold", F.col("wape").alias("base_wape"))
     both = base.join(forecast.forecast_metrics(test, ["fold"], "mean28").select("fold", F.col("wape").alias("model_wape")), "fold")
@@ -169,15 +174,18 @@ def backtest_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def rolling_origin_backtest(spark: SparkSession, d: str) -> DataFrame:
-    return backtest.rolling_origin_backtest(matrix(spark, d), max_iter=ROUNDS)
+    return backtest.rolling_origin_backtest(kept(matrix(spark, d)))
 
 
 @query()
 def ablation(spark: SparkSession, d: str) -> DataFrame:
-    return backtest.ablation_verdict(backtest.ablation(matrix(spark, d), max_iter=ROUNDS))
+    return backtest.ablation_verdict(backtest.ablation(kept(matrix(spark, d))))
+
+
+_KINDS = {c: backtest.feature_group(c) for c in _INPUTS}
+_COUNTED = " UNION ALL ".join(f"SELECT '{g}' AS grp, count({c}) AS filled, count(*) AS n FROM feat" for c, g in _KINDS.items())
 
 
-@query("SELECT grp, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(['store_id', 'product', 'category']) AS c, 'categorical' AS grp UNION ALL SELECT unnest(['demand_lag_1', 'demand_lag_7', 'demand_lag_14', 'demand_lag_28']), 'lags' UNION ALL SELECT unnest(range(12)::VARCHAR[]), 'rolling' UNION ALL SELECT unnest(range(13)::VARCHAR[]), 'calendar' UNION ALL SELECT unnest(['avg_unit_price', 'price_change_1']), 'price_current' UNION ALL SELECT unnest(['price_lag_1', 'txn_count_lag_1']), 'price_past') AS t GROUP BY grp")
+@query(_p(f"SELECT grp, CAST(count(*) AS BIGINT) AS n_columns, CAST(sum(filled) AS BIGINT) AS filled, CAST(sum(n - filled) AS BIGINT) AS nulls FROM ({_COUNTED}) AS c GROUP BY grp"))
 def feature_groups(spark: SparkSession, d: str) -> DataFrame:
-    inputs = forecast.select_model_features(matrix(spark, d).columns)
-    return spark.createDataFrame([(g, len(c)) for g, c in backtest.feature_groups(inputs).items()], "grp string, n long")
+    return backtest.feature_group_profile(matrix(spark, d))

@@ -9,7 +9,9 @@ from shelfcast.operators import monitor
 from shelfcast.plans import adapters, sql
 from shelfcast.plans.cleaning_queries import stores
 from shelfcast.plans.forecast_queries import predicted, steps
+from shelfcast.plans.feature_queries import matrix
 from shelfcast.plans.registry import query
+from shelfcast.session import kept
 
 VAL_START, REFERENCE_END, CHANGE = "2000-09-01", "2000-12-31", "2001-05-15"
 
@@ -96,31 +98,48 @@ def max_consecutive_degraded(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_m("SELECT feature, psi, CASE WHEN psi IS NULL THEN 'n/a' WHEN psi > 0.2 THEN 'SIGNIFICANT' WHEN psi > 0.1 THEN 'moderate' ELSE 'stable' END AS label FROM healthy_psi WHERE feature NOT IN ('demand', 'pred')", doubles="psi"))
 def input_drift(spark: SparkSession, d: str) -> DataFrame:
-    return monitor.input_drift(scored(spark, d)).withColumn("label", monitor.psi_label(F.col("psi")))
+    return monitor.input_drift(kept(scored(spark, d))).withColumn("label", monitor.psi_label(F.col("psi")))
 
 
 @query(_m("SELECT feature, psi FROM healthy_psi WHERE feature = 'demand'", doubles="psi"))
 def target_drift(spark: SparkSession, d: str) -> DataFrame:
-    return monitor.target_drift(scored(spark, d))
+    return monitor.target_drift(kept(scored(spark, d)))
 
 
 @query(_m("SELECT feature, psi FROM healthy_psi WHERE feature = 'pred'", doubles="psi"))
 def prediction_drift(spark: SparkSession, d: str) -> DataFrame:
-    return monitor.prediction_drift(scored(spark, d))
+    return monitor.prediction_drift(kept(scored(spark, d)))
 
 
 @query(_m("SELECT * FROM healthy_decision", doubles="threshold"))
 def retrain_decision_healthy(spark: SparkSession, d: str) -> DataFrame:
-    return monitor.monitor(scored(spark, d).persist())["decision"]
+    return monitor.monitor(kept(scored(spark, d)))["decision"]
 
 
 @query(_m("SELECT * FROM drifted_decision", doubles="threshold"))
 def retrain_decision_drifted(spark: SparkSession, d: str) -> DataFrame:
-    healthy = monitor.operating_wape(monitor.weekly_wape(production(spark, d)))
-    return monitor.monitor(changed(spark, d).persist(), healthy)["decision"]
+    rows = kept(scored(spark, d))
+    healthy = monitor.operating_wape(monitor.weekly_wape(rows.where("period = 'production'")))
+    return monitor.monitor(monitor.inject_regime_change(rows, CHANGE), healthy)["decision"]
+
+
+@query()
+def monitor_trained(spark: SparkSession, d: str) -> DataFrame:
+    """A trained model in production, healthy and after a change of demand that it doesn't see: the decision of both passes, with the mean weekly WAPE of the worst segment and both drifts."""
+    rows = monitor.attach_store_type(matrix(spark, d), stores(spark, d))
+    rows = kept(monitor.score_periods(kept(monitor.split_reference_production(rows, VAL_START, REFERENCE_END))))
+    healthy = monitor.operating_wape(monitor.weekly_wape(rows.where("period = 'production'")))
+    passes = []
+    for name, of in (("healthy", rows), ("drifted", monitor.inject_regime_change(rows, CHANGE))):
+        tables = monitor.monitor(of, healthy)
+        worst = tables["segments"].agg(F.max_by("store_type", "mean_wape").alias("worst_segment"), F.max("mean_wape").alias("worst_wape"))
+        drift = tables["target"].select(F.col("psi").alias("target_psi")).crossJoin(F.broadcast(tables["predictions"].select(F.col("psi").alias("prediction_psi"))))
+        passes.append(tables["decision"].crossJoin(F.broadcast(worst)).crossJoin(F.broadcast(drift)).select(F.lit(name).alias("pass"), "*"))
+    return passes[0].unionByName(passes[1])
 
 
 @query(_m("SELECT week, wape, n, coalesce(wape > threshold, false) AS degraded FROM drifted_weekly, drifted_limit", doubles="wape", dates="week"))
 def monitor_weekly(spark: SparkSession, d: str) -> DataFrame:
-    healthy = monitor.operating_wape(monitor.weekly_wape(production(spark, d)))
-    return monitor.monitor(changed(spark, d).persist(), healthy)["weekly"]
+    rows = kept(scored(spark, d))
+    healthy = monitor.operating_wape(monitor.weekly_wape(rows.where("period = 'production'")))
+    return monitor.monitor(monitor.inject_regime_change(rows, CHANGE), healthy)["weekly"]

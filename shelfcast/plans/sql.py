@@ -40,7 +40,9 @@ GATED = RAW | {
       CASE WHEN transaction_ts LIKE '%Z' THEN try_strptime(transaction_ts, '%Y-%m-%dT%H:%M:%SZ') END AS instant,
       CASE WHEN transaction_ts NOT LIKE '%Z' THEN coalesce(try_strptime(transaction_ts, '%Y-%m-%d %H:%M:%S'), try_strptime(transaction_ts, '%m/%d/%Y %H:%M')) END AS wall
       FROM ranked AS r LEFT JOIN stores AS s ON r.store_id = s.store_id LEFT JOIN products AS p ON regexp_replace(lower(trim(r.product)), '\s+', ' ', 'g') = p.spelling""",
-    "timed": "SELECT *, coalesce(instant, timezone('UTC', timezone(zone, wall))) AS ts_utc FROM typed",
+    "walls": "SELECT *, timezone('UTC', timezone(zone, wall)) AS u FROM typed",
+    "timed": """SELECT * EXCLUDE (u), coalesce(instant, CASE WHEN timezone(zone, timezone('UTC', u)) <> wall THEN date_trunc('hour', timezone('UTC', timezone(zone, wall + INTERVAL 1 HOUR)))
+      WHEN timezone(zone, timezone('UTC', u + INTERVAL 1 HOUR)) = wall OR timezone(zone, timezone('UTC', u - INTERVAL 1 HOUR)) = wall THEN NULL ELSE u END) AS ts_utc FROM walls""",
     "derived": """SELECT *, timezone(zone, timezone('UTC', ts_utc)) AS local, CAST(timezone(zone, timezone('UTC', ts_utc)) AS DATE) AS business_date, coalesce(amount0 < 0 AND quantity < 0, false) AS is_refund,
       amount0 IS NULL AND quantity IS NOT NULL AND unit_price IS NOT NULL AS repaired, coalesce(amount0, round_even(quantity * unit_price * 100, 0) / 100) AS amount FROM timed""",
     "gated": "SELECT *, CASE " + " ".join(f"WHEN {t} THEN '{g}'" for g, t in zip(GATES, _FAILS, strict=True)) + " END AS reason FROM derived",

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
+#: Columns of raw and of clean transactions, in order.
 RAW_COLUMNS = ("transaction_id", "store_id", "product", "category", "quantity", "unit_price", "amount", "payment_type", "loyalty_id", "transaction_ts")
 RAW = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
 STORES = T.StructType([T.StructField(c, T.StringType()) for c in ("store_id", "store_type", "timezone")] + [T.StructField("volume_multiplier", T.DoubleType())])
@@ -36,12 +37,13 @@ PRODUCT_MAP = {
     "car wash": "car_wash",
     "carwash": "car_wash",
 }
+#: Payment types; others count as "other".
 PAYMENT_TYPES = ("credit", "debit", "cash", "mobile")
 
 
 @dataclass(frozen=True)
 class CleaningRules:
-    """Parameters of the gates; time bounds are inclusive and in UTC."""
+    """Parameters of the gates, fixed values by default; time bounds are inclusive and in UTC."""
 
     earliest: str = "2023-01-01 00:00:00"
     latest: str = "2025-01-02 00:00:00"

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -21,6 +23,31 @@ def build_session(app: str = "shelfcast", master: str | None = None, **extra: st
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+_own_folder: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which the driver and all executors share. Where it is unset, a folder of this run on a local master; a cluster has to name one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """df written to the shared folder and read back, for several uses: no executor's memory holds it, and a lost executor costs no recomputation."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """The session in UTC, with this package on the path of Python workers (where it isn't installed on them)."""
     spark.conf.set("spark.sql.session.timeZone", SETTINGS["spark.sql.session.timeZone"])

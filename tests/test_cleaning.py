@@ -12,6 +12,21 @@ NY = "America/New_York"
 BASE = {"transaction_id": "T", "store_id": "S1", "product": "diesel", "category": "fuel", "quantity": "10", "unit_price": "2.50", "amount": "25.00", "payment_type": "cash", "loyalty_id": None, "transaction_ts": "2024-07-04T18:30:00Z"}
 
 
+def test_rows_without_id_are_spread(spark):
+    rows = spark.range(20_000).select(*[F.lit("x").alias(f.name) if f.name not in ("transaction_id", "amount") else F.when(F.lit(f.name == "amount") | (F.col("id") % 4 == 0), F.col("id").cast("string")).alias(f.name) for f in RAW])
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    ranked = cleaning._ranked(cleaning._dealt(rows).dropDuplicates(), rows, None)
+    sizes = [r["count"] for r in ranked.where("transaction_id is null").groupBy(F.spark_partition_id()).count().collect()]
+    plan = ranked._jdf.queryExecution().sparkPlan().toString()
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(sizes) == 15_000 and max(sizes) < 2_500 and ranked.where("transaction_id is null and id_rank = 1").count() == 1
+    executed = ranked._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange hashpartitioning") == 1, plan
+
+
 def gated(spark, *changes):
     rows = [tuple((BASE | {"transaction_id": f"T{i}"} | c)[f.name] for f in RAW) for i, c in enumerate(changes)]
     stores = spark.createDataFrame([("S1", "urban", NY, 1.0), ("S2", "urban", "America/Los_Angeles", 1.0)], "store_id string, store_type string, timezone string, volume_multiplier double")
@@ -88,7 +103,7 @@ def test_conservation_and_tables(spark):
     counters = cleaning.quality_counters(raw, g, flagged).first()
     assert raw.count() == cleaning.finalize(flagged).count() + cleaning.quarantine(g).count() + counters["exact_duplicates"]
     assert counters["payments_other"] == 1
-    assert [r["rows"] for r in cleaning.quality_funnel(raw, g).orderBy("step").collect()] == [6, 5, 4, 4, 4, 3, 2]
+    assert [r["rows"] for r in cleaning.quality_funnel(raw, g).orderBy("step").collect()] == [6, 5, 4, 4, 4, 3, 2, 2, 2, 3]
     ledger = spark.createDataFrame([("duplicates", 1), ("zero_quantity", 1), ("unknown", 5)], "name string, injected long")
     got = cleaning.reconcile_ledger(ledger, cleaning.quality_counters(raw, g, flagged), cleaning.quarantine_breakdown(g)).collect()
     assert {r["name"]: r["caught"] for r in got} == {"duplicates": 1, "zero_quantity": 1}

@@ -1,8 +1,10 @@
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from shelfcast.functions.quantiles import exact_quantiles
 from shelfcast.operators import backtest, forecast, monitor
 
 START = date(2024, 1, 1)
@@ -65,7 +67,7 @@ def test_boosting_looks_past_a_worse_round(spark):
     assert forecast.best_round([3.0, 3.1, 2.0, 2.5, 2.5], 40) == 3 and forecast.best_round([3.0, 3.1, 3.1, 2.0], 1) == 1
     data = rows(spark, [5.0 if i % 2 else 25.0 for i in range(300)]).withColumn("odd", (F.datediff("business_date", F.lit(START)) % 2).cast("double")).withColumn("_val", F.col("business_date") > F.lit(START + timedelta(days=200)))
     model = forecast.train_global_gbt(data, ["odd"], "_val", max_iter=4, depth=1)
-    errors = model.stages[-1].evaluateEachIteration(model.stages[0].transform(data.where("_val")), "absolute")
+    errors = model.stages[-1].evaluateEachIteration(model.stages[1].transform(model.stages[0].transform(data.where("_val"))), "absolute")
     assert errors[-1] == min(errors) and forecast.score(model, data).count() == 300
 
 
@@ -78,11 +80,76 @@ def test_registered_queries_do_the_whole_job(spark, monkeypatch):
     monkeypatch.setattr(q, "matrix", lambda spark, d: start)
     monkeypatch.setattr(q, "predicted", lambda spark, d: start.withColumn("split", F.lit("val")))
     monkeypatch.setattr(forecast, "train_global_gbt", lambda *a, **k: asked.append((a, k)))
-    monkeypatch.setattr(forecast, "feature_importance", lambda model: None)
-    monkeypatch.setattr(backtest, "rolling_origin_backtest", lambda features, **k: asked.append(((), k)))
+    monkeypatch.setattr(forecast, "feature_importance", lambda model: start)
+    monkeypatch.setattr(backtest, "rolling_origin_backtest", lambda features, **k: asked.append(((), k)) or start)
     q.feature_importance(spark, "")
     q.rolling_origin_backtest(spark, "")
-    assert asked[0][0][2] == "_val" and all("n_folds" not in k and "depth" not in k and k["max_iter"] >= 20 for _, k in asked)
+    assert asked[0][0][2] == "_val" and not any(k for _, k in asked)
+
+
+def many_stores(spark, stores, days=60):
+    data = [(f"S{s:03d}", p, "fuel", START + timedelta(days=i), float(10 + s % 7 + 5 * (i % 7 == 5)), None if i < 20 else float(i % 5)) for s in range(stores) for p in ("diesel",) for i in range(days)]
+    return spark.createDataFrame(data, "store_id string, product string, category string, business_date date, demand double, price double")
+
+
+def test_trees_take_many_stores_and_nulls(spark, monkeypatch):
+    data = many_stores(spark, 100)
+    columns = ["store_id", "product", "category", "price"]
+    model = forecast.train_global_gbt(data, columns, max_iter=2)
+    out = forecast.score(model, data.unionByName(data.limit(1).withColumn("store_id", F.lit("new"))))
+    assert out.count() == 6001 and out.where("pred is null").count() == 0 and model.stages[-1].getMaxBins() == 101
+    monkeypatch.setattr(forecast, "WIDE", 50)
+    wide = forecast.train_global_gbt(data, columns, max_iter=2)
+    assert forecast.score(wide, data).count() == 6000 and wide.stages[-1].getMaxBins() == 64
+
+
+def test_all_models_end_to_end(spark):
+    data = many_stores(spark, 8, 130).withColumn("demand_lag_7", F.lag("demand", 7).over(Window.partitionBy("store_id").orderBy("business_date"))).where("demand_lag_7 is not null")
+    split = forecast.temporal_split(data, 20, 15)
+    predicted = forecast.predict_all(split, max_iter=3).persist()
+    assert predicted.count() == 8 * 35 and predicted.where("naive is null or gbt is null or decomposition is null").count() == 0
+    table = {r["model"]: r for r in forecast.model_results(predicted).collect()}
+    assert set(table) == {*forecast.MODELS, "ensemble"} and sum(table[m]["weight"] for m in forecast.MODELS) == pytest.approx(1)
+    test = predicted.where("split = 'test'").collect()
+    for m in forecast.MODELS:
+        assert table[m]["wape"] == pytest.approx(sum(abs(r["demand"] - r[m]) for r in test) / sum(r["demand"] for r in test))
+    blend = [sum(table[m]["weight"] * r[m] for m in forecast.MODELS) for r in test]
+    assert table["ensemble"]["wape"] == pytest.approx(sum(abs(r["demand"] - p) for r, p in zip(test, blend)) / sum(r["demand"] for r in test))
+
+
+def test_monitor_of_a_trained_model(spark):
+    stores = spark.createDataFrame([(f"S{i:03d}", "highway" if i % 2 else "urban") for i in range(8)], "store_id string, store_type string")
+    data = monitor.attach_store_type(many_stores(spark, 8, 150), stores)
+    cut = [str(START + timedelta(days=n)) for n in (60, 80)]
+    scored = monitor.score_periods(monitor.split_reference_production(data, *cut), max_iter=3).persist()
+    assert scored.count() == 8 * 150 and scored.where("period <> 'train' and pred is null").count() == 0
+    changed = monitor.inject_regime_change(scored, str(START + timedelta(days=110)), factor=0.3)
+    healthy = monitor.operating_wape(monitor.weekly_wape(scored.where("period = 'production'")))
+    assert monitor.monitor(changed.withColumns({c: F.lit(1.0) for c in monitor.INPUTS}), healthy)["decision"].first()["retrain"] is True
+
+
+def test_ablation_keeps_the_baseline_beside_it(spark):
+    data = many_stores(spark, 4, 120).withColumn("demand_lag_7", F.lit(12.0))
+    got = backtest.ablation(data, max_iter=1, depth=1).collect()
+    assert {"full", "drop lags", "calendar only"} <= {r["variant"] for r in got} and got[0]["delta"] == 0
+    last = data.where(F.col("business_date") > F.lit(START + timedelta(days=89)))
+    base = forecast.forecast_metrics(forecast.seasonal_naive(last)).first()["wape"]
+    assert got[0]["still_better_pct"] == pytest.approx(100 * (base - got[0]["wape"]) / base)
+
+
+@pytest.mark.parametrize("most", [10, 10**6])
+def test_exact_quantiles(spark, most):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    groups = {"a": rng.normal(size=5000), "b": rng.integers(0, 7, 3000).astype(float), "c": np.array([1.0]), None: rng.exponential(size=4001)}
+    data = spark.createDataFrame([(g, float(x)) for g, of in groups.items() for x in of] + [("a", None)], "g string, x double")
+    probs = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    limit = most if most > 10 else 2999
+    got = {r["g"]: r["q"] for r in exact_quantiles(data, "g", "x", probs, limit).collect()}
+    assert set(got) == set(groups)
+    for g, of in groups.items():
+        assert got[g] == pytest.approx(np.quantile(of, probs).tolist())
 
 
 def test_folds(spark):

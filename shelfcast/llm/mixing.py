@@ -47,16 +47,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 def inclusion_slopes(sizes: DataFrame, rest: DataFrame) -> DataFrame:
     """of, slope: a document of size s is included with probability least(1, slope * s), so that the expected words of the source's sample are `rest` (of, rest).
 
-    With sizes in falling order, the slope at a size is (rest - words of larger documents) / (squares of this and smaller sizes); larger ones are certain.
-    The first size that isn't certain by its own slope gives the source's slope. One row a source and distinct size is seen, not one a document.
+    Documents longer than the whole rest can't be part of it and have no chance (but may be the last, best fitting one). With sizes in falling order, the slope at a size is (rest - words of larger documents) / (squares of this
+    and smaller sizes); larger ones are certain. The first size that isn't certain by its own slope gives the source's slope; where all are certain, the last. One row a source and distinct size is seen, not one a document.
     """
-    rows = sizes.where("size > 0").join(rest, F.col("source").eqNullSafe(F.col("of")))
+    rows = sizes.where("size > 0").join(rest, F.col("source").eqNullSafe(F.col("of"))).where("size <= rest")
     falling = Window.partitionBy("source").orderBy(F.desc("size"))
     words, squares = F.col("size") * F.col("n"), (F.col("size").cast("decimal(19,0)") * F.col("size") * F.col("n")).cast("decimal(38,0)")
     certain = F.coalesce(F.sum(words).over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     tail = F.sum(squares).over(falling.rowsBetween(0, Window.unboundedFollowing))
     rows = rows.select("of", "size", ((F.col("rest") - certain) / tail.cast("double")).alias("slope"))
-    return rows.where(F.col("slope") * F.col("size") < 1).groupBy("of").agg(F.max_by("slope", "size").alias("slope"))
+    open_ = F.max(F.when(F.col("slope") * F.col("size") < 1, F.struct("size", "slope")))["slope"]
+    return rows.groupBy("of").agg(F.coalesce(open_, F.min_by("slope", "size")).alias("slope"))
 
 
 def _rank(u: Column, chance: Column) -> Column:
@@ -113,7 +114,7 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     target = stored(target.join(slopes, F.col("of").eqNullSafe(F.col("at")), "left").drop("at"), "mix-slopes")
     n_sources = target.count()
     rows = rows.join(small(target, n_sources), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    rows = rows.withColumn("rank", _rank(F.col("u"), F.coalesce(F.col("slope"), F.lit(0.0)) * F.col("size"))).drop("u", "slope")
+    rows = rows.withColumn("rank", _rank(F.col("u"), F.when(F.col("size") <= F.col("rest"), F.coalesce(F.col("slope"), F.lit(0.0)) * F.col("size")).otherwise(0.0))).drop("u", "slope")
     cuts = first_beyond(rows.where("rank is not null").select("source", *ORDER, "size"), target.select("of", "rest"), n_sources)
     rows = rows.join(small(cuts, n_sources), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     sampled = F.col("rank").isNotNull() & F.coalesce(F.struct(*ORDER) < F.col("cut"), F.col("cut").isNull())
@@ -122,8 +123,9 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     given = stored(given.withColumnRenamed("source", "of"), "mix-given")
     rows = rows.join(small(given, n_sources), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     gap = F.col("rest") - F.col("given")
-    fits = F.col("rank").isNotNull() & ~F.col("sampled") & (F.abs(F.col("size") - gap) < gap)
-    last = rows.where(fits).groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - gap).alias("miss"), *ORDER)).alias("last"))
+    fits = (F.col("size") > 0) & ~F.col("sampled") & (F.abs(F.col("size") - gap) < gap)
+    place = F.coalesce("rank", F.lit(1 << RANK_BITS)).alias("rank")
+    last = rows.where(fits).groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - gap).alias("miss"), place, "h", "row")).alias("last"))
     last = stored(last.select(F.col("source").alias("of"), F.col("last.row").alias("last_row")), "mix-last")
     rows = rows.join(small(last, n_sources), F.col("source").eqNullSafe(F.col("of")), "left")
     more = F.when(F.col("sampled") | F.coalesce(F.col("row") == F.col("last_row"), F.lit(False)), 1).otherwise(0)
@@ -144,16 +146,16 @@ s5 AS (SELECT *, target - copies * source_size AS rest FROM s4),
 p0 AS (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY source, size),
 p1 AS (SELECT p0.source, size, (rest - coalesce(sum(size * n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / CAST(sum(size * size * n) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS slope
-       FROM p0 JOIN s5 ON p0.source IS NOT DISTINCT FROM s5.source WINDOW w AS (PARTITION BY p0.source ORDER BY size DESC)),
-p2 AS (SELECT source, arg_max(slope, size) AS slope FROM p1 WHERE slope * size < 1 GROUP BY source),
-r0 AS (SELECT d.*, source_size, target, copies, rest, coalesce(slope, 0) * size AS chance,
+       FROM p0 JOIN s5 ON p0.source IS NOT DISTINCT FROM s5.source WHERE size <= rest WINDOW w AS (PARTITION BY p0.source ORDER BY size DESC)),
+p2 AS (SELECT source, coalesce(arg_max(slope, size) FILTER (slope * size < 1), arg_min(slope, size)) AS slope FROM p1 GROUP BY source),
+r0 AS (SELECT d.*, source_size, target, copies, rest, CASE WHEN size <= rest THEN coalesce(slope, 0) * size ELSE 0 END AS chance,
          (CAST(CAST('0x' || substr(md5(concat_ws('/', CAST(doc_id AS VARCHAR), 'mix')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0::DOUBLE AS u
        FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source LEFT JOIN p2 ON d.source IS NOT DISTINCT FROM p2.source),
 r1 AS (SELECT *, CASE WHEN chance >= 1 THEN 0 WHEN chance > 0 THEN (u / (1 - u)) * ((1 - chance) / chance) END AS odds FROM r0),
 r2 AS (SELECT *, CAST(floor(odds / (1 + odds) * 4503599627370496.0::DOUBLE) AS BIGINT) AS rank FROM r1),
 r3 AS (SELECT *, rank IS NOT NULL AND sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING) <= rest AS sampled FROM r2),
 r4 AS (SELECT *, rest - sum(CASE WHEN sampled THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM r3),
-r5 AS (SELECT *, rank IS NOT NULL AND NOT sampled AND abs(size - gap) < gap AS fits FROM r4),
+r5 AS (SELECT *, size > 0 AND NOT sampled AND abs(size - gap) < gap AS fits FROM r4),
 r6 AS (SELECT *, fits AND row_number() OVER (PARTITION BY source, fits ORDER BY abs(size - gap), rank, doc_id) = 1 AS last FROM r5)
 SELECT doc_id, size, source_size, target, size * (copies + CASE WHEN sampled OR last THEN 1 ELSE 0 END) AS taken FROM r6
 """

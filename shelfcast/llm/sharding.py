@@ -139,9 +139,9 @@ def _descent(name: str) -> str:
 
 #: The same shards by a table of tree nodes, and the checksum from its definition; for comparison on tables of one bucket (40 * ROWS_PER_BUCKET rows).
 ORACLE = f"""
-WITH crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), (c, x) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+WITH crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
 d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-sums AS (SELECT r, CAST(len(h) // 2 + 16 AS BIGINT) AS size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), i -> CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), (c, b) -> xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32 FROM d, crc),
+sums AS (SELECT r, CAST(len(h) // 2 + 16 AS BIGINT) AS size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32 FROM d, crc),
 now(parent, child, weight, shard) AS (VALUES {_tree_rows(balanced_tree(40))}),
 grown(parent, child, weight, shard) AS (VALUES {_tree_rows(balanced_tree(41, base=40))}),
 {_descent("now")},

@@ -134,3 +134,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     released(pieces, keep)
     schema = "struct<n_lines: long, n_chunks: long, removed_lines: long, removed_chunks: long, kept: string>"
     return rows.join(gone.hint("merge"), "row", "left").select("doc_id", _call(_without, schema, text, F.col("gone")).alias("r")).select("doc_id", "r.*")
+
+
+#: The same texts by comparing every adjacent pair of lines with all earlier ones, for comparison on small tables of distinct ids.
+ORACLE = """
+WITH d AS (SELECT doc_id, text, ends_with(text, chr(10)) AS fed, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(CASE WHEN ends_with(text, chr(10)) THEN text[:-2] ELSE text END, chr(10)) END AS l FROM documents),
+pairs AS (SELECT doc_id, i, l[i] AS a, l[i + 1] AS b FROM (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM d)),
+again AS (SELECT doc_id, i FROM pairs QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY doc_id, i) > 1),
+gone AS (SELECT doc_id, list(DISTINCT i) AS g FROM (SELECT doc_id, unnest([i, i + 1]) AS i FROM again) GROUP BY doc_id)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(len(g), 0) AS BIGINT) AS removed_lines,
+  CASE WHEN g IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(g, i)), lambda i: l[i] || CASE WHEN i < len(l) OR fed THEN chr(10) ELSE '' END), '') END AS kept
+FROM d LEFT JOIN gone USING (doc_id)
+"""

@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "removed_lines", "kept")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_secret_scans, op4_media_columns, op5_sharding, op6_license_scans, op7_decontamination, op8_language_id, op9_ngram_jaccard, op10_mixing)}
-ORACLES |= {"op5_sharding": sharding.ORACLE, "op7_decontamination": decontamination.ORACLE, "op9_ngram_jaccard": jaccard.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLES |= {"op1_line_dedup": lines.ORACLE, "op5_sharding": sharding.ORACLE, "op7_decontamination": decontamination.ORACLE, "op9_ngram_jaccard": jaccard.ORACLE, "op10_mixing": mixing.ORACLE}

@@ -165,6 +165,86 @@ def test_mixing(spark):
     assert [r["taken"] for r in mixing.mix_documents(docs(spark, [None, ""], ["x", None])).collect()] == [0, 0]
 
 
+def test_mixing_includes_documents_with_their_probabilities(spark):
+    sizes = [700, 90, 60, 60, *[40] * 6, *[25] * 10, *[10] * 20, *[5] * 10, 3, 3, 2, 2, 1, 1]
+    n = 360
+    rows = [(s * 100 + i, " ".join("w" for _ in range(size)), f"s{s:03d}") for s in range(n) for i, size in enumerate(sizes)]
+    got = mixing.mix_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by_class = defaultdict(list)
+    for r in got:
+        by_class[round(r["target"] / r["source_size"], 6)].append(r)
+    assert len(by_class) == 3
+    for share, of in by_class.items():
+        copies, total = int(share), sum(sizes)
+        rest = share * total - copies * total
+        if rest < 1:
+            continue
+        chance, sure = {}, set()
+        while True:
+            slope = (rest - sum(s for s in sizes if s in sure)) / sum(s * s for s in sizes if s not in sure and s <= rest)
+            more = {s for s in sizes if s not in sure and s <= rest and slope * s >= 1}
+            if not more:
+                break
+            sure |= more
+        seen = Counter((r["size"], (r["taken"] // r["size"]) - copies) for r in of)
+        for size in {s for s in sizes if sizes.count(s) > 5 or s > 50}:  # the last, best fitting one is often a very short one
+            chance = 1.0 if size in sure else slope * size if size <= rest else 0.0
+            times = seen[size, 0] + seen[size, 1]
+            assert abs(seen[size, 1] / times - chance) < 0.12, (share, size, seen[size, 1] / times, chance)
+        words = sum(r["taken"] for r in of)
+        assert abs(words / sum(r["target"] for r in of[:: len(sizes)]) - 1) < 0.03
+
+
+def test_a_cut_is_found_whatever_the_digits(spark):
+    rng = random.Random(3)
+    rows = [(s, rng.choice([0, 5, 2**51, rng.randrange(2**52)]), rng.randrange(4), i, rng.randrange(1, 9)) for s in ("a", "b", None) for i in range(1500)]
+    table = spark.createDataFrame(rows, "source string, rank long, h long, row long, size long")
+    limits = spark.createDataFrame([("a", 3000.5), ("b", 1e9), (None, 10.0)], "of string, rest double")
+    got = {r["of"]: tuple(r["cut"]) for r in mixing.first_beyond(table, limits, 3).collect()}
+    for source, rest in (("a", 3000.5), ("b", 1e9), (None, 10.0)):
+        words, want = 0, None
+        for r in sorted(x[1:] for x in rows if x[0] == source):
+            words += r[3]
+            if words > rest:
+                want = r[:3]
+                break
+        assert got.get(source) == want
+
+
+def test_many_short_texts_of_one_template(spark):
+    rng = random.Random(5)
+    base = [f"t{i}" for i in range(12)]
+    texts = []
+    for i in range(20_000):
+        w = list(base)
+        w[rng.randrange(12)] = f"x{i}"
+        texts.append(" ".join(w))
+    texts += [" ".join([*base[:11], "end", f"y{i}"]) for i in range(300)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(table).collect()}
+    sets = [shingles(t) for t in texts]
+    # Sets of 8 or 9 shingles link only if they differ in 1 or 2, so they share all but one or two; each pair that does has the same words at one end.
+    label = list(range(len(texts)))
+
+    def top(i):
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    by_most = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            by_most[s - {x}].append(i)
+        by_most[s].append(i)
+    for of in by_most.values():
+        for j in of[1:]:
+            if 100 * len(sets[of[0]] & sets[j]) >= 80 * len(sets[of[0]] | sets[j]):
+                a, b = sorted((top(of[0]), top(j)))
+                label[b] = a
+    assert got == {i: top(i) for i in range(len(texts))}
+
+
 def test_line_dedup(spark):
     rng = random.Random(8)
     line = lambda: " ".join(f"t{rng.randrange(10**5)}" for _ in range(6))

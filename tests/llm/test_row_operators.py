@@ -58,6 +58,39 @@ def test_media_reads_foreign_tables_and_survives_broken_files():
     assert media.read_movie(b"") == [] and media.read_movie(movie[:40]) == [] and media.read_movie(b"\xff" * 64) == []
 
 
+def test_media_tables_that_lie(spark):
+    box = lambda k, *b: struct.pack(">I4s", 8 + sum(map(len, b)), k) + b"".join(b)
+    full = lambda k, *b: box(k, bytes(4), *b)
+    good = {
+        b"stsd": struct.pack(">I", 1) + box(b"avc1", bytes(70)), b"stts": struct.pack(">3I", 1, 5, 10), b"stsc": struct.pack(">7I", 2, 1, 2, 1, 2, 3, 1),
+        b"stsz": struct.pack(">7I", 0, 5, 3, 4, 5, 6, 7), b"stco": struct.pack(">3I", 2, 1000, 2000), b"stss": struct.pack(">3I", 2, 1, 4),
+    }
+
+    def track(**changed):
+        tables = good | {k.encode(): v for k, v in changed.items()}
+        return box(b"trak", box(b"mdia", full(b"mdhd", struct.pack(">4I", 0, 0, 100, 50), bytes(4)), box(b"minf", box(b"stbl", *[full(k, v) for k, v in tables.items() if v is not None]))))
+
+    wrong = [
+        {"stsz": struct.pack(">7I", 0, 500, 3, 4, 5, 6, 7)}, {"stsz": struct.pack(">2I", 9, 2**32 - 1)}, {"stss": struct.pack(">3I", 2, 1, 9)}, {"stss": struct.pack(">2I", 1, 0)}, {"stsc": struct.pack(">7I", 2, 1, 2, 1, 1, 3, 1)},
+        {"stsc": struct.pack(">4I", 1, 2, 5, 1)}, {"stsc": struct.pack(">I", 0)}, {"stco": struct.pack(">I", 9)}, {"stco": None, "co64": struct.pack(">I2Q", 2, 2**64 - 1, 5)}, {"stsd": b""}, {"stsz": None}, {"stsz": b"\0"},
+    ]
+    for w in wrong:
+        assert media.read_movie(box(b"moov", track(**w))) == [], w
+        assert len(media.read_movie(box(b"moov", track(), track(**w), track()))) == 2
+    (every,) = media.read_movie(box(b"moov", track(stss=None)))
+    assert every.keyframe_ranges.tolist() == every.chunk_ranges.tolist() == [[1000, 1007], [2000, 2018]]
+    (fixed,) = media.read_movie(box(b"moov", track(stsz=struct.pack(">2I", 10, 5))))
+    assert fixed.keyframe_ranges.tolist() == [[1000, 1010], [2010, 2020]]
+    deep = b""
+    for _ in range(3000):
+        deep = box(b"moov", deep)
+    assert media.read_movie(deep) == []
+    movie = media.write_movie(media.padded(b"x" * 5000))
+    rng = random.Random(1)
+    broken = [bytes(b if rng.random() > 0.02 else rng.randrange(256) for b in movie[: rng.randrange(len(movie))]) for _ in range(200)]
+    spark.createDataFrame([(b,) for b in broken], "m binary").select(media.read_media(F.col("m"))).collect()
+
+
 def test_licenses(spark):
     texts = [*ODD, "CC BY cc by; General-Public license", "All rights  reserved. x", "intro Released under the MIT License. outro", "permission is hereby granted free of charge to any person obtaining a copy of this software XX and associated documentation files the software to deal in the software without restriction"]
     got = docs(spark, texts).select("doc_id", licenses.scan_licenses(F.col("text")).alias("r")).select("doc_id", "r.*").collect()
@@ -142,6 +175,36 @@ def test_language_bundle_is_the_sum_of_bound_trigrams():
     assert (vectors[0] == want).all() and letters.tolist() == [3, 0] and not vectors[1].any()
 
 
+def test_pieces_of_long_texts_make_the_same_bundle(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcé  .ßİΣ") for _ in range(rng.randrange(0, 400))) for _ in range(50)]
+    whole = language.bundles(texts)
+    for piece, rows in ((1, 3), (2, 256), (7, 1), (64, 2)):
+        monkeypatch.setattr(language, "PIECE", piece)
+        monkeypatch.setattr(language, "ROWS", rows)
+        cut = language.bundles(texts)
+        assert (cut[0] == whole[0]).all() and (cut[1] == whole[1]).all()
+
+
+def test_prototype_and_cosine_by_hand():
+    rows = [("the cat", "a"), ("die katze", "b"), ("the dog", "a")]
+    sums = {x: sum(language.bundles([t])[0][0] for t, lang in rows if lang == x) for x in "ab"}
+    unit = {x: v / np.linalg.norm(v) for x, v in sums.items()}
+    common = (unit["a"] + unit["b"]) / 2
+    profiles = language.Profiles(["a", "b"], np.stack([(unit[x] - common) / np.linalg.norm(unit[x] - common) for x in "ab"]), common)
+    langs, scores = profiles.predict(["the hat", "..."])
+    v = language.bundles(["the hat"])[0][0]
+    v = v / np.linalg.norm(v) - common
+    assert langs == ["a", "und"] and scores.tolist() == pytest.approx([(1 + v @ profiles.prototypes[0] / np.linalg.norm(v)) / 2, 0])
+
+
+def test_templates_from_a_table(spark):
+    table = spark.createDataFrame([("own", "these words are mine alone"), (None, "x"), ("none", None)], "label string, text string")
+    of = licenses.templates_of(table)
+    got = spark.createDataFrame([("so these words are mine alone here",), ("Released under the MIT License.",)], "t string").select(licenses.scan_licenses(F.col("t"), of).alias("r")).collect()
+    assert [[(s["label"], s["first"], s["after"]) for s in r["r"]["spans"]] for r in got] == [[("own", 1, 6)], []]
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     plain = [a + b for a in ("ren", "tha", "lor", "min", "sto") for b in ("ing", "tion", "er", "ou")]

@@ -26,7 +26,7 @@ _LETTERS = bytes(c + 32 if c in _UPPER else c if 48 <= c <= 57 or 97 <= c <= 122
 LOWER = np.array([c + 32 if c in _UPPER else c for c in range(256)], np.uint8)
 IS_SPACE = np.array([c in _SPACE for c in range(256)])
 #: Narrow tables (ids, sources) of up to so many rows are broadcast.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 BATCH_BYTES = 2 << 20
 #: A key of so many rows may be cut into parts; at most so many keys are.
 HOT_ROWS, HOT_KEYS = 1_000, 100_000

@@ -331,14 +331,16 @@ def _against_pivots(texts: DataFrame, pivots: DataFrame) -> DataFrame:
     return stored(checked, "checked", "zstd")
 
 
-def _numbered(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """Every row of docs with a number of its own: row, doc_id, kept (a struct of the columns `keep`), text. All links are between rows, so ids may be null or repeat."""
+def _numbered(docs: DataFrame) -> DataFrame:
+    """row (a number of its own for every row of docs) and doc (a struct of all columns of docs). All links are between rows, so ids may be null or repeat."""
     bounded_batches(docs.sparkSession)
-    return stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.struct(*keep).alias("kept"), F.col("text").cast("binary").alias("text")), "numbered", "zstd")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), whole), "numbered", "zstd")
 
 
 def _row_components(rows: DataFrame) -> DataFrame:
     """row, doc_id, n_shingles, component (the least row of those reachable by links, or of the class; its own for a row without words)."""
+    rows = rows.select("row", "doc.doc_id", F.col("doc.text").cast("binary").alias("text"))
     texts = rows.select(F.col("row").alias("doc_id"), "text")
     for seed in (*range(SEEDS), EVERY):
         members = rows.select("row", "doc_id", _class_column(F.col("text"), seed).alias("c")).select("row", "doc_id", "c.*")
@@ -385,18 +387,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Texts of equal words are one class and are compared once. Null, empty and blank texts have no shingles and are components of their own. Links are between
     rows: rows that repeat a doc_id are classed by their own texts, and rows without doc_id link like others; component_id is the least doc_id of the component, null if none of its rows has one.
     """
-    rows = _row_components(_numbered(docs, ("doc_id",)))
+    rows = _row_components(_numbered(docs.select("doc_id", "text")))
     per = stored(rows.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "component-ids")
     found = hot_join(rows, per.select("component", "component_id"), ["component"], hot(per, ["component"], rows.count()), F.col("row"))
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-def one_of_each(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """The columns `keep` of one row of each component of docs (doc_id, text, ...): that of least doc_id (null last), then of least number in the order of reading."""
-    rows = _numbered(docs, keep)
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each component of docs (doc_id, text, ...), with all its columns: that of least doc_id (null last), then of least number in the order of reading."""
+    rows = _numbered(docs)
     first = _row_components(rows).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row")).select("row")
     first = stored(first, "first")
-    return rows.join(small(first, first.count()), "row", "left_semi").select("kept.*")
+    return rows.join(small(first, first.count()), "row", "left_semi").select("doc.*")
 
 
 #: The same classes by counting the shared shingles of all pairs, for comparison on small tables.

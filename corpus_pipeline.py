@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.llm import decontamination, jaccard, mixing, sharding, toxicity
-from shelfcast.llm.common import in_struct, stored
+from shelfcast.llm.common import in_struct, released, stored
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,13 +21,15 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays under 0.5. Null and empty texts stay."""
-    classifier, evidence = toxicity.train(in_struct(docs, "doc_id", "text"), _labels(spark, sf_dir), keep=("doc",))
-    return toxicity.scored(evidence, classifier).where("score < 0.5").select("kept.doc.*")
+    packed = in_struct(docs, "doc_id", "text")
+    classifier, evidence = toxicity.train(packed, _labels(spark, sf_dir))
+    released(evidence)
+    return packed.where(toxicity.score(packed, classifier) < 0.5).select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, that of least doc_id; documents without id come last. Documents without words stay."""
-    return jaccard.one_of_each(in_struct(docs, "doc_id", "text"), ("doc",)).select("doc.*")
+    return jaccard.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import decontamination, jaccard, language, licenses, lines, media, mixing, secrets, sharding, toxicity
+from shelfcast.llm import decontamination, jaccard, language, licenses, lines, media, media_sql, mixing, secrets, sharding, toxicity
 from shelfcast.llm.common import bounded_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,4 +84,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_secret_scans, op4_media_columns, op5_sharding, op6_license_scans, op7_decontamination, op8_language_id, op9_ngram_jaccard, op10_mixing)}
-ORACLES |= {"op1_line_dedup": lines.ORACLE, "op5_sharding": sharding.ORACLE, "op7_decontamination": decontamination.ORACLE, "op9_ngram_jaccard": jaccard.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLES |= {"op1_line_dedup": lines.ORACLE, "op4_media_columns": media_sql.ORACLE, "op5_sharding": sharding.ORACLE, "op7_decontamination": decontamination.ORACLE, "op9_ngram_jaccard": jaccard.ORACLE, "op10_mixing": mixing.ORACLE}

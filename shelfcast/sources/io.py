@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.schemas import RAW, RAW_COLUMNS, STORES
+from shelfcast.session import kept
 
 
 def read_raw_pos(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -31,10 +32,11 @@ def write_clean(clean: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_quarantine(quarantine: DataFrame, path: str) -> bool:
-    """One folder for each reason; nothing is written if no row was rejected."""
-    if quarantine.isEmpty():
+    """One folder for each reason; nothing is written if no row was rejected. The rejected rows are made once, into the shared folder."""
+    rejected = kept(quarantine, "quarantine")
+    if rejected.isEmpty():
         return False
-    quarantine.write.mode("overwrite").partitionBy("_reject_reason").parquet(path)
+    rejected.write.mode("overwrite").partitionBy("_reject_reason").parquet(path)
     return True
 
 

@@ -17,8 +17,8 @@ from shelfcast.functions.errors import clipped, error_metrics, wape
 from shelfcast.functions.holidays import holiday_dates
 
 CATEGORICALS = ("store_id", "product", "category")
-#: Most boosting rounds and the share of each that is added; the validation error picks among them.
-ROUNDS, STEP = 60, 0.1
+#: Most boosting rounds, those fitted at first, the share of each that is added, and the rounds looked at beyond the best.
+ROUNDS, FIRST_ROUNDS, STEP, PATIENCE = 600, 30, 0.1, 20
 #: What nulls count as in trees, and the most categories of a column that enter as such.
 MISSING, WIDE = -1e9, 2_000
 #: Ids, the target, and what is known only after the target day.
@@ -58,9 +58,10 @@ def _filled(columns: list[str]) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
 
 
-def train_global_gbt(rows: DataFrame, columns: list[str], validation: str | None = None, max_iter: int = ROUNDS, depth: int = 5, seed: int = 42, patience: int = 40, loss: str = "squared") -> PipelineModel:
+def train_global_gbt(rows: DataFrame, columns: list[str], validation: str | None = None, max_iter: int = ROUNDS, depth: int = 5, seed: int = 42, patience: int = PATIENCE, loss: str = "squared") -> PipelineModel:
     """One boosted-tree model for all series. `validation` names a boolean column whose true rows aren't fitted but end the boosting:
-    it keeps the rounds up to the one of least absolute validation error, looking `patience` rounds beyond each new best.
+    it keeps the rounds up to the one of least absolute validation error, looking `patience` rounds beyond each new best. Spark can't go on from a fitted model, so
+    while the best round is too near the end, twice as many rounds are fitted anew (with the same seed the first ones are the same).
 
     With loss="absolute" Spark fits trees to the signs of residuals, so a round moves a prediction by STEP units of demand at most; squared loss gets to lower absolute errors in fewer rounds.
 
@@ -86,11 +87,20 @@ def train_global_gbt(rows: DataFrame, columns: list[str], validation: str | None
     trees = GBTRegressor(featuresCol="_features", labelCol="demand", predictionCol="_raw_pred", lossType=loss, maxIter=max_iter, maxDepth=depth, stepSize=STEP, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=40, maxBins=bins, seed=seed)
     ready = PipelineModel(stages)
     vectors = ready.transform(rows).select("_features", "demand", *([validation] if validation else []))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if vectors.rdd.getNumPartitions() < cores:  # every round passes over all rows, so no core should idle
+        vectors = vectors.repartition(cores)
     if not validation:
         return PipelineModel([*stages, trees.fit(vectors)])
-    model = trees.fit(vectors.where(~F.col(validation)))
-    errors = model.evaluateEachIteration(vectors.where(validation), "absolute")
-    return PipelineModel([*stages, _first_rounds(model, best_round(errors, patience))])
+    vectors, rounds = vectors.persist(), min(FIRST_ROUNDS, max_iter)
+    while True:
+        model = trees.copy({trees.maxIter: rounds}).fit(vectors.where(~F.col(validation)))
+        best = best_round(model.evaluateEachIteration(vectors.where(validation), "absolute"), patience)
+        if best + patience <= rounds or rounds == max_iter:
+            break
+        rounds = min(2 * rounds, max_iter)
+    vectors.unpersist()
+    return PipelineModel([*stages, _first_rounds(model, best)])
 
 
 def best_round(errors: list[float], patience: int) -> int:

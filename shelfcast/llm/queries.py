@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm import decontamination, jaccard, language, licenses, lines, media, media_sql, mixing, secrets, sharding, toxicity
+from shelfcast.llm import centroids, codes, decontamination, jaccard, language, licenses, lines, media, media_sql, mixing, secrets, sharding, simhash, toxicity
 from shelfcast.llm.common import bounded_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,5 +83,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_secret_scans, op4_media_columns, op5_sharding, op6_license_scans, op7_decontamination, op8_language_id, op9_ngram_jaccard, op10_mixing)}
-ORACLES |= {"op1_line_dedup": lines.ORACLE, "op4_media_columns": media_sql.ORACLE, "op5_sharding": sharding.ORACLE, "op7_decontamination": decontamination.ORACLE, "op9_ngram_jaccard": jaccard.ORACLE, "op10_mixing": mixing.ORACLE}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    found = codes.with_label_errors(found, F.col("kept.label"))
+    return found.select("kept.vec_id", codes.code_text(F.col("codes")).alias("code"), "error", "label_error", F.lit(codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, at = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return centroids.with_inertia(found, at).select("kept.vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+QUERIES |= {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_secret_scans, op4_media_columns, op5_sharding, op6_license_scans, op7_decontamination, op8_language_id, op9_ngram_jaccard, op10_mixing, op11_vector_codes, op12_simhash, op13_centroid_clustering)}
+ORACLES |= {"op1_line_dedup": lines.ORACLE, "op4_media_columns": media_sql.ORACLE, "op5_sharding": sharding.ORACLE, "op7_decontamination": decontamination.ORACLE, "op9_ngram_jaccard": jaccard.ORACLE, "op10_mixing": mixing.ORACLE, "op11_vector_codes": codes.ORACLE, "op13_centroid_clustering": centroids.ORACLE}

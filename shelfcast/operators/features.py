@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.holidays import us_holidays
+from shelfcast.session import kept
 
 SERIES = ("store_id", "product")
 LAGS, WINDOWS = (1, 7, 14, 28), (7, 14, 28)
@@ -19,32 +23,69 @@ ZERO_FILLED = ("demand", "revenue", "txn_count", "refund_units", "outlier_txns")
 DAILY = ("store_id", "product", "business_date", "category", "demand", "revenue", "txn_count", "avg_unit_price", "refund_units", "outlier_txns")
 
 
-def aggregate_daily(clean: DataFrame) -> DataFrame:
-    """One row for each store, product and business date; rows with a null key are dropped. Refunds net in the sums."""
+def daily_rows(clean: DataFrame) -> DataFrame:
+    """aggregate_daily, and `_last_category`, the greatest category where `category` is the least: both tell whether a product has several."""
     q = F.col("quantity")
     return clean.dropna(subset=["store_id", "product", "business_date"]).groupBy("store_id", "product", "business_date").agg(
         F.min("category").alias("category"), F.sum(q).alias("demand"), F.sum("amount").alias("revenue"), F.count("transaction_id").alias("txn_count"),
         F.avg("unit_price").alias("avg_unit_price"), F.coalesce(F.sum(F.when(q < 0, q)), F.lit(0.0)).alias("refund_units"), F.sum(F.col("is_stat_outlier").cast("long")).alias("outlier_txns"),
+        F.max("category").alias("_last_category"),
     )
 
 
+def aggregate_daily(clean: DataFrame) -> DataFrame:
+    """One row for each store, product and business date; rows with a null key are dropped. Refunds net in the sums."""
+    return daily_rows(clean).drop("_last_category")
+
+
 def distinct_series(daily: DataFrame) -> DataFrame:
     return daily.select("store_id", "product", "category").distinct()
 
 
+@dataclass(frozen=True)
+class Span:
+    """What a table of daily rows covers: its series (store_id, product, category; a row each, stored) and the first and last day of all of them, None without rows."""
+
+    series: DataFrame
+    first: date | None
+    last: date | None
+
+    def days(self) -> DataFrame:
+        """business_date: every day from the first to the last, made from these two dates alone."""
+        n = (self.last - self.first).days + 1 if self.first else 0
+        return self.series.sparkSession.range(n).select(F.date_add(F.lit(self.first).cast("date"), F.col("id").cast("int")).alias("business_date"))
+
+
+def span_of(daily: DataFrame, mixed: str = "raise") -> Span:
+    """Series and days of daily (stored, or cheap to make again) in one pass; from the stored series, which are few, everything else follows.
+
+    A category has to depend on the product, else a series would fall apart. Where a series has several, mixed="raise" raises ValueError with their number
+    and the first of them; mixed="least" puts all its rows under the least category.
+    """
+    other = "_last_category" if "_last_category" in daily.columns else "category"
+    per = daily.groupBy(*SERIES).agg(F.min("category").alias("category"), F.max(other).alias("_other"), F.min("business_date").alias("_a"), F.max("business_date").alias("_b"))
+    per = kept(per, "series")
+    several = F.col("category") != F.col("_other")
+    row = per.agg(F.min("_a").alias("a"), F.max("_b").alias("b"), F.count_if(several).alias("n"), F.min(F.when(several, F.struct(*SERIES))).alias("which")).first()
+    if row["n"] and mixed == "raise":
+        raise ValueError(f"{row['n']} series have several categories; the first is store {row['which'][0]}, product {row['which'][1]}")
+    return Span(per.select(*SERIES, "category"), row["a"], row["b"])
+
+
 def date_span(daily: DataFrame) -> DataFrame:
     """business_date: every day from the first to the last of all series; one row a day, so it is small whatever the number of rows."""
     ends = daily.agg(F.min("business_date").alias("a"), F.max("business_date").alias("b")).where("a is not null")
     return ends.select(F.explode(F.sequence("a", "b")).alias("business_date"))
 
 
-def complete_calendar(daily: DataFrame) -> DataFrame:
-    """Gap-free series: a missing day has zeros, and no price.
+def complete_calendar(daily: DataFrame, span: Span | None = None) -> DataFrame:
+    """Gap-free series: a missing day has zeros, and no price. Without `span`, daily is looked at once for it.
 
     Grid cells are appended to the daily rows as placeholders and met by one aggregation, so cells and rows share the one shuffle by series that the
     windows need later; a join would want a partitioning by all three keys. The second aggregation has at most two rows a key.
     """
-    grid = distinct_series(daily).crossJoin(F.broadcast(date_span(daily)))
+    span = span or span_of(daily)
+    grid = span.series.crossJoin(F.broadcast(span.days()))
     types = dict(daily.dtypes)
     empty = [F.lit(None).cast(types[c]).alias(c) if c not in ("store_id", "product", "category", "business_date") else F.col(c) for c in DAILY]
     rows = daily.select(*DAILY).unionByName(grid.select(*empty)).repartition(*SERIES)
@@ -72,14 +113,18 @@ def calendar_columns(dates: DataFrame) -> DataFrame:
     return out
 
 
-def add_calendar_features(daily: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
-    """Calendar columns are made once for each distinct date and joined by broadcast: a row a day."""
-    dates = date_span(daily)
+def calendar_table(spark: SparkSession, dates: DataFrame, first: date | None, last: date | None, holidays: DataFrame | None = None) -> DataFrame:
+    """business_date and CALENDAR for `dates`, which run from first to last. Holidays default to the US ones of those years."""
     if holidays is None:
-        years = dates.agg(F.min(F.year("business_date")), F.max(F.year("business_date"))).first()
-        holidays = us_holidays(daily.sparkSession, *years) if years[0] else us_holidays(daily.sparkSession, 1970, 1970).limit(0)
-    table = calendar_columns(dates).join(nearest_holiday(dates, holidays), "business_date").select("business_date", *CALENDAR)
-    return daily.join(F.broadcast(table), "business_date")
+        holidays = us_holidays(spark, first.year, last.year) if first else us_holidays(spark, 1970, 1970).limit(0)
+    return calendar_columns(dates).join(nearest_holiday(dates, holidays), "business_date").select("business_date", *CALENDAR)
+
+
+def add_calendar_features(daily: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
+    """Calendar columns for any table with business_date, counted from its first day: made once a day and joined by broadcast, a row a day."""
+    first, last = daily.agg(F.min("business_date"), F.max("business_date")).first()
+    span = Span(daily, first, last)
+    return daily.join(F.broadcast(calendar_table(daily.sparkSession, span.days(), first, last, holidays)), "business_date")
 
 
 def _ordered() -> Window:
@@ -125,18 +170,24 @@ def drop_warmup(features: DataFrame, rows: int = WARMUP) -> DataFrame:
     return position.where(F.col("_position") > rows).drop("_position")
 
 
-def build_features(clean: DataFrame, holidays: DataFrame | None = None, warmup: bool = True) -> DataFrame:
-    """The whole matrix: daily rows, gap-free calendar, history, price and calendar columns, without the warm-up rows of each series."""
-    daily = complete_calendar(aggregate_daily(clean))
-    out = add_price_features(add_lag_features(daily))
+def build_features(clean: DataFrame, holidays: DataFrame | None = None, warmup: bool = True, mixed: str = "raise") -> DataFrame:
+    """The whole matrix: daily rows, gap-free calendar, history, price and calendar columns, without the warm-up rows of each series.
+
+    clean is read once: the daily rows are stored, series and days come from one aggregate of them (see span_of for `mixed`), and the calendar is made from two dates.
+    """
+    daily = kept(daily_rows(clean), "daily")
+    span = span_of(daily, mixed)
+    out = add_price_features(add_lag_features(complete_calendar(daily, span)))
     out = drop_warmup(out) if warmup else out
-    return add_calendar_features_of(out, daily, holidays).select(*DAILY, *CALENDAR, *HISTORY)
+    table = calendar_table(clean.sparkSession, span.days(), span.first, span.last, holidays)
+    return out.join(F.broadcast(table), "business_date").select(*DAILY, *CALENDAR, *HISTORY)
 
 
-def add_calendar_features_of(rows: DataFrame, daily: DataFrame, holidays: DataFrame | None) -> DataFrame:
-    """Calendar columns counted from the first day of `daily`, joined to `rows`."""
-    table = add_calendar_features(date_span(daily).select("business_date"), holidays)
-    return rows.join(F.broadcast(table), "business_date")
+def keep_matrix(features: DataFrame) -> tuple[DataFrame, date | None]:
+    """The matrix stored, and its last day, which is observed while it is written: splits and folds need no second pass."""
+    seen = Observation("matrix")
+    stored = kept(features.observe(seen, F.max("business_date").alias("last_day")), "matrix")
+    return stored, seen.get["last_day"]
 
 
 def verify_no_leakage(features: DataFrame) -> DataFrame:

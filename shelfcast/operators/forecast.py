@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import SparkContext
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions.errors import clipped, error_metrics, wape
 from shelfcast.functions.holidays import holiday_dates
+from shelfcast.operators import trees
+from shelfcast.operators.trees import CATEGORICALS, TreeRules
 
-CATEGORICALS = ("store_id", "product", "category")
-#: Most boosting rounds, those fitted at first, the share of each that is added, and the rounds looked at beyond the best.
-ROUNDS, FIRST_ROUNDS, STEP, PATIENCE = 600, 30, 0.1, 20
-#: What nulls count as in trees, and the most categories of a column that enter as such.
-MISSING, WIDE = -1e9, 2_000
 #: Ids, the target, and what is known only after the target day.
 NOT_INPUTS = ("store_id", "product", "category", "business_date", "demand", "revenue", "txn_count", "refund_units", "outlier_txns", "ts_local")
 
@@ -30,13 +24,21 @@ def select_model_features(columns: list[str]) -> list[str]:
     return [*CATEGORICALS, *(c for c in columns if c not in NOT_INPUTS)]
 
 
-def temporal_split(features: DataFrame, test_days: int = 45, val_days: int = 30) -> DataFrame:
-    """features with `split`: the last test_days are test, the val_days before them val, all earlier days train."""
-    last = features.agg(F.max("business_date").alias("_last"))
+def one_day(features: DataFrame, last_day: date | None = None) -> DataFrame:
+    """last: one row, last_day or else the greatest business_date of features."""
+    if last_day is None:
+        return features.agg(F.max("business_date").alias("last"))
+    return features.sparkSession.range(1).select(F.lit(last_day).cast("date").alias("last"))
+
+
+def temporal_split(features: DataFrame, test_days: int = 45, val_days: int = 30, last_day: date | None = None) -> DataFrame:
+    """features with `split`: the last test_days are test, the val_days before them val, all earlier days train. With last_day (see keep_matrix), features is read once."""
     d = F.col("business_date")
-    test = F.date_sub("_last", test_days - 1)
+    last = F.lit(last_day).cast("date") if last_day else F.col("_last")
+    rows = features if last_day else features.crossJoin(F.broadcast(one_day(features).withColumnRenamed("last", "_last")))
+    test = F.date_sub(last, test_days - 1)
     split = F.when(d >= test, "test").when(d >= F.date_sub(test, val_days), "val").otherwise("train")
-    return features.crossJoin(F.broadcast(last)).withColumn("split", split).drop("_last")
+    return rows.withColumn("split", split).drop("_last")
 
 
 def split_profile(split: DataFrame) -> DataFrame:
@@ -52,92 +54,6 @@ def seasonal_naive(features: DataFrame, out: str = "pred") -> DataFrame:
     return features.withColumn(out, clipped(F.col("demand_lag_7").cast("double")))
 
 
-def _filled(columns: list[str]) -> SQLTransformer:
-    """`_c` for each numeric column c, with MISSING for null and NaN: a value below all others, so a tree can set it apart."""
-    filled = ", ".join(f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)), CAST({MISSING} AS DOUBLE)) AS `_{c}`" for c in columns)
-    return SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
-
-
-def train_global_gbt(rows: DataFrame, columns: list[str], validation: str | None = None, max_iter: int = ROUNDS, depth: int = 5, seed: int = 42, patience: int = PATIENCE, loss: str = "squared") -> PipelineModel:
-    """One boosted-tree model for all series. `validation` names a boolean column whose true rows aren't fitted but end the boosting:
-    it keeps the rounds up to the one of least absolute validation error, looking `patience` rounds beyond each new best. Spark can't go on from a fitted model, so
-    while the best round is too near the end, twice as many rounds are fitted anew (with the same seed the first ones are the same).
-
-    With loss="absolute" Spark fits trees to the signs of residuals, so a round moves a prediction by STEP units of demand at most; squared loss gets to lower absolute errors in fewer rounds.
-
-    Every row is fitted and scored: nulls are filled with MISSING, categories that weren't seen are one of their own. The number of bins follows the
-    categories; a column of more than WIDE of them enters as a number, their rank by frequency.
-    """
-    cats = [c for c in CATEGORICALS if c in columns]
-    numeric = [c for c in columns if c not in cats]
-    stages, inputs, bins = [], [], 64
-    if cats:
-        index = StringIndexer(inputCols=list(cats), outputCols=[f"_{c}" for c in cats], handleInvalid="keep").fit(rows)
-        stages.append(index)
-        for c, labels in zip(cats, index.labelsArray, strict=True):
-            if len(labels) <= WIDE:
-                inputs.append(f"_{c}")
-                bins = max(bins, len(labels) + 1)
-            else:
-                stages.append(SQLTransformer(statement=f"SELECT *, `_{c}` + 0D AS `_rank_{c}` FROM __THIS__"))
-                inputs.append(f"_rank_{c}")
-    if numeric:
-        stages.append(_filled(numeric))
-    stages.append(VectorAssembler(inputCols=[*inputs, *(f"_{c}" for c in numeric)], outputCol="_features", handleInvalid="error"))
-    trees = GBTRegressor(featuresCol="_features", labelCol="demand", predictionCol="_raw_pred", lossType=loss, maxIter=max_iter, maxDepth=depth, stepSize=STEP, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=40, maxBins=bins, seed=seed)
-    ready = PipelineModel(stages)
-    vectors = ready.transform(rows).select("_features", "demand", *([validation] if validation else []))
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if vectors.rdd.getNumPartitions() < cores:  # every round passes over all rows, so no core should idle
-        vectors = vectors.repartition(cores)
-    if not validation:
-        return PipelineModel([*stages, trees.fit(vectors)])
-    vectors, rounds = vectors.persist(), min(FIRST_ROUNDS, max_iter)
-    while True:
-        model = trees.copy({trees.maxIter: rounds}).fit(vectors.where(~F.col(validation)))
-        best = best_round(model.evaluateEachIteration(vectors.where(validation), "absolute"), patience)
-        if best + patience <= rounds or rounds == max_iter:
-            break
-        rounds = min(2 * rounds, max_iter)
-    vectors.unpersist()
-    return PipelineModel([*stages, _first_rounds(model, best)])
-
-
-def best_round(errors: list[float], patience: int) -> int:
-    """The number of rounds with the least error, as found by stopping `patience` rounds after the last new best."""
-    best = 0
-    for i, e in enumerate(errors):
-        if i - best > patience:
-            break
-        if e < errors[best]:
-            best = i
-    return best + 1
-
-
-def _first_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
-    """model with its first trees only."""
-    gateway, java = SparkContext._active_spark_context._gateway, model._java_obj
-    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
-    weights = gateway.new_array(gateway.jvm.double, rounds)
-    for i in range(rounds):
-        trees[i], weights[i] = java.trees()[i], java.treeWeights()[i]
-    short = gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures())
-    return GBTRegressionModel(java.copyValues(short, java.extractParamMap()))
-
-
-def score(model: PipelineModel, rows: DataFrame, out: str = "pred") -> DataFrame:
-    kept = rows.columns
-    return model.transform(rows).withColumn(out, F.greatest(F.col("_raw_pred"), F.lit(0.0))).select(*kept, out)
-
-
-def feature_importance(model: PipelineModel, top: int = 12) -> DataFrame:
-    """feature, importance: the most important inputs."""
-    vector, trees = model.stages[-2], model.stages[-1]
-    names = [n.removeprefix("_rank").lstrip("_") for n in vector.getInputCols()]
-    values = trees.featureImportances.toArray().tolist()
-    return SparkSession.active().createDataFrame(list(zip(names, values, strict=True)), "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(top)
-
-
 def _design(dates: pd.Series, origin: pd.Timestamp, holidays: set) -> np.ndarray:
     """Columns of an additive model: level, trend, weekday, yearly waves, holiday."""
     t = (dates - origin).dt.days.to_numpy(float)
@@ -183,15 +99,15 @@ def fall_back(primary: DataFrame, other: DataFrame, pred: str = "pred") -> DataF
 MODELS = ("naive", "gbt", "decomposition")
 
 
-def predict_all(split: DataFrame, **params: int) -> DataFrame:
+def predict_all(split: DataFrame, rules: TreeRules = TreeRules()) -> DataFrame:
     """Val and test rows of `split` with a prediction by each of MODELS.
 
     The trees are fitted on train and ended by val. A series' own model is fitted on train for val, and on train and val for test; where it can't be, the naive forecast stands in.
     """
     rows = seasonal_naive(split, "naive")
     known = training_rows(rows).withColumn("_val", F.col("split") == "val")
-    model = train_global_gbt(known, select_model_features([c for c in split.columns if c != "split"]), "_val", **params)
-    ahead = score(model, rows.where("split in ('val', 'test')"), "gbt")
+    model = trees.train_global_gbt(known, select_model_features([c for c in split.columns if c != "split"]), "_val", rules)
+    ahead = trees.score(model, rows.where("split in ('val', 'test')"), "gbt")
     train, val, test = (rows.where(F.col("split") == s) for s in ("train", "val", "test"))
     own = seasonal_decomposition_forecast(train, val).union(seasonal_decomposition_forecast(train.union(val), test)).withColumnRenamed("pred", "_own")
     joined = ahead.join(own, ["store_id", "product", "business_date"], "left")

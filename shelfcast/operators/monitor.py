@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from shelfcast.functions.errors import wape
 from shelfcast.functions.joins import small
 from shelfcast.functions.quantiles import exact_quantiles
-from shelfcast.operators import forecast
+from shelfcast.operators import forecast, trees
+from shelfcast.operators.trees import TreeRules
 
 SIGNIFICANT, MODERATE = 0.2, 0.1
 INPUTS = ("demand_lag_7", "demand_rollmean_28", "avg_unit_price", "dow")
@@ -117,12 +118,12 @@ def retrain_decision(weekly: DataFrame, operating: DataFrame, inputs: DataFrame,
     return row.select("threshold", "max_run", (sustained | (F.size("drifted") > 0) | F.col("target_drift")).alias("retrain"), reasons.alias("reasons"))
 
 
-def score_periods(rows: DataFrame, **params: int) -> DataFrame:
+def score_periods(rows: DataFrame, rules: TreeRules = TreeRules()) -> DataFrame:
     """rows (the matrix with `period`) with `pred` of one model for the reference and production periods, null in train: fitted on train, ended by the reference block, then frozen."""
     inputs = forecast.select_model_features([c for c in rows.columns if c not in ("period", "store_type")])
     known = rows.where("period <> 'production'").withColumn("_val", F.col("period") == "reference")
-    model = forecast.train_global_gbt(known, inputs, "_val", **params)
-    ahead = forecast.score(model, rows.where("period <> 'train'"))
+    model = trees.train_global_gbt(known, inputs, "_val", rules)
+    ahead = trees.score(model, rows.where("period <> 'train'"))
     return ahead.unionByName(rows.where("period = 'train'").withColumn("pred", F.lit(None).cast("double")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from shelfcast.operators import features as fx
 from shelfcast.plans import adapters, sql
 from shelfcast.plans.cleaning_queries import scratch
 from shelfcast.plans.registry import query
+from shelfcast.session import kept
 from shelfcast.sources import io
 
 _FLOATS = "demand revenue avg_unit_price refund_units"
@@ -27,6 +30,11 @@ def matrix(spark: SparkSession, d: str) -> DataFrame:
     return fx.build_features(clean(spark, d))
 
 
+def daily(spark: SparkSession, d: str, source: Callable[[SparkSession, str], DataFrame] = clean) -> DataFrame:
+    """Daily rows, stored: the calendar and its span read them twice."""
+    return kept(fx.aggregate_daily(source(spark, d)), "daily")
+
+
 def _f(final: str, source: str = adapters.CLEAN, **types: str) -> str:
     return sql.shown(sql.with_(sql.features(source), final), **types)
 
@@ -51,7 +59,7 @@ def distinct_series(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_f("SELECT * FROM filled", doubles=_FLOATS, dates="business_date"))
 def complete_calendar(spark: SparkSession, d: str) -> DataFrame:
-    return fx.complete_calendar(fx.aggregate_daily(clean(spark, d)))
+    return fx.complete_calendar(daily(spark, d))
 
 
 _CAL_FLOATS = "dow_sin dow_cos month_sin month_cos"
@@ -60,23 +68,23 @@ _CAL_LONGS = " ".join(c for c in fx.CALENDAR if c not in _CAL_FLOATS.split())
 
 @query(_f("SELECT * FROM cal", doubles=_CAL_FLOATS, dates="business_date", longs=_CAL_LONGS))
 def calendar_features(spark: SparkSession, d: str) -> DataFrame:
-    return fx.add_calendar_features(fx.date_span(fx.aggregate_daily(clean(spark, d))))
+    return fx.add_calendar_features(kept(fx.date_span(fx.aggregate_daily(clean(spark, d))), "dates"))
 
 
 @query(_f("SELECT * FROM cal", adapters.EVENTS, doubles=_CAL_FLOATS, dates="business_date", longs=_CAL_LONGS))
 def calendar_features_events(spark: SparkSession, d: str) -> DataFrame:
-    return fx.add_calendar_features(fx.date_span(fx.aggregate_daily(events(spark, d))))
+    return fx.add_calendar_features(kept(fx.date_span(fx.aggregate_daily(events(spark, d))), "dates"))
 
 
 @query(_f("SELECT store_id, product, business_date, " + ", ".join(c for c in fx.HISTORY if c.startswith("demand")) + " FROM hist", adapters.EVENTS, doubles=" ".join(c for c in fx.HISTORY if c.startswith("demand")), dates="business_date"))
 def lag_features(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.add_lag_features(fx.complete_calendar(fx.aggregate_daily(events(spark, d))))
+    rows = fx.add_lag_features(fx.complete_calendar(daily(spark, d, events)))
     return rows.select(*_KEYS, *[c for c in fx.HISTORY if c.startswith("demand")])
 
 
 @query(_f("SELECT store_id, product, business_date, avg_unit_price, price_lag_1, price_change_1, txn_count_lag_1 FROM hist", adapters.EVENTS, doubles="avg_unit_price price_lag_1 price_change_1", dates="business_date"))
 def price_features(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.add_price_features(fx.complete_calendar(fx.aggregate_daily(events(spark, d))))
+    rows = fx.add_price_features(fx.complete_calendar(daily(spark, d, events)))
     return rows.select(*_KEYS, "avg_unit_price", "price_lag_1", "price_change_1", "txn_count_lag_1")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.functions.errors import clipped
-from shelfcast.operators import backtest, forecast
+from shelfcast.operators import backtest, forecast, trees
 from shelfcast.operators import features as fx
 from shelfcast.plans import adapters, sql
 from shelfcast.plans.cleaning_queries import scratch
@@ -36,9 +36,20 @@ def _metrics(p: str) -> str:
     return f"sum(abs(demand - {p})) / nullif(sum(abs(demand)), 0) AS wape, avg(abs({p} - demand)) AS mae, sqrt(avg(({p} - demand) * ({p} - demand))) AS rmse, avg({p} - demand) AS bias"
 
 
+def split(spark: SparkSession, d: str) -> DataFrame:
+    """The stored matrix with `split`."""
+    rows, last_day = fx.keep_matrix(matrix(spark, d))
+    return forecast.temporal_split(rows, last_day=last_day)
+
+
+def with_folds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The stored matrix and its folds."""
+    rows, last_day = fx.keep_matrix(matrix(spark, d))
+    return rows, backtest.make_folds(rows, last_day=last_day)
+
+
 def predicted(spark: SparkSession, d: str) -> DataFrame:
-    rows = forecast.temporal_split(matrix(spark, d))
-    rows = forecast.seasonal_naive(rows, "naive")
+    rows = forecast.seasonal_naive(split(spark, d), "naive")
     return rows.withColumn("mean28", clipped(F.col("demand_rollmean_28"))).withColumn("mean7", clipped(F.col("demand_rollmean_7")))
 
 
@@ -47,12 +58,12 @@ _LONG = " UNION ALL ".join(f"SELECT '{m}' AS model, demand, {m} AS p FROM pred W
 
 @query(_p("SELECT split, count(*) AS n_rows, min(business_date) AS first_day, max(business_date) AS last_day FROM pred GROUP BY split", dates="first_day last_day"))
 def temporal_split(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.split_profile(forecast.temporal_split(matrix(spark, d)))
+    return forecast.split_profile(split(spark, d))
 
 
 @query(_p("SELECT category, count(*) AS n FROM pred WHERE split IN ('train', 'val') GROUP BY category"))
 def training_rows(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.training_rows(forecast.temporal_split(matrix(spark, d))).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return forecast.training_rows(split(spark, d)).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
 _INPUTS = forecast.select_model_features([*fx.DAILY, *fx.CALENDAR, *fx.HISTORY])
@@ -60,7 +71,7 @@ _INPUTS = forecast.select_model_features([*fx.DAILY, *fx.CALENDAR, *fx.HISTORY])
 
 @query(_p("SELECT " + ", ".join(_INPUTS) + " FROM pred WHERE split = 'test'", doubles=" ".join(c for c in _INPUTS if c in fx.HISTORY and c != "txn_count_lag_1" or c in ("avg_unit_price", "dow_sin", "dow_cos", "month_sin", "month_cos")), longs=" ".join(c for c in fx.CALENDAR if not c.endswith(("sin", "cos")))))
 def select_model_features(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.temporal_split(matrix(spark, d)).where("split = 'test'").select(*_INPUTS)
+    return split(spark, d).where("split = 'test'").select(*_INPUTS)
 
 
 @query(_p("SELECT store_id, product, business_date, naive AS pred FROM pred WHERE split = 'test'", doubles="pred", dates="business_date"))
@@ -106,22 +117,22 @@ def blend_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def train_global_gbt(spark: SparkSession, d: str) -> DataFrame:
-    rows = kept(predicted(spark, d))
+    rows = predicted(spark, d)
     known = forecast.training_rows(rows).withColumn("_val", F.col("split") == "val")
-    model = forecast.train_global_gbt(known, _INPUTS, "_val")
-    return forecast.forecast_metrics(forecast.score(model, rows.where("split = 'test'")), ["category"])
+    model = trees.train_global_gbt(known, _INPUTS, "_val")
+    return forecast.forecast_metrics(trees.score(model, rows.where("split = 'test'")), ["category"])
 
 
 @query()
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
-    known = kept(forecast.training_rows(predicted(spark, d))).withColumn("_val", F.col("split") == "val")
-    return forecast.feature_importance(forecast.train_global_gbt(known, _INPUTS, "_val"))
+    known = forecast.training_rows(predicted(spark, d)).withColumn("_val", F.col("split") == "val")
+    return trees.feature_importance(trees.train_global_gbt(known, _INPUTS, "_val"))
 
 
 @query()
 def model_results(spark: SparkSession, d: str) -> DataFrame:
     """All models end to end: fitted on train, weights tuned on val, compared on test."""
-    return forecast.model_results(kept(forecast.predict_all(kept(forecast.temporal_split(matrix(spark, d))))))
+    return forecast.model_results(kept(forecast.predict_all(split(spark, d))))
 
 
 @query()
@@ -135,13 +146,12 @@ def seasonal_decomposition(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_p("SELECT * FROM folds", dates="train_end val_start val_end test_start test_end", longs="fold"))
 def make_folds(spark: SparkSession, d: str) -> DataFrame:
-    return backtest.make_folds(matrix(spark, d))
+    return with_folds(spark, d)[1]
 
 
 @query(_p("SELECT fold, CASE WHEN business_date <= train_end THEN 'train' WHEN business_date <= val_end THEN 'val' ELSE 'test' END AS block, count(*) AS n, sum(demand) AS demand FROM pred JOIN folds ON business_date <= test_end GROUP BY 1, 2", doubles="demand", longs="fold"))
 def assign_folds(spark: SparkSession, d: str) -> DataFrame:
-    m = kept(matrix(spark, d))
-    return backtest.assign_folds(m, backtest.make_folds(m)).groupBy("fold", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("demand").alias("demand"))
+    return backtest.assign_folds(*with_folds(spark, d)).groupBy("fold", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("demand").alias("demand"))
 
 
 _BASE = "SELECT fold, count(*) FILTER (business_date <= train_end) AS train_rows, sum(abs(demand - naive)) FILTER (business_date >= test_start) / nullif(sum(abs(demand)) FILTER (business_date >= test_start), 0) AS base_wape, avg(abs(naive - demand)) FILTER (business_date >= test_start) AS base_mae, avg(naive - demand) FILTER (business_date >= test_start) AS base_bias FROM pred JOIN folds ON business_date <= test_end GROUP BY fold HAVING count(*) FILTER (business_date BETWEEN val_start AND val_end) > 0"
@@ -149,14 +159,13 @@ _BASE = "SELECT fold, count(*) FILTER (business_date <= train_end) AS train_rows
 
 @query(_p(_BASE, doubles="base_wape base_mae base_bias", longs="fold"))
 def fold_baseline(spark: SparkSession, d: str) -> DataFrame:
-    m = kept(matrix(spark, d))
-    return backtest.fold_baseline(m, backtest.make_folds(m))
+    return backtest.fold_baseline(*with_folds(spark, d))
 
 
 @query(_p(_BASE, doubles="base_wape base_mae base_bias", longs="fold"))
 def write_fold_results(spark: SparkSession, d: str) -> DataFrame:
-    path, m = scratch(spark), kept(matrix(spark, d))
-    io.write_fold_results(backtest.fold_baseline(m, backtest.make_folds(m)), path)
+    path = scratch(spark)
+    io.write_fold_results(backtest.fold_baseline(*with_folds(spark, d)), path)
     return spark.read.schema("fold int, train_rows long, base_wape double, base_mae double, base_bias double").option("header", True).csv(path)
 
 
@@ -174,12 +183,12 @@ def backtest_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def rolling_origin_backtest(spark: SparkSession, d: str) -> DataFrame:
-    return backtest.rolling_origin_backtest(kept(matrix(spark, d)))
+    return backtest.rolling_origin_backtest(*with_folds(spark, d))
 
 
 @query()
 def ablation(spark: SparkSession, d: str) -> DataFrame:
-    return backtest.ablation_verdict(backtest.ablation(kept(matrix(spark, d))))
+    return backtest.ablation(*with_folds(spark, d))
 
 
 _KINDS = {c: backtest.feature_group(c) for c in _INPUTS}

@@ -74,5 +74,26 @@ def test_matrix_has_one_exchange_by_series_for_all_windows(spark):
     assert re.split("(?:Hash|Sort)Aggregate", final)[0].count("Exchange") == 0
 
 
+def test_a_product_of_two_categories_is_reported(spark):
+    rows = sales(spark, range(40)).withColumn("category", F.when(F.col("quantity") == 7, "other").otherwise(F.col("category")))
+    for mixed in (rows, rows.unionByName(sales(spark, range(40)).where("quantity = 7"))):  # on a day of its own, and within a day
+        with pytest.raises(ValueError, match="1 series have several categories; the first is store S1, product diesel"):
+            fx.build_features(mixed)
+        least = fx.build_features(mixed, mixed="least")
+        assert least.count() == 40 - 28 and {r["category"] for r in least.collect()} == {"fuel"}
+
+
+def test_clean_rows_are_read_once_for_the_matrix(spark, tmp_path):
+    sales(spark, range(60)).write.parquet(f"{tmp_path}/clean")
+    matrix = fx.build_features(spark.read.parquet(f"{tmp_path}/clean"))
+    plan = matrix._jdf.queryExecution().optimizedPlan().toString()
+    assert "quantity" not in plan and str(tmp_path) not in matrix._jdf.queryExecution().executedPlan().toString()
+    stored, last = fx.keep_matrix(matrix)
+    assert last == date(2024, 2, 29) and stored.count() == 32
+    days = stored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in days and "Window" not in days
+    assert fx.keep_matrix(fx.build_features(sales(spark, [])))[1] is None
+
+
 def test_empty(spark):
     assert fx.build_features(sales(spark, [])).count() == 0

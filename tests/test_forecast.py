@@ -1,3 +1,4 @@
+import random
 from datetime import date, timedelta
 
 import pytest
@@ -5,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfcast.functions.quantiles import exact_quantiles
-from shelfcast.operators import backtest, forecast, monitor
+from shelfcast.operators import backtest, forecast, monitor, trees
+from shelfcast.operators.trees import TreeRules
 
 START = date(2024, 1, 1)
 
@@ -56,19 +58,57 @@ def test_decomposition_beats_mean_and_falls_back(spark):
     assert forecast.fall_back(short, data.where(F.col("business_date") >= F.lit(cut)).withColumn("pred", F.lit(7.0))).agg(F.min("pred")).first()[0] == 7.0
 
 
-def test_gbt_learns_a_step(spark):
-    data = rows(spark, [5.0 if i % 2 else 25.0 for i in range(400)]).withColumn("odd", (F.datediff("business_date", F.lit(START)) % 2).cast("double")).withColumn("_val", F.col("business_date") > F.lit(START + timedelta(days=300)))
-    model = forecast.train_global_gbt(data, ["store_id", "product", "category", "odd"], "_val", max_iter=15, depth=2)
-    assert forecast.forecast_metrics(forecast.score(model, data)).first()["wape"] < 0.3
-    assert forecast.feature_importance(model).first()["feature"] == "odd"
+def odd_days(spark, n, val_from):
+    data = rows(spark, [5.0 if i % 2 else 25.0 for i in range(n)]).withColumn("odd", (F.datediff("business_date", F.lit(START)) % 2).cast("double"))
+    return data.withColumn("_val", F.col("business_date") > F.lit(START + timedelta(days=val_from)))
 
 
-def test_boosting_looks_past_a_worse_round(spark):
-    assert forecast.best_round([3.0, 3.1, 2.0, 2.5, 2.5], 40) == 3 and forecast.best_round([3.0, 3.1, 3.1, 2.0], 1) == 1
-    data = rows(spark, [5.0 if i % 2 else 25.0 for i in range(300)]).withColumn("odd", (F.datediff("business_date", F.lit(START)) % 2).cast("double")).withColumn("_val", F.col("business_date") > F.lit(START + timedelta(days=200)))
-    model = forecast.train_global_gbt(data, ["odd"], "_val", max_iter=4, depth=1)
-    errors = model.stages[-1].evaluateEachIteration(model.stages[1].transform(model.stages[0].transform(data.where("_val"))), "absolute")
-    assert errors[-1] == min(errors) and forecast.score(model, data).count() == 300
+def test_gbt_learns_a_step(spark):
+    data = odd_days(spark, 400, 300)
+    model = trees.train_global_gbt(data, ["store_id", "product", "category", "odd"], "_val", TreeRules(rounds=15, depth=2))
+    assert forecast.forecast_metrics(trees.score(model, data)).first()["wape"] < 0.3
+    assert trees.feature_importance(model).first()["feature"] == "odd"
+
+
+def noisy(spark, n=900):
+    rng = random.Random(4)
+    data = [(f"S{i % 5}", "p", "c", START + timedelta(days=i // 5), rng.random(), float(rng.randrange(9))) for i in range(n)]
+    table = spark.createDataFrame(data, "store_id string, product string, category string, business_date date, a double, b double")
+    demand = 3 * F.col("b") + 9 * F.sin(7 * F.col("a")) + F.ascii(F.substring("store_id", 2, 1)) + F.round(F.rand(5) * 2, 1)
+    return table.withColumn("demand", demand).withColumn("_val", F.col("business_date") > F.lit(START + timedelta(days=n // 7)))
+
+
+def test_blocks_are_one_long_fit_and_no_tree_is_fitted_twice(spark, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    data = noisy(spark).cache()
+    grown = []
+    for kind, name in ((GBTRegressor, "maxIter"), (RandomForestRegressor, "numTrees")):
+        monkeypatch.setattr(kind, "fit", lambda self, table, f=kind.fit, name=name: grown.append(self.getOrDefault(name)) or f(self, table))
+    rules = TreeRules(rounds=11, depth=3, patience=99, row_share=1.0, column_share=1.0, block=4, least_rows=5)
+    encoder = trees.fit_encoder(data.where("not _val"), ["store_id", "a", "b"])
+    table = trees.encoded(encoder, data, "demand", "_val")
+    model = trees.boost(table, "_val", rules)
+    assert grown == [4] + [1] * 7
+    long = GBTRegressor(featuresCol="_features", labelCol="demand", maxIter=11, maxDepth=3, maxBins=64, stepSize=0.3, minInstancesPerNode=5, seed=1).fit(table.where("not _val"))
+    errors = long.evaluateEachIteration(table.where("_val"), "absolute")
+    best = trees.best_round(errors, 99)
+    assert len(model.trees) == best and best > 4 and list(model.treeWeights) == list(long.treeWeights)[:best]
+    kept_rounds = trees.of_trees(long, list(long._java_obj.trees())[:best], list(long.treeWeights)[:best])
+    got, want = ([r["_raw_pred"] for r in m.transform(table).orderBy("demand", "_features").collect()] for m in (model, kept_rounds.setPredictionCol("_raw_pred")))
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_boosting_ends_behind_the_best_round(spark, monkeypatch):
+    assert trees.best_round([3.0, 3.1, 2.0, 2.5, 2.5], 40) == 3 and trees.best_round([3.0, 3.1, 3.1, 2.0], 1) == 1
+    rules = TreeRules(rounds=50, patience=3)
+    assert trees.ended([3.0, 2.0, 2.5, 2.5, 2.5], rules) and not trees.ended([3.0, 2.0, 2.5, 2.5], rules) and trees.ended([1.0 / (i + 1) for i in range(50)], rules)
+    data = noisy(spark).withColumn("demand", F.when(F.col("_val"), F.col("demand") + 500).otherwise(F.col("demand")))
+    asked = []
+    monkeypatch.setattr(trees, "ended", lambda errors, rules, f=trees.ended: asked.append(len(errors)) or f(errors, rules))
+    model = trees.train_global_gbt(data, ["a", "b"], "_val", TreeRules(rounds=600, patience=3, block=2, depth=2))
+    best = len(model.stages[-1].trees)
+    assert asked == list(range(2, asked[-1] + 1, 2)) and best + 3 <= asked[-1] <= best + 5
 
 
 def test_registered_queries_do_the_whole_job(spark, monkeypatch):
@@ -77,14 +117,14 @@ def test_registered_queries_do_the_whole_job(spark, monkeypatch):
 
     asked = []
     start = rows(spark, range(10))
-    monkeypatch.setattr(q, "matrix", lambda spark, d: start)
+    monkeypatch.setattr(q, "with_folds", lambda spark, d: (start, start))
     monkeypatch.setattr(q, "predicted", lambda spark, d: start.withColumn("split", F.lit("val")))
-    monkeypatch.setattr(forecast, "train_global_gbt", lambda *a, **k: asked.append((a, k)))
-    monkeypatch.setattr(forecast, "feature_importance", lambda model: start)
-    monkeypatch.setattr(backtest, "rolling_origin_backtest", lambda features, **k: asked.append(((), k)) or start)
+    monkeypatch.setattr(trees, "train_global_gbt", lambda *a, **k: asked.append((a, k)))
+    monkeypatch.setattr(trees, "feature_importance", lambda model: start)
+    monkeypatch.setattr(backtest, "rolling_origin_backtest", lambda features, folds, **k: asked.append(((), k)) or start)
     q.feature_importance(spark, "")
     q.rolling_origin_backtest(spark, "")
-    assert asked[0][0][2] == "_val" and not any(k for _, k in asked)
+    assert asked[0][0][2] == "_val" and len(asked[0][0]) == 3 and not any(k for _, k in asked)
 
 
 def many_stores(spark, stores, days=60):
@@ -92,21 +132,21 @@ def many_stores(spark, stores, days=60):
     return spark.createDataFrame(data, "store_id string, product string, category string, business_date date, demand double, price double")
 
 
-def test_trees_take_many_stores_and_nulls(spark, monkeypatch):
-    data = many_stores(spark, 100)
+@pytest.mark.parametrize("stores", [100, 3000])
+def test_trees_take_any_number_of_stores_and_nulls(spark, stores):
+    data = many_stores(spark, stores, 6 if stores > 100 else 60)
     columns = ["store_id", "product", "category", "price"]
-    model = forecast.train_global_gbt(data, columns, max_iter=2)
-    out = forecast.score(model, data.unionByName(data.limit(1).withColumn("store_id", F.lit("new"))))
-    assert out.count() == 6001 and out.where("pred is null").count() == 0 and model.stages[-1].getMaxBins() == 101
-    monkeypatch.setattr(forecast, "WIDE", 50)
-    wide = forecast.train_global_gbt(data, columns, max_iter=2)
-    assert forecast.score(wide, data).count() == 6000 and wide.stages[-1].getMaxBins() == 64
+    model = trees.train_global_gbt(data, columns, rules=TreeRules(rounds=6, bins=32, least_rows=1, column_share=1.0))
+    out = trees.score(model, data.unionByName(data.limit(1).withColumn("store_id", F.lit("new"))).unionByName(data.limit(1).withColumn("store_id", F.lit(None).cast("string"))))
+    assert out.where("pred is null").count() == 0 and out.count() == data.count() + 2 and model.stages[-1].getMaxBins() == 32
+    # demand depends on the store's number alone but for Saturdays: the order of mean demand finds it at either width
+    assert trees.score(model, data).agg(F.avg(F.abs(F.col("pred") - F.col("demand")))).first()[0] < 2.2
 
 
 def test_all_models_end_to_end(spark):
     data = many_stores(spark, 8, 130).withColumn("demand_lag_7", F.lag("demand", 7).over(Window.partitionBy("store_id").orderBy("business_date"))).where("demand_lag_7 is not null")
     split = forecast.temporal_split(data, 20, 15)
-    predicted = forecast.predict_all(split, max_iter=3).persist()
+    predicted = forecast.predict_all(split, TreeRules(rounds=3)).persist()
     assert predicted.count() == 8 * 35 and predicted.where("naive is null or gbt is null or decomposition is null").count() == 0
     table = {r["model"]: r for r in forecast.model_results(predicted).collect()}
     assert set(table) == {*forecast.MODELS, "ensemble"} and sum(table[m]["weight"] for m in forecast.MODELS) == pytest.approx(1)
@@ -121,20 +161,49 @@ def test_monitor_of_a_trained_model(spark):
     stores = spark.createDataFrame([(f"S{i:03d}", "highway" if i % 2 else "urban") for i in range(8)], "store_id string, store_type string")
     data = monitor.attach_store_type(many_stores(spark, 8, 150), stores)
     cut = [str(START + timedelta(days=n)) for n in (60, 80)]
-    scored = monitor.score_periods(monitor.split_reference_production(data, *cut), max_iter=3).persist()
+    scored = monitor.score_periods(monitor.split_reference_production(data, *cut), TreeRules(rounds=3)).persist()
     assert scored.count() == 8 * 150 and scored.where("period <> 'train' and pred is null").count() == 0
     changed = monitor.inject_regime_change(scored, str(START + timedelta(days=110)), factor=0.3)
     healthy = monitor.operating_wape(monitor.weekly_wape(scored.where("period = 'production'")))
     assert monitor.monitor(changed.withColumns({c: F.lit(1.0) for c in monitor.INPUTS}), healthy)["decision"].first()["retrain"] is True
 
 
+def with_lag(data):
+    return data.withColumn("demand_lag_7", F.lag("demand", 7).over(Window.partitionBy("store_id").orderBy("business_date"))).where("demand_lag_7 is not null")
+
+
+def test_backtest_over_folds(spark, monkeypatch):
+    data = with_lag(many_stores(spark, 4, 150)).cache()
+    folds = backtest.make_folds(data, 4, 20, 15)
+    encoders, tables = [], []
+    monkeypatch.setattr(trees, "fit_encoder", lambda rows, *a, f=trees.fit_encoder: encoders.append(rows.agg(F.max("business_date")).first()[0]) or f(rows, *a))
+    monkeypatch.setattr(trees, "encoded", lambda *a, f=trees.encoded: tables.append(f(*a)) or tables[-1])
+    predictions = backtest.fold_predictions(data, folds, TreeRules(rounds=3, depth=2))
+    of = {f["fold"]: f for f in folds.collect()}
+    assert encoders == [of[1]["train_end"]] and len(tables) == 1  # inputs are encoded once, by what the oldest fold knows
+    assert predictions.count() == 4 * 20 * 4 and all(of[r["fold"]]["test_start"] <= r["business_date"] <= of[r["fold"]]["test_end"] for r in predictions.collect())
+    table = {r["fold"]: r for r in backtest.backtest_table(data, folds, predictions).collect()}
+    for k, rows_of in ((k, [r for r in predictions.collect() if r["fold"] == k]) for k in table):
+        assert table[k]["model_wape"] == pytest.approx(sum(abs(r["demand"] - r["pred"]) for r in rows_of) / sum(r["demand"] for r in rows_of))
+        assert table[k]["base_wape"] == pytest.approx(sum(abs(r["demand"] - r["base"]) for r in rows_of) / sum(r["demand"] for r in rows_of))
+    assert set(table) == {1, 2, 3, 4} and backtest.rolling_origin_backtest(data, backtest.make_folds(data, 2, 200, 200)).count() == 0
+
+
+def test_one_at_a_time_or_side_by_side(spark):
+    order = trees.side_by_side(spark, range(7), lambda i: spark.range(i).count(), 3)
+    assert order == list(range(7))
+    with pytest.raises(ZeroDivisionError):
+        trees.side_by_side(spark, [1, 0], lambda i: 1 // i)
+
+
 def test_ablation_keeps_the_baseline_beside_it(spark):
-    data = many_stores(spark, 4, 120).withColumn("demand_lag_7", F.lit(12.0))
-    got = backtest.ablation(data, max_iter=1, depth=1).collect()
-    assert {"full", "drop lags", "calendar only"} <= {r["variant"] for r in got} and got[0]["delta"] == 0
-    last = data.where(F.col("business_date") > F.lit(START + timedelta(days=89)))
+    data = many_stores(spark, 4, 150).withColumn("demand_lag_7", F.lit(12.0))
+    got = {r["variant"]: r for r in backtest.ablation(data, rules=TreeRules(rounds=1, depth=1)).collect()}
+    assert {"full", "drop lags", "calendar only"} <= set(got) and got["full"]["delta"] == 0 and got["full"]["verdict"] == "negligibly"
+    assert got["drop lags"]["n_features"] == got["full"]["n_features"] - 1
+    last = data.where(F.col("business_date") > F.lit(START + timedelta(days=119)))
     base = forecast.forecast_metrics(forecast.seasonal_naive(last)).first()["wape"]
-    assert got[0]["still_better_pct"] == pytest.approx(100 * (base - got[0]["wape"]) / base)
+    assert got["full"]["still_better_pct"] == pytest.approx(100 * (base - got["full"]["wape"]) / base)
 
 
 @pytest.mark.parametrize("most", [10, 10**6])

@@ -54,11 +54,11 @@ def fold_baseline(features: DataFrame, folds: DataFrame) -> DataFrame:
 PREDICTED = ("store_id", "product", "business_date", "category", "demand", "base", "pred")
 
 
-def _prepared(features: DataFrame, before: date) -> tuple[PipelineModel, DataFrame]:
+def _prepared(features: DataFrame, before: date, at_once: int) -> tuple[PipelineModel, DataFrame]:
     """An encoder that knows the rows up to `before`, and all rows encoded by it and stored, with the naive forecast as `base`: one table that every fit reads."""
     rows = forecast.seasonal_naive(features, "base")
     encoder = trees.fit_encoder(rows.where(F.col("business_date") <= before), forecast.select_model_features(features.columns))
-    return encoder, trees.encoded(encoder, rows, *[c for c in PREDICTED if c != "pred"])
+    return encoder, trees.encoded(encoder, rows, *[c for c in PREDICTED if c != "pred"], at_once=at_once)
 
 
 def _fold(table: DataFrame, fold: Row) -> tuple[DataFrame, DataFrame]:
@@ -87,7 +87,7 @@ def fold_predictions(features: DataFrame, folds: DataFrame, rules: TreeRules = T
     of = usable(features, folds)
     if not of:
         return None
-    _, table = _prepared(features, min(f["train_end"] for f in of))
+    _, table = _prepared(features, min(f["train_end"] for f in of), at_once)
 
     def fit(fold: Row) -> DataFrame:
         known, test = _fold(table, fold)
@@ -166,7 +166,7 @@ def ablation_predictions(features: DataFrame, folds: DataFrame, rules: TreeRules
     of = usable(features, folds)
     if not of:
         return None
-    encoder, table = _prepared(features, of[-1]["train_end"])
+    encoder, table = _prepared(features, of[-1]["train_end"], at_once)
     known, test = _fold(table, of[-1])
 
     def fit(variant: tuple[str, list[str]]) -> DataFrame:

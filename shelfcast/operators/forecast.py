@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from shelfcast.functions.errors import clipped, error_metrics, wape
 from shelfcast.functions.holidays import holiday_dates
@@ -54,39 +56,61 @@ def seasonal_naive(features: DataFrame, out: str = "pred") -> DataFrame:
     return features.withColumn(out, clipped(F.col("demand_lag_7").cast("double")))
 
 
-def _design(dates: pd.Series, origin: pd.Timestamp, holidays: set) -> np.ndarray:
-    """Columns of an additive model: level, trend, weekday, yearly waves, holiday."""
-    t = (dates - origin).dt.days.to_numpy(float)
-    week = np.eye(7)[dates.dt.dayofweek.to_numpy()][:, 1:]
-    year = [f(2 * np.pi * k * t / 365.25) for k in (1, 2, 3) for f in (np.sin, np.cos)]
-    holiday = dates.dt.date.isin(holidays).to_numpy(float)
-    return np.column_stack([np.ones_like(t), t / 365.25, week, *year, holiday])
+#: Columns of the additive model: level, trend, weekdays after Monday, yearly waves, holiday.
+WAVES = tuple((f, k) for k in (1, 2, 3) for f in ("sin", "cos"))
+WIDTH = 2 + 6 + len(WAVES) + 1
+#: Days are counted from here; years whose holidays are known to the model.
+ORIGIN, YEARS = date(2000, 1, 1), (1970, 2070)
+
+
+def design(d: Column) -> Column:
+    """The row of the design matrix for a date, as an array of WIDTH doubles. The penalty leaves the level alone and takes both waves of a frequency alike, so the forecast doesn't depend on ORIGIN."""
+    t = F.datediff(d, F.lit(ORIGIN).cast("date")).cast("double")
+    week = [(F.weekday(d) == k).cast("double") for k in range(1, 7)]
+    waves = [getattr(F, f)(2 * F.pi() * k * t / 365.25) for f, k in WAVES]
+    holiday = d.isin([F.lit(h).cast("date") for h in holiday_dates(*YEARS)]).cast("double")
+    return F.array(F.lit(1.0), t / 365.25, *week, *waves, holiday)
+
+
+def decomposition_statistics(history: DataFrame) -> DataFrame:
+    """store_id, product, n, xx, xy: for each series the rows with demand, the upper triangle of X'X (row by row) and X'y.
+
+    Sums of products by series are all that a linear fit needs: they are made by one aggregation with partial sums, however many days a series has.
+    """
+    rows = history.where("demand is not null").select("store_id", "product", F.col("demand").cast("double").alias("y"), design(F.col("business_date")).alias("x"))
+    x = F.col("x")
+    pairs = [F.sum(x[i] * x[j]) for i in range(WIDTH) for j in range(i, WIDTH)]
+    return rows.groupBy("store_id", "product").agg(F.count(F.lit(1)).alias("n"), F.array(*pairs).alias("xx"), F.array(*[F.sum(x[i] * F.col("y")) for i in range(WIDTH)]).alias("xy"))
+
+
+def solve_ridge(xx: np.ndarray, xy: np.ndarray, penalty: float) -> np.ndarray:
+    """Coefficients for each row of upper triangles xx and right sides xy; the level isn't penalised."""
+    full = np.zeros((len(xx), WIDTH, WIDTH))
+    i, j = np.triu_indices(WIDTH)
+    full[:, i, j] = full[:, j, i] = xx
+    full += np.diag([0.0, *[penalty] * (WIDTH - 1)]) + 1e-9 * np.eye(WIDTH)
+    return np.linalg.solve(full, xy[:, :, None])[:, :, 0]
+
+
+def decomposition_coefficients(statistics: DataFrame, least_points: int = 30, penalty: float = 1.0) -> DataFrame:
+    """store_id, product, beta: the additive model of each series with least_points days or more."""
+
+    @pandas_udf("array<double>")
+    def solved(xx: pd.Series, xy: pd.Series) -> pd.Series:
+        return pd.Series(list(solve_ridge(np.array(xx.tolist(), float).reshape(len(xx), -1), np.array(xy.tolist(), float).reshape(len(xy), -1), penalty)) if len(xx) else [], dtype=object)
+
+    return statistics.where(F.col("n") >= least_points).select("store_id", "product", solved("xx", "xy").alias("beta"))
 
 
 def seasonal_decomposition_forecast(history: DataFrame, ahead: DataFrame, least_points: int = 30, penalty: float = 1.0) -> DataFrame:
     """store_id, product, business_date, pred for the rows of `ahead`: one additive model a series, fitted by ridge on `history`.
 
-    A series is one group; it has a row a day, so a group stays small however many series there are. Series with fewer than least_points days get null
-    (use fall_back).
+    Only sums by series are shuffled and only the solution of WIDTH equations is numpy. Series with fewer than least_points days of demand, and such that history doesn't have, get null (use fall_back).
     """
-    rows = history.select("store_id", "product", "business_date", F.col("demand").cast("double").alias("demand"), F.lit(True).alias("_known"))
-    rows = rows.unionByName(ahead.select("store_id", "product", "business_date", F.lit(None).cast("double").alias("demand"), F.lit(False).alias("_known")))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        dates = pd.to_datetime(pdf["business_date"])
-        known = pdf["_known"].to_numpy(bool) & pdf["demand"].notna().to_numpy()
-        out = pdf.loc[~pdf["_known"], ["store_id", "product", "business_date"]].copy()
-        if known.sum() < least_points or out.empty:
-            out["pred"] = None
-            return out
-        x = _design(dates, dates.min(), set(holiday_dates(dates.min().year, dates.max().year)))
-        a = x[known]
-        ridge = np.diag([0.0, *[penalty] * (x.shape[1] - 1)])
-        beta = np.linalg.solve(a.T @ a + ridge + 1e-9 * np.eye(x.shape[1]), a.T @ pdf["demand"].to_numpy(float)[known])
-        out["pred"] = np.maximum(x[~pdf["_known"].to_numpy(bool)] @ beta, 0.0)
-        return out
-
-    return rows.groupBy("store_id", "product").applyInPandas(fit, "store_id string, product string, business_date date, pred double")
+    beta = decomposition_coefficients(decomposition_statistics(history), least_points, penalty)
+    rows = ahead.select("store_id", "product", "business_date", design(F.col("business_date")).alias("_x")).join(beta, ["store_id", "product"], "left")
+    fitted = F.aggregate(F.zip_with("_x", "beta", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return rows.select("store_id", "product", "business_date", clipped(fitted).alias("pred"))
 
 
 def fall_back(primary: DataFrame, other: DataFrame, pred: str = "pred") -> DataFrame:
@@ -95,6 +119,36 @@ def fall_back(primary: DataFrame, other: DataFrame, pred: str = "pred") -> DataF
     return other.join(primary.select(*keys, F.col(pred).alias("_p")), keys, "left").withColumn(pred, F.coalesce("_p", pred)).drop("_p")
 
 
+def with_donors(rows: DataFrame, inputs: list[str], keys: tuple[str, ...] = ("store_id", "product", "business_date"), rows_per_task: int = 100_000, n_rows: int | None = None) -> DataFrame:
+    """rows with `_donor`, a struct of another row's inputs: the one before it in the order of a hash of the keys, and for the first of a task the last.
+
+    So every row gives its inputs to one other, which is a permutation that doesn't depend on how rows are stored. Hashes deal rows out over as many tasks as there are rows_per_task.
+    """
+    n_rows = rows.count() if n_rows is None else n_rows
+    h = F.md5(F.concat_ws("/", *[F.col(k).cast("string") for k in keys]))
+    part = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(max(1, -(-n_rows // rows_per_task)))).alias("_part")
+    order = Window.partitionBy("_part").orderBy("_h")
+    dealt = rows.select("*", h.alias("_h"), part)
+    given = F.struct(*inputs)
+    last = F.last(given).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return dealt.select("*", F.coalesce(F.lag(given).over(order), last).alias("_donor")).drop("_h", "_part")
+
+
+def permutation_importance(rows: DataFrame, inputs: list[str], predict: Callable[[DataFrame], DataFrame], top: int | None = 12, keys: tuple[str, ...] = ("store_id", "product", "business_date")) -> DataFrame:
+    """feature, wape, rise: how much the WAPE of predict(rows) (which adds `pred`) rises when one input is taken from other rows; the `top` inputs of the greatest rise, or all.
+
+    All inputs are permuted in one pass: a row becomes one for each input, with that input from its donor (see with_donors), and one as it is, and predictions of all are scored by one aggregate.
+    """
+    donors = with_donors(rows, inputs, keys)
+    keep = [c for c in donors.columns if c not in ("_donor", *inputs)]
+    changed = donors.withColumn("_input", F.explode(F.array(F.lit("").alias("x"), *map(F.lit, inputs))))
+    changed = changed.select(*keep, "_input", *[F.when(F.col("_input") == c, F.col("_donor")[c]).otherwise(F.col(c)).alias(c) for c in inputs])
+    errors = predict(changed).groupBy("_input").agg(wape(F.col("demand"), F.col("pred")).alias("wape"))
+    plain = errors.agg(F.max(F.when(F.col("_input") == "", F.col("wape"))).alias("_plain"))
+    out = errors.where("_input <> ''").crossJoin(F.broadcast(plain)).select(F.col("_input").alias("feature"), "wape", (F.col("wape") - F.col("_plain")).alias("rise"))
+    return out.orderBy(F.desc("rise"), "feature").limit(top) if top else out
+
+
 #: The models that are compared, and the columns of their predictions.
 MODELS = ("naive", "gbt", "decomposition")
 
@@ -124,6 +178,12 @@ def model_results(predicted: DataFrame) -> DataFrame:
     return metrics.join(lift_over_baseline(metrics, "naive").drop("wape"), "model").withColumn("weight", weight)
 
 
+def segment_results(predicted: DataFrame, segment: str = "category") -> DataFrame:
+    """segment, model, wape: the test errors of each of MODELS for each segment, in one aggregate of predict_all's table."""
+    long = predicted.where("split = 'test'").select(segment, "demand", *MODELS).unpivot([segment, "demand"], list(MODELS), "model", "pred")
+    return long.groupBy(segment, "model").agg(wape(F.col("demand"), F.col("pred")).alias("wape"))
+
+
 def blend_predictions(rows: DataFrame, weights: dict[str, float], out: str = "pred") -> DataFrame:
     return rows.withColumn(out, reduce(lambda a, b: a + b, [F.lit(w) * F.col(c) for c, w in weights.items()]))
 

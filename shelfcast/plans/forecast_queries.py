@@ -129,10 +129,34 @@ def feature_importance(spark: SparkSession, d: str) -> DataFrame:
     return trees.feature_importance(trees.train_global_gbt(known, _INPUTS, "_val"))
 
 
+_STAND_IN = {"naive": 0.2, "mean28": 0.5, "mean7": 0.3}
+_PERMUTED = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, demand, " + " + ".join(f"{w} * {'d_' if m == c else ''}{m}" for m, w in _STAND_IN.items()) + " AS p FROM dealt" for c in ("", *_STAND_IN)
+)
+_DONORS = "SELECT demand, " + ", ".join(f"{c}, coalesce(lag({c}) OVER w, last_value({c}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS d_{c}" for c in _STAND_IN) + " FROM (SELECT *, md5(concat_ws('/', store_id, product, CAST(business_date AS VARCHAR))) AS h FROM pred WHERE split = 'test') AS t WINDOW w AS (PARTITION BY CAST('0x' || substr(h, 1, 8) AS BIGINT) % (SELECT greatest(1, CAST(ceil(count(*) / 100000.0) AS BIGINT)) FROM pred WHERE split = 'test') ORDER BY h)"
+
+
+@query(_p(f"SELECT feature, wape, wape - (SELECT wape FROM m WHERE feature = '') AS rise FROM m WHERE feature <> ''".replace("FROM m", f"FROM (SELECT feature, sum(abs(demand - p)) / nullif(sum(abs(demand)), 0) AS wape FROM (WITH dealt AS ({_DONORS}) {_PERMUTED}) AS l GROUP BY feature) AS m"), doubles="wape rise"))
+def permutation_importance(spark: SparkSession, d: str) -> DataFrame:
+    """A fixed blend of three simple forecasts stands in for the model, so that SQL can predict too."""
+    rows = predicted(spark, d).where("split = 'test'")
+    return forecast.permutation_importance(rows, list(_STAND_IN), lambda r: forecast.blend_predictions(r, _STAND_IN))
+
+
+@query()
+def permutation_importance_trained(spark: SparkSession, d: str) -> DataFrame:
+    rows = predicted(spark, d)
+    known = forecast.training_rows(rows).withColumn("_val", F.col("split") == "val")
+    model = trees.train_global_gbt(known, _INPUTS, "_val")
+    return forecast.permutation_importance(rows.where("split = 'test'"), _INPUTS, lambda r: trees.score(model, r))
+
+
 @query()
 def model_results(spark: SparkSession, d: str) -> DataFrame:
-    """All models end to end: fitted on train, weights tuned on val, compared on test."""
-    return forecast.model_results(kept(forecast.predict_all(split(spark, d))))
+    """All models end to end: fitted on train, weights tuned on val, compared on test; beside the whole test block, the errors of each category."""
+    predictions = kept(forecast.predict_all(split(spark, d)), "predictions")
+    overall = forecast.model_results(predictions).withColumn("category", F.lit("all"))
+    return overall.unionByName(forecast.segment_results(predictions), allowMissingColumns=True)
 
 
 @query()
@@ -144,6 +168,19 @@ def seasonal_decomposition(spark: SparkSession, d: str) -> DataFrame:
     return forecast.forecast_metrics(both, ["category"])
 
 
+_X = ["1.0::DOUBLE", "t / 365.25", *[f"CAST(CASE WHEN isodow(business_date) - 1 = {k} THEN 1 ELSE 0 END AS DOUBLE)" for k in range(1, 7)], *[f"{f}(2 * pi() * {k} * t / 365.25)" for f, k in forecast.WAVES], "CAST(is_holiday AS DOUBLE)"]
+_SUMS = ", ".join([*[f"sum(x{i} * x{j}) AS xx_{i}_{j}" for i in range(forecast.WIDTH) for j in range(i, forecast.WIDTH)], *[f"sum(x{i} * demand) AS xy_{i}" for i in range(forecast.WIDTH)]])
+_TERMS = [*[f"xx_{i}_{j}" for i in range(forecast.WIDTH) for j in range(i, forecast.WIDTH)], *[f"xy_{i}" for i in range(forecast.WIDTH)]]
+
+
+@query(_p(f"SELECT store_id, product, count(*) AS n, {_SUMS} FROM (SELECT store_id, product, demand, " + ", ".join(f"{x} AS x{i}" for i, x in enumerate(_X)) + " FROM (SELECT *, CAST(date_diff('day', DATE '2000-01-01', business_date) AS DOUBLE) AS t FROM pred WHERE split IN ('train', 'val')) AS p) AS q GROUP BY store_id, product", doubles=" ".join(_TERMS)))
+def decomposition_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Everything that the fit of each series sees, a column a sum."""
+    sums = forecast.decomposition_statistics(forecast.training_rows(predicted(spark, d)))
+    flat = F.concat("xx", "xy")
+    return sums.select("store_id", "product", "n", *[flat[i].alias(c) for i, c in enumerate(_TERMS)])
+
+
 @query(_p("SELECT * FROM folds", dates="train_end val_start val_end test_start test_end", longs="fold"))
 def make_folds(spark: SparkSession, d: str) -> DataFrame:
     return with_folds(spark, d)[1]
@@ -191,6 +228,29 @@ def ablation(spark: SparkSession, d: str) -> DataFrame:
     return backtest.ablation(*with_folds(spark, d))
 
 
+_VARIANTS = {"full": "mean28", "drop rolling": "naive", "calendar only": "mean7"}
+_VARIED = " UNION ALL ".join(f"SELECT '{v}' AS variant, demand, naive AS base, {p} AS p FROM pred WHERE split = 'test'" for v, p in _VARIANTS.items())
+_VARIED = f"SELECT variant, sum(abs(demand - p)) / nullif(sum(abs(demand)), 0) AS wape, sum(abs(demand - base)) / nullif(sum(abs(demand)), 0) AS base FROM ({_VARIED}) AS l GROUP BY variant"
+
+
+@query(_p(f"SELECT variant, n_features, wape, delta, still_better_pct, CASE WHEN abs(delta) < 0.01 THEN 'negligibly' WHEN abs(delta) < 0.03 THEN 'modestly' ELSE 'substantially' END AS verdict FROM (SELECT variant, CAST(1 AS BIGINT) AS n_features, wape, wape - max(wape) FILTER (variant = 'full') OVER () AS delta, 100 * (base - wape) / base AS still_better_pct FROM ({_VARIED}) AS v) AS t", doubles="wape delta still_better_pct"))
+def ablation_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """Table and verdict of an ablation over stored predictions, for which three simple forecasts stand in."""
+    rows = predicted(spark, d).where("split = 'test'").select("demand", F.col("naive").alias("base"), "mean28", "naive", "mean7")
+    named = {p: v for v, p in _VARIANTS.items()}
+    long = rows.unpivot(["demand", "base"], list(named), "p", "pred").replace(named, subset=["p"]).withColumnRenamed("p", "variant")
+    return backtest.ablation_verdict(backtest.ablation_table(long.withColumn("n_features", F.lit(1))))
+
+
+@query()
+def backtest_summary_trained(spark: SparkSession, d: str) -> DataFrame:
+    """Mean, deviation and folds won over the retrained model's own folds, and its WAPE by category."""
+    rows, folds = with_folds(spark, d)
+    predictions = backtest.fold_predictions(rows, folds)
+    summary = backtest.backtest_summary(backtest.backtest_table(rows, folds, predictions)).withColumn("category", F.lit("all"))
+    return summary.unionByName(forecast.segment_wape(predictions).withColumnRenamed("wape", "mean_model_wape"), allowMissingColumns=True)
+
+
 _KINDS = {c: backtest.feature_group(c) for c in _INPUTS}
 _COUNTED = " UNION ALL ".join(f"SELECT '{g}' AS grp, count({c}) AS filled, count(*) AS n FROM feat" for c, g in _KINDS.items())
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,19 +125,29 @@ def retrain_decision_drifted(spark: SparkSession, d: str) -> DataFrame:
     return monitor.monitor(monitor.inject_regime_change(rows, CHANGE), healthy)["decision"]
 
 
-@query()
-def monitor_trained(spark: SparkSession, d: str) -> DataFrame:
-    """A trained model in production, healthy and after a change of demand that it doesn't see: the decision of both passes, with the mean weekly WAPE of the worst segment and both drifts."""
+def trained(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix with store types, periods and the predictions of a model that was frozen before production, stored."""
     rows = monitor.attach_store_type(matrix(spark, d), stores(spark, d))
-    rows = kept(monitor.score_periods(kept(monitor.split_reference_production(rows, VAL_START, REFERENCE_END))))
+    return kept(monitor.score_periods(kept(monitor.split_reference_production(rows, VAL_START, REFERENCE_END), "periods")), "scored")
+
+
+def both_passes(rows: DataFrame) -> dict[str, dict[str, DataFrame]]:
+    """The tables of a monitoring pass, healthy and after a change of demand that the model doesn't see."""
     healthy = monitor.operating_wape(monitor.weekly_wape(rows.where("period = 'production'")))
-    passes = []
-    for name, of in (("healthy", rows), ("drifted", monitor.inject_regime_change(rows, CHANGE))):
-        tables = monitor.monitor(of, healthy)
-        worst = tables["segments"].agg(F.max_by("store_type", "mean_wape").alias("worst_segment"), F.max("mean_wape").alias("worst_wape"))
-        drift = tables["target"].select(F.col("psi").alias("target_psi")).crossJoin(F.broadcast(tables["predictions"].select(F.col("psi").alias("prediction_psi"))))
-        passes.append(tables["decision"].crossJoin(F.broadcast(worst)).crossJoin(F.broadcast(drift)).select(F.lit(name).alias("pass"), "*"))
-    return passes[0].unionByName(passes[1])
+    return {name: monitor.monitor(of, healthy) for name, of in (("healthy", rows), ("drifted", monitor.inject_regime_change(rows, CHANGE)))}
+
+
+@query()
+def monitor_trained(spark: SparkSession, d: str) -> DataFrame:
+    """All tables of both passes over a trained model's predictions: `kind` says which, `name` the week, segment or feature, `value` its WAPE or PSI, `note` whether the week is degraded, the label of the PSI or the reasons of the decision."""
+    out = []
+    for name, tables in both_passes(trained(spark, d)).items():
+        rows = [tables["weekly"].select(F.lit("week").alias("kind"), F.col("week").cast("string").alias("name"), F.col("wape").alias("value"), F.when(F.col("degraded"), "degraded").otherwise("").alias("note"))]
+        rows.append(tables["segments"].select(F.lit("segment"), "store_type", "mean_wape", F.lit("")))
+        rows += [tables[t].select(F.lit(t), "feature", "psi", monitor.psi_label(F.col("psi"))) for t in ("inputs", "target", "predictions")]
+        rows.append(tables["decision"].select(F.lit("decision"), F.when(F.col("retrain"), "retrain").otherwise("keep"), F.col("max_run").cast("double"), "reasons"))
+        out += [r.select(F.lit(name).alias("pass"), "*") for r in rows]
+    return reduce(DataFrame.union, out)
 
 
 @query(_m("SELECT week, wape, n, coalesce(wape > threshold, false) AS degraded FROM drifted_weekly, drifted_limit", doubles="wape", dates="week"))

@@ -85,12 +85,12 @@ def test_blocks_are_one_long_fit_and_no_tree_is_fitted_twice(spark, monkeypatch)
     grown = []
     for kind, name in ((GBTRegressor, "maxIter"), (RandomForestRegressor, "numTrees")):
         monkeypatch.setattr(kind, "fit", lambda self, table, f=kind.fit, name=name: grown.append(self.getOrDefault(name)) or f(self, table))
-    rules = TreeRules(rounds=11, depth=3, patience=99, row_share=1.0, column_share=1.0, block=4, least_rows=5)
+    rules = TreeRules(rounds=11, depth=3, patience=99, row_share=1.0, column_share=1.0, first_block=4, block=3, least_rows=5)
     encoder = trees.fit_encoder(data.where("not _val"), ["store_id", "a", "b"])
     table = trees.encoded(encoder, data, "demand", "_val")
     model = trees.boost(table, "_val", rules)
     assert grown == [4] + [1] * 7
-    long = GBTRegressor(featuresCol="_features", labelCol="demand", maxIter=11, maxDepth=3, maxBins=64, stepSize=0.3, minInstancesPerNode=5, seed=1).fit(table.where("not _val"))
+    long = GBTRegressor(featuresCol="_features", labelCol="demand", maxIter=11, maxDepth=3, maxBins=64, stepSize=0.2, minInstancesPerNode=5, seed=1).fit(table.where("not _val"))
     errors = long.evaluateEachIteration(table.where("_val"), "absolute")
     best = trees.best_round(errors, 99)
     assert len(model.trees) == best and best > 4 and list(model.treeWeights) == list(long.treeWeights)[:best]
@@ -106,7 +106,7 @@ def test_boosting_ends_behind_the_best_round(spark, monkeypatch):
     data = noisy(spark).withColumn("demand", F.when(F.col("_val"), F.col("demand") + 500).otherwise(F.col("demand")))
     asked = []
     monkeypatch.setattr(trees, "ended", lambda errors, rules, f=trees.ended: asked.append(len(errors)) or f(errors, rules))
-    model = trees.train_global_gbt(data, ["a", "b"], "_val", TreeRules(rounds=600, patience=3, block=2, depth=2))
+    model = trees.train_global_gbt(data, ["a", "b"], "_val", TreeRules(rounds=600, patience=3, first_block=2, block=2, depth=2))
     best = len(model.stages[-1].trees)
     assert asked == list(range(2, asked[-1] + 1, 2)) and best + 3 <= asked[-1] <= best + 5
 
@@ -177,7 +177,7 @@ def test_backtest_over_folds(spark, monkeypatch):
     folds = backtest.make_folds(data, 4, 20, 15)
     encoders, tables = [], []
     monkeypatch.setattr(trees, "fit_encoder", lambda rows, *a, f=trees.fit_encoder: encoders.append(rows.agg(F.max("business_date")).first()[0]) or f(rows, *a))
-    monkeypatch.setattr(trees, "encoded", lambda *a, f=trees.encoded: tables.append(f(*a)) or tables[-1])
+    monkeypatch.setattr(trees, "encoded", lambda *a, f=trees.encoded, **k: tables.append(f(*a, **k)) or tables[-1])
     predictions = backtest.fold_predictions(data, folds, TreeRules(rounds=3, depth=2))
     of = {f["fold"]: f for f in folds.collect()}
     assert encoders == [of[1]["train_end"]] and len(tables) == 1  # inputs are encoded once, by what the oldest fold knows

@@ -107,9 +107,9 @@ def _tested(candidates: Column) -> list[tuple[str, Column]]:
     by_code = F.array(*[F.lit(SHARES.get(chr(c), 1.0)) for c in range(128)])
 
     def letters(c: Column) -> Column:
-        body = F.regexp_replace(c["found"], "=+$", "")
-        body = F.when(body == "", c["found"]).otherwise(body)
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), F.filter(F.split(body, ""), lambda x: x != "").alias("chars"), _encoding(body).alias("e"))
+        unpadded = F.rtrim(c["found"], F.lit("="))
+        body = F.when(unpadded == "", c["found"]).otherwise(unpadded)
+        return _with(body, lambda b: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.filter(F.split(b, ""), lambda x: x != "").alias("chars"), _encoding(b).alias("e")))
 
     def coded(c: Column) -> Column:
         x = F.transform(c["chars"], lambda ch: F.instr(c["e"]["alphabet"], ch) - 1)

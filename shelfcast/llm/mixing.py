@@ -48,14 +48,13 @@ def inclusion_slopes(sizes: DataFrame, rest: DataFrame) -> DataFrame:
     """of, slope: a document of size s is included with probability least(1, slope * s), so that the expected words of the source's sample are `rest` (of, rest).
 
     Documents longer than the whole rest can't be part of it and have no chance (but may be the last, best fitting one). With sizes in falling order, the slope at a size is (rest - words of larger documents) / (squares of this
-    and smaller sizes); larger ones are certain. The first size that isn't certain by its own slope gives the source's slope; where all are certain, the last. One row a source and distinct size is seen, not one a document.
+    and smaller sizes), both from running sums in rising order; larger ones are certain. The first size that isn't certain by its own slope gives the source's slope; where all are certain, the last. One row a source and distinct size is seen, not one a document.
     """
     rows = sizes.where("size > 0").join(rest, F.col("source").eqNullSafe(F.col("of"))).where("size <= rest")
-    falling = Window.partitionBy("source").orderBy(F.desc("size"))
+    whole, rising = Window.partitionBy("source"), Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
     words, squares = F.col("size") * F.col("n"), (F.col("size").cast("decimal(19,0)") * F.col("size") * F.col("n")).cast("decimal(38,0)")
-    certain = F.coalesce(F.sum(words).over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    tail = F.sum(squares).over(falling.rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.select("of", "size", ((F.col("rest") - certain) / tail.cast("double")).alias("slope"))
+    certain = F.sum(words).over(whole) - F.sum(words).over(rising)
+    rows = rows.select("of", "size", ((F.col("rest") - certain) / F.sum(squares).over(rising).cast("double")).alias("slope"))
     open_ = F.max(F.when(F.col("slope") * F.col("size") < 1, F.struct("size", "slope")))["slope"]
     return rows.groupBy("of").agg(F.coalesce(open_, F.min_by("slope", "size")).alias("slope"))
 

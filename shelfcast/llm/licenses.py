@@ -7,6 +7,8 @@ Marked phrases are read off the same walk: a phrase ends at a word when its stat
 
 from __future__ import annotations
 
+import bisect
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.functions import arrow_udf
@@ -177,10 +179,12 @@ class Scanner:
         spans = []
         for t, of in links.items():
             label, size = self.texts[t][0], len(self.texts[t][1])
-            taken: list[tuple[int, int]] = []
+            taken: list[tuple[int, int]] = []  # apart from each other, in order of place, so only the neighbours of a span can meet it
             for first, after, covered in best_chains(of):
-                if (covered >= LEAST_COVER * size or covered >= LEAST_WORDS) and all(after <= a or b <= first for a, b in taken):
-                    taken.append((first, after))
+                at = bisect.bisect(taken, (first, after))
+                clear = (at == 0 or taken[at - 1][1] <= first) and (at == len(taken) or after <= taken[at][0])
+                if (covered >= LEAST_COVER * size or covered >= LEAST_WORDS) and clear:
+                    taken.insert(at, (first, after))
                     spans.append((label, first, after, min(1.0, covered / size)))
         return marks, sorted(spans, key=lambda s: (s[1], s[2], s[0], s[3]))
 

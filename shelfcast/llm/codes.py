@@ -30,7 +30,7 @@ from shelfcast.llm.vectors import Sums, digest, is_whole, lists, matrix, scaled,
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Neighbours that are compared at a time.
-RING = 16
+RING = 64
 
 
 @dataclass

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shelfcast.llm import decontamination, language, licenses, media, secrets, toxicity
+from shelfcast.llm import decontamination, language, licenses, media, mixing, secrets, toxicity
 from shelfcast.llm.common import words_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -292,3 +292,23 @@ def test_label_model_counts_a_copied_voter_once(monkeypatch):
     monkeypatch.setattr(toxicity, "MOST_PAIRS", 0)
     single = toxicity.fit_label_model(patterns, counts.astype(float), known)
     assert np.log(model.posterior(both[None]) / (1 - model.posterior(both[None])))[0] < np.log(single.posterior(both[None]) / (1 - single.posterior(both[None])))[0]
+
+
+def test_long_inputs_take_linear_time(spark):
+    import time
+
+    began = time.time()
+    sizes = spark.range(1, 40_001).select(F.lit("a").alias("source"), F.col("id").alias("size"), F.lit(1).cast("long").alias("n"))
+    slope = mixing.inclusion_slopes(sizes, spark.createDataFrame([("a", 1e8)], "of string, rest double")).first()["slope"]
+    sure, order = 0, list(range(1, 40_001))
+    squares = sum(s * s for s in order)
+    while (1e8 - sure) / squares * order[-1] >= 1:
+        sure, squares = sure + order[-1], squares - order[-1] ** 2
+        order.pop()
+    assert slope == pytest.approx((1e8 - sure) / squares)
+    ruler = spark.createDataFrame([(1, "=" * 200_000), (2, "a" * 30 + "=" * 200_000 + "b"), (3, "token = " + "=" * 200_000)], "doc_id long, text string")
+    assert {r["doc_id"]: len(r["base"]) for r in secrets.scan_secrets(ruler).collect()} == {1: 0, 2: 0, 3: 1}
+    notice = (licenses.TEMPLATES["mit"][1] + "\n") * 4_000
+    marks, found = licenses.Scanner(licenses.known_templates()).scan(words_of(notice.encode()))
+    assert sum(label == "mit" for label, *_ in found) == 4_000
+    assert time.time() - began < 90

@@ -307,7 +307,7 @@ def test_long_inputs_take_linear_time(spark):
         order.pop()
     assert slope == pytest.approx((1e8 - sure) / squares)
     ruler = spark.createDataFrame([(1, "=" * 200_000), (2, "a" * 30 + "=" * 200_000 + "b"), (3, "token = " + "=" * 200_000)], "doc_id long, text string")
-    assert {r["doc_id"]: len(r["base"]) for r in secrets.scan_secrets(ruler).collect()} == {1: 0, 2: 0, 3: 1}
+    assert {r["doc_id"]: len(r["base"]) for r in secrets.scan_secrets(ruler).collect()} == {1: 0, 2: 1, 3: 1}
     notice = (licenses.TEMPLATES["mit"][1] + "\n") * 4_000
     marks, found = licenses.Scanner(licenses.known_templates()).scan(words_of(notice.encode()))
     assert sum(label == "mit" for label, *_ in found) == 4_000

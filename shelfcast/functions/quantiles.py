@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfcast.functions.joins import small
+from shelfcast.session import kept
+
 #: Groups of more values are cut down to brackets first.
 MOST_IN_ONE_TASK, ACCURACY = 200_000, 1_000
 
@@ -12,21 +15,20 @@ MOST_IN_ONE_TASK, ACCURACY = 200_000, 1_000
 def exact_quantiles(rows: DataFrame, by: str, value: str, probs: tuple[float, ...], most: int = MOST_IN_ONE_TASK) -> DataFrame:
     """by, q (an array, one for each of probs, interpolated between neighbours) of the values that aren't null. A null `by` is a group.
 
-    A group of up to `most` values has them counted in one task. In a larger one approximate quantiles with a proven error bracket each rank; values below a bracket are
+    rows should be stored: sizes of groups, and brackets of large ones, are looked at first. A group of up to `most` values has them counted in one task. In a larger one approximate quantiles with a proven error bracket each rank; values below a bracket are
     counted, and only distinct values inside a bracket (a few thousandths of the group) are sorted.
     """
     rows = rows.where(F.col(value).isNotNull()).select(F.col(by).alias("_by"), F.col(value).cast("double").alias("_x"))
-    sizes = rows.groupBy("_by").agg(F.count(F.lit(1)).alias("_n"))
-    large = [r["_by"] for r in sizes.where(F.col("_n") > most).limit(10_000).collect()]
-    exact = rows.groupBy("_by").agg(F.percentile("_x", F.array(*map(F.lit, probs))).alias("q"))
-    if not large:
-        return exact.select(F.col("_by").alias(by), "q")
-    is_large = F.coalesce(F.col("_by").isin([x for x in large if x is not None]), F.lit(None in large))
-    exact = rows.where(~is_large).groupBy("_by").agg(F.percentile("_x", F.array(*map(F.lit, probs))).alias("q"))
-    rows = rows.where(is_large)
+    sizes = kept(rows.groupBy("_by").agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    exact = lambda r: r.groupBy("_by").agg(F.percentile("_x", F.array(*map(F.lit, probs))).alias("q"))
+    large = small(sizes.where(F.col("_n") > most).select(F.col("_by").alias("_g"), F.lit(True).alias("_large")))
+    if large.isEmpty():
+        return exact(rows).select(F.col("_by").alias(by), "q")
+    dealt = rows.join(large, F.col("_by").eqNullSafe(F.col("_g")), "left").drop("_g")
+    exact, rows = exact(dealt.where("_large is null")), dealt.where("_large").drop("_large")
     ends = [x for p in probs for x in (max(0.0, p - 2 / ACCURACY), min(1.0, p + 2 / ACCURACY))]
     brackets = rows.groupBy("_by").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", ends, ACCURACY).alias("_e")).withColumnRenamed("_by", "_g")
-    met = rows.join(F.broadcast(brackets), F.col("_by").eqNullSafe(F.col("_g")))
+    met = rows.join(small(kept(brackets, "brackets")), F.col("_by").eqNullSafe(F.col("_g")))
     per = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("_e")[2 * i].alias("lo"), F.col("_e")[2 * i + 1].alias("hi"), F.lit(p).alias("p")) for i, p in enumerate(probs)]))
     inside = met.select("_by", "_n", "_x", per.alias("b")).where("_x <= b.hi")
     cell = F.when(F.col("_x") >= F.col("b.lo"), F.col("_x"))  # null: all values below the bracket are one cell

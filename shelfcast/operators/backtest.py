@@ -161,7 +161,7 @@ def variants_of(columns: list[str]) -> dict[str, list[str]]:
     return {name: inputs for name, inputs in out.items() if inputs}
 
 
-def ablation_predictions(features: DataFrame, folds: DataFrame, rules: TreeRules = TreeRules(), at_once: int = 4) -> DataFrame | None:
+def ablation_predictions(features: DataFrame, folds: DataFrame, rules: TreeRules = TreeRules(), at_once: int = 8) -> DataFrame | None:
     """variant, n_features and PREDICTED for the test rows of the latest usable fold, stored; None without such a fold. Variants are slices of one encoded table and are fitted at_once at a time."""
     of = usable(features, folds)
     if not of:
@@ -193,7 +193,7 @@ def ablation_table(predictions: DataFrame, full: str = "full") -> DataFrame:
     return out.select("variant", "n_features", "wape", (F.col("wape") - F.col("_full")).alias("delta"), still.alias("still_better_pct"))
 
 
-def ablation(features: DataFrame, folds: DataFrame | None = None, rules: TreeRules = TreeRules(), at_once: int = 4) -> DataFrame:
+def ablation(features: DataFrame, folds: DataFrame | None = None, rules: TreeRules = TreeRules(), at_once: int = 8) -> DataFrame:
     """ablation_table with its verdict, of variants fitted on the latest usable fold; empty if there is none. A null verdict says that there is no delta."""
     predictions = ablation_predictions(features, make_folds(features) if folds is None else folds, rules, at_once)
     if predictions is None:

@@ -198,5 +198,5 @@ def reconcile_ledger(ledger: DataFrame, counters: DataFrame, breakdown: DataFram
     spark = ledger.sparkSession
     by_name = counters.unpivot([], ["exact_duplicates", "refunds"], "key", "n").unionByName(breakdown.select(F.col("reason").alias("key"), "n"))
     keys = spark.createDataFrame([(name, key) for name, (counter, reasons) in LEDGER.items() for key in ((counter,) if counter else ()) + reasons], "name string, key string")
-    caught = F.broadcast(keys).join(by_name, "key", "left").groupBy("name").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("caught"))
+    caught = by_name.join(F.broadcast(keys), "key", "right").groupBy("name").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("caught"))
     return ledger.join(caught, "name").select("name", "injected", "caught")

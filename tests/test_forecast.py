@@ -58,6 +58,56 @@ def test_decomposition_beats_mean_and_falls_back(spark):
     assert forecast.fall_back(short, data.where(F.col("business_date") >= F.lit(cut)).withColumn("pred", F.lit(7.0))).agg(F.min("pred")).first()[0] == 7.0
 
 
+def test_decomposition_solves_the_normal_equations(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    y = [20 + 6 * ((START + timedelta(days=i)).weekday() == 5) + 0.02 * i + rng.random() for i in range(400)]
+    data = rows(spark, y).unionByName(rows(spark, range(10)).withColumn("store_id", F.lit("S2")))
+    data = data.unionByName(data.limit(3).withColumn("demand", F.lit(None).cast("double")))
+    table = forecast.decomposition_statistics(data)
+    stats = {r["store_id"]: r for r in table.collect()}
+    x = np.array([r[0] for r in data.where("store_id = 'S1' and demand is not null").orderBy("business_date").select(forecast.design(F.col("business_date"))).collect()])
+    i, j = np.triu_indices(forecast.WIDTH)
+    assert stats["S1"]["n"] == 400 and stats["S1"]["xx"] == pytest.approx((x.T @ x)[i, j].tolist()) and stats["S1"]["xy"] == pytest.approx((x.T @ np.array(y)).tolist())
+    beta = {r["store_id"]: r["beta"] for r in forecast.decomposition_coefficients(table, penalty=2.0).collect()}
+    assert set(beta) == {"S1"}  # ten days aren't enough
+    b = np.array(beta["S1"])
+    gradient = x.T @ (x @ b - np.array(y)) + 2.0 * np.concatenate([[0.0], b[1:]])
+    assert np.abs(gradient).max() < 1e-4
+    ahead = data.where("demand is null or business_date < '2024-01-05'")
+    got = forecast.seasonal_decomposition_forecast(data, ahead, penalty=2.0).where("store_id = 'S1'").orderBy("business_date").collect()
+    assert got[0]["pred"] == pytest.approx(float(x[0] @ b)) and forecast.seasonal_decomposition_forecast(data, ahead).where("store_id = 'S2' and pred is not null").count() == 0
+
+
+def test_permutation_importance_ranks_what_the_model_uses(spark):
+    rng = random.Random(6)
+    data = [("S1", "p", START + timedelta(days=i), *(rng.random() for _ in range(3))) for i in range(500)]
+    table = spark.createDataFrame(data, "store_id string, product string, business_date date, a double, b double, c double").withColumn("demand", 10 * F.col("a") + 2 * F.col("b") + 5)
+    donors = forecast.with_donors(table, ["a", "b", "c"], rows_per_task=60).collect()
+    assert sorted(r["_donor"]["a"] for r in donors) == sorted(r["a"] for r in donors) and sum(r["_donor"]["a"] != r["a"] for r in donors) == 500
+    assert all([r["_donor"][k] for k in "abc"] in [[s[k] for k in "abc"] for s in donors] for r in donors[:40])
+    again = {r["business_date"]: r["_donor"] for r in forecast.with_donors(table.repartition(7), ["a", "b", "c"], rows_per_task=60).collect()}
+    assert all(again[r["business_date"]] == r["_donor"] for r in donors)
+    found = forecast.permutation_importance(table, ["a", "b", "c"], lambda r: r.withColumn("pred", 10 * F.col("a") + 2 * F.col("b") + 5)).collect()
+    assert [r["feature"] for r in found] == ["a", "b", "c"] and found[0]["rise"] > 3 * found[1]["rise"] > 0 and found[2]["rise"] == 0 and found[2]["wape"] == 0
+    assert [r["feature"] for r in forecast.permutation_importance(table, ["a", "b", "c"], lambda r: r.withColumn("pred", 10 * F.col("a")), top=1).collect()] == ["a"]
+
+
+def test_released_tables_are_gone(spark):
+    import os
+
+    from shelfcast.session import kept, release_all, released
+
+    one, two = kept(spark.range(3), "one"), kept(spark.range(4), "two")
+    path = lambda t: t.inputFiles()[0].removeprefix("file://")
+    paths = [path(one), path(two)]
+    released(one)
+    assert [os.path.exists(p) for p in paths] == [False, True] and two.count() == 4
+    release_all(spark)
+    assert not any(map(os.path.exists, paths))
+
+
 def odd_days(spark, n, val_from):
     data = rows(spark, [5.0 if i % 2 else 25.0 for i in range(n)]).withColumn("odd", (F.datediff("business_date", F.lit(START)) % 2).cast("double"))
     return data.withColumn("_val", F.col("business_date") > F.lit(START + timedelta(days=val_from)))
@@ -90,7 +140,7 @@ def test_blocks_are_one_long_fit_and_no_tree_is_fitted_twice(spark, monkeypatch)
     table = trees.encoded(encoder, data, "demand", "_val")
     model = trees.boost(table, "_val", rules)
     assert grown == [4] + [1] * 7
-    long = GBTRegressor(featuresCol="_features", labelCol="demand", maxIter=11, maxDepth=3, maxBins=64, stepSize=0.2, minInstancesPerNode=5, seed=1).fit(table.where("not _val"))
+    long = GBTRegressor(featuresCol="_features", labelCol="demand", maxIter=11, maxDepth=3, maxBins=64, stepSize=0.3, minInstancesPerNode=5, seed=1).fit(table.where("not _val"))
     errors = long.evaluateEachIteration(table.where("_val"), "absolute")
     best = trees.best_round(errors, 99)
     assert len(model.trees) == best and best > 4 and list(model.treeWeights) == list(long.treeWeights)[:best]
@@ -153,6 +203,8 @@ def test_all_models_end_to_end(spark):
     test = predicted.where("split = 'test'").collect()
     for m in forecast.MODELS:
         assert table[m]["wape"] == pytest.approx(sum(abs(r["demand"] - r[m]) for r in test) / sum(r["demand"] for r in test))
+    for r in forecast.segment_results(predicted).collect():
+        assert r["wape"] == pytest.approx(table[r["model"]]["wape"])  # all of one category
     blend = [sum(table[m]["weight"] * r[m] for m in forecast.MODELS) for r in test]
     assert table["ensemble"]["wape"] == pytest.approx(sum(abs(r["demand"] - p) for r, p in zip(test, blend)) / sum(r["demand"] for r in test))
 

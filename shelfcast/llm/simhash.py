@@ -93,9 +93,9 @@ def links(fps: DataFrame, hot_from: int = HOT) -> DataFrame:
     n = crowded.count()
     mark = lambda rows: rows.join(small(crowded, n), ["segment", "key"], "left")
     table, probes = mark(table), mark(_probes(fps))
-    # the lower bit of an upper bucket's upper half turns 0 to 1 only, so visitors with a 1 there have to be told of hot buckets too
-    back = fps.select("fp", F.explode(_with_bits(F.col("fp"), _UPPER)).alias("near")).select("fp", F.lit(0).alias("segment"), _bucket(F.col("near"), 0).alias("key"))
-    visitors = back.join(small(crowded, n), ["segment", "key"]).select("fp", "key")
+    # a hot bucket's midpoints need the visitors from both sides of the bit, not only those that ask
+    around = fps.select("fp", F.explode(_with_bits(F.col("fp"), _UPPER)).alias("near")).select("fp", F.lit(0).alias("segment"), _bucket(F.col("near"), 0).alias("key"))
+    visitors = around.join(small(crowded, n), ["segment", "key"]).select("fp", "key")
     midpoints = _by_midpoints(table.where("hot"), visitors)
     cool = table.where("hot is null").select("segment", "key", F.col("fp").alias("v"))
     asked = probes.where("hot is null").select("segment", "key", F.col("fp").alias("u"), F.lit(True).alias("near"))

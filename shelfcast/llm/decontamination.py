@@ -10,6 +10,7 @@ from __future__ import annotations
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -175,25 +176,27 @@ def _search_column(docs: DataFrame, rows: list[tuple[str, bytes]], window: int)
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc (a struct of all columns of docs, whatever their names) and hits (n_words, spans (first word, word after) and items found in the whole text) for each row of docs (text, ...).
 
-    Only a block of the benchmark is ever broadcast. A benchmark of several blocks is searched block by block, each pass written to
-    the shared folder, so memory doesn't grow with it. Null texts and texts without words have no hits; items without words or id are never found.
+    Only a block of the benchmark is ever broadcast. With several blocks the documents are written once, with a row number and the first block's hits; every further pass reads
+    their texts alone and stores only the rows that it hits, and one join by row number brings all together. So memory doesn't grow with the benchmark, and what is written grows with its hits.
+    Null texts and texts without words have no hits; items without words or id are never found.
     """
     bounded_batches(docs.sparkSession)
-    docs, passes, before = in_struct(docs, "text"), [], []
-    for i, rows in enumerate(_blocks(benchmark, window, block_words)):
-        if i:
-            docs = stored(docs, "decontamination")
-            released(*before)
-            before = [docs]
-        passes.append(f"hits_{i}")
-        docs = docs.withColumn(passes[-1], _search_column(docs, rows, window))
-    if not passes:
-        passes = ["hits_0"]
-        docs = docs.withColumn(passes[0], _search_column(docs, [], window))
-    n_words = F.col(passes[0])["n_words"].alias("n_words")
-    spans = F.sort_array(F.flatten(F.array(*[F.col(p)["spans"] for p in passes]))).alias("spans")
-    items = F.sort_array(F.array_distinct(F.flatten(F.array(*[F.col(p)["items"] for p in passes])))).alias("items")
-    return docs.select("doc", F.struct(n_words, spans, items).alias("hits"))
+    blocks = _blocks(benchmark, window, block_words)
+    docs = in_struct(docs, "text").withColumn("hits", _search_column(docs, next(blocks, []), window))
+    rows, passes = docs, []
+    for block in blocks:
+        if not passes:
+            rows = stored(docs.select("doc", "hits", F.monotonically_increasing_id().alias("row")), "decontamination", "zstd")
+        found = rows.select("row", F.col("doc.text").alias("text")).select("row", _search_column(rows, block, window).alias("hits"))
+        passes.append(stored(found.where(F.size("hits.items") > 0).select("row", "hits.spans", "hits.items"), "decontamination-hits", "zstd"))
+    spans, items = F.col("hits.spans"), F.col("hits.items")
+    if passes:
+        of_row = [F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in ("spans", "items")]
+        more = stored(reduce(DataFrame.union, passes).groupBy("row").agg(*of_row), "decontamination-rows", "zstd")
+        released(*passes)
+        rows = rows.join(more, "row", "left")
+        spans, items = (F.concat(c, F.coalesce(f"more_{n}", F.array().cast(t))) for c, n, t in ((spans, "spans", "array<struct<first: int, after: int>>"), (items, "items", "array<string>")))
+    return rows.select("doc", F.struct(F.col("hits.n_words").alias("n_words"), F.sort_array(spans).alias("spans"), F.sort_array(F.array_distinct(items)).alias("items")).alias("hits"))
 
 
 def hit_words(spans: Column) -> Column:

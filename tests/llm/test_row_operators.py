@@ -154,6 +154,20 @@ def test_decontamination(spark):
     assert decontamination.find_hits(docs(spark, texts), bench.limit(0)).where("size(hits.items) > 0").count() == 0
 
 
+def test_further_benchmark_blocks_write_hits_only(spark, monkeypatch):
+    written, real = [], decontamination.stored
+    monkeypatch.setattr(decontamination, "stored", lambda df, name, *more: written.append((name, real(df, name, *more))) or written[-1][1])
+    items = [(i, f"a{i} b{i} c{i}") for i in range(40)]
+    texts = [f"x a{i} b{i} c{i} y" for i in (3, 3, 17)] + ["clean words"] * 30
+    table = docs(spark, texts).unionByName(docs(spark, texts[:1]))  # the first id and text stand there twice
+    found = decontamination.find_hits(table, spark.createDataFrame(items, "item_id long, text string"), block_words=30)
+    got = sorted((r["doc"]["doc_id"], r["hits"]["n_words"], r["hits"]["items"], [tuple(s) for s in r["hits"]["spans"]]) for r in found.collect())
+    assert got == sorted([(i, 5, [w], [(1, 4)]) for i, w in ((0, "3"), (0, "3"), (1, "3"), (2, "17"))] + [(i, 2, [], []) for i in range(3, 33)])
+    names = [n for n, _ in written]
+    assert names.count("decontamination") == 1 and names.count("decontamination-hits") > 2
+    assert all("text" not in t.columns and "doc" not in t.columns for n, t in written if n == "decontamination-hits")
+
+
 def test_language(spark):
     rng = random.Random(2)
     tongues = {"aa": ["the", "and", "ing", "tion", "er"], "bb": ["ska", "och", "för", "att", "det"], "cc": ["при", "что", "ого", "это", "как"]}

@@ -38,8 +38,6 @@ TINY, SMALL = 7, 127
 PER_SEGMENT, BAND = 2.6, 2
 #: One document in so many is looked at to find signatures that would fill a task; at most HEAVY_MOST of them can pass.
 HEAVY_SAMPLE, HEAVY_LEAST, HEAVY_MOST, HEAVY_SALTS = 64, 48, 20_000, 512
-#: Seeds of segments tried; then every shingle is a segment of its own, which always meets the pigeonhole.
-SEEDS, EVERY = 4, -1
 #: Owners of one signature that vote in one task.
 OWNERS_PER_TASK = 500
 _LOW = LOWER.tobytes()
@@ -103,18 +101,19 @@ def picks(size: int) -> tuple[int, int]:
     return (size + size * 5 // 4) // 9 + 1, (2 * size - 1) // 9 + 1
 
 
-def sketch(h: np.ndarray, seed: int) -> tuple[int, np.ndarray, np.ndarray, bool]:
-    """Parity of the own band, its signatures, those in the band below, and whether either set is too small for the pigeonhole."""
-    every = seed == EVERY
-    if seed > 0:
-        h = np.sort(mixed(h ^ np.uint64(seed)))
+def sketch(h: np.ndarray, fine: frozenset[int] = frozenset()) -> tuple[int, np.ndarray, np.ndarray, list[int]]:
+    """Parity of the own band, its signatures, those in the band below, and the bands in which either set is too small for the pigeonhole.
+
+    In the bands of `fine` every shingle is a segment of its own, which always meets the pigeonhole; sets of other bands keep theirs.
+    """
     k, low = band(len(h))
-    own = signatures(h, k, low, every)
+    own = signatures(h, k, low, k in fine)
     below = np.zeros(0, np.uint64)
     if k and -(-4 * len(h) // 5) < low:
-        below = signatures(h, k - 1, low // BAND if k > 2 else TINY + 1 if k == 2 else 1, every)
+        below = signatures(h, k - 1, low // BAND if k > 2 else TINY + 1 if k == 2 else 1, k - 1 in fine)
     need, need_below = picks(len(h))
-    return k & 1, own, below, k > 0 and len(own) < need or k > 1 and len(below) > 0 and len(below) < need_below
+    poor = [k] * (k > 0 and len(own) < need) + [k - 1] * (k > 1 and 0 < len(below) < need_below)
+    return k & 1, own, below, poor
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -125,28 +124,28 @@ def _digest(text: bytes | None) -> bytes:
     return hashlib.sha256(b" ".join(_words(text or b""))).digest()
 
 
-def _class_column(text: Column, seed: int) -> Column:
+def _class_column(text: Column, fine: frozenset[int]) -> Column:
     def described(texts: pa.Array) -> pa.Array:
         out: list[tuple] = []
         for h, t in zip(shingle_sets(texts), texts, strict=True):
             if len(h):
-                parity, own, below, poor = sketch(h, seed)
+                parity, own, below, poor = sketch(h, fine)
                 out.append((len(h), _digest(t.as_py()), parity, len(own), len(below), poor))
             else:
-                out.append((0, None, 0, 0, 0, False))
-        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+                out.append((0, None, 0, 0, 0, []))
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
         names = ["n_shingles", "digest", "parity", "n_own", "n_below", "poor"]
         columns = list(zip(*out, strict=True)) or [[]] * len(names)
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return arrow_udf(described, "struct<n_shingles: long, digest: binary, parity: int, n_own: int, n_below: int, poor: boolean>")(text)
+    return arrow_udf(described, "struct<n_shingles: long, digest: binary, parity: int, n_own: int, n_below: int, poor: array<int>>")(text)
 
 
-def _signature_column(text: Column, seed: int) -> Column:
+def _signature_column(text: Column, fine: frozenset[int]) -> Column:
     def signed(texts: pa.Array) -> pa.Array:
         parts = []
         for h in shingle_sets(texts):
-            _, own, below, _ = sketch(h, seed) if len(h) else (0, h, h, False)
+            _, own, below, _ = sketch(h, fine) if len(h) else (0, h, h, [])
             parts.append(np.concatenate([own, below]))
         return _long_lists(parts)
 
@@ -188,19 +187,19 @@ def _comparison(x: Column, y: Column) -> Column:
     return arrow_udf(compared, "struct<linked: boolean, difference: array<long>>")(x, y)
 
 
-def _heavy(texts: DataFrame, seed: int) -> DataFrame:
+def _heavy(texts: DataFrame, fine: frozenset[int]) -> DataFrame:
     """sig, heavy (estimated rows) of signatures that would fill a task by themselves, found on one document in HEAVY_SAMPLE. Bounded by HEAVY_MOST rows."""
     sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(HEAVY_SAMPLE)) == 0)
-    sample = stored(sample.select(F.explode(_signature_column(F.col("text"), seed)).alias("sig")).groupBy("sig").count(), "heavy")
+    sample = stored(sample.select(F.explode(_signature_column(F.col("text"), fine)).alias("sig")).groupBy("sig").count(), "heavy")
     total = sample.agg(F.sum("count")).first()[0] or 0
     return sample.where(F.col("count") >= max(HEAVY_LEAST, total // HEAVY_MOST)).select("sig", (F.col("count") * HEAVY_SAMPLE).alias("heavy"))
 
 
-def _shared(texts: DataFrame, classes: DataFrame, copies: DataFrame, n_copies: int, seed: int) -> DataFrame:
+def _shared(texts: DataFrame, classes: DataFrame, copies: DataFrame, n_copies: int, fine: frozenset[int]) -> DataFrame:
     """For each class the signatures that other classes have too, with their cost; `typical` is the mean number of owners, negated: less is more typical."""
-    signed = texts.join(small(copies, n_copies), "doc_id", "left_anti").select(F.col("doc_id").alias("doc"), _signature_column(F.col("text"), seed).alias("signatures"))
+    signed = texts.join(small(copies, n_copies), "doc_id", "left_anti").select(F.col("doc_id").alias("doc"), _signature_column(F.col("text"), fine).alias("signatures"))
     rows = signed.select("doc", F.explode("signatures").alias("sig"))
-    rows = rows.join(F.broadcast(_heavy(texts, seed)), "sig", "left")
+    rows = rows.join(F.broadcast(_heavy(texts, fine)), "sig", "left")
     salt = F.when(F.col("heavy").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc"), F.lit(HEAVY_SALTS)))
     bucket = Window.partitionBy("sig", "salt")
     rows = rows.withColumn("salt", salt.cast("int")).withColumn("cost", F.coalesce("heavy", F.count(F.lit(1)).over(bucket)))
@@ -342,19 +341,19 @@ def _row_components(rows: DataFrame) -> DataFrame:
     """row, doc_id, n_shingles, component (the least row of those reachable by links, or of the class; its own for a row without words)."""
     rows = rows.select("row", "doc.doc_id", F.col("doc.text").cast("binary").alias("text"))
     texts = rows.select(F.col("row").alias("doc_id"), "text")
-    for seed in (*range(SEEDS), EVERY):
-        members = rows.select("row", "doc_id", _class_column(F.col("text"), seed).alias("c")).select("row", "doc_id", "c.*")
-        members = stored(members, "members")
-        if seed == EVERY or members.where("poor").isEmpty():
-            break
+    described = lambda of: stored(rows.select("row", "doc_id", _class_column(F.col("text"), of).alias("c")).select("row", "doc_id", "c.*"), "members")
+    members = described(frozenset())
+    fine = frozenset(r[0] for r in members.select(F.explode("poor")).distinct().collect())  # numbers of bands: one a doubling of the size
+    if fine:
         released(members)
+        members = described(fine)
     worded, n_rows = members.where("n_shingles > 0"), members.count()
     classes = worded.groupBy("digest").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("n_shingles", "parity", "n_own", "n_below")])
     classes = stored(classes, "classes")
     large = hot(classes, ["digest"], n_rows)
     copies = hot_join(worded.select("row", "digest"), classes.where("n > 1").select("digest", "rep"), ["digest"], large, F.col("row"))
     copies = stored(copies.where("row <> rep").select(F.col("row").alias("doc_id")), "copies")
-    shared = _shared(texts, classes, copies, copies.count(), seed)
+    shared = _shared(texts, classes, copies, copies.count(), fine)
     released(copies)
     picked = _picked(shared)
     pivots = _pivots(shared, picked)

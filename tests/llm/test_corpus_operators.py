@@ -94,8 +94,50 @@ def test_signatures_meet_the_pigeonhole():
             b = np.unique(np.concatenate([a[drop], rng.integers(0, 2**63, int(rng.integers(0, len(a) // 9 + 1)), dtype=np.uint64)]))
             common = len(np.intersect1d(a, b))
             if len(b) and 9 * common >= 4 * (len(a) + len(b)):
-                pa, pb = (np.concatenate(jaccard.sketch(x, 0)[1:3]) for x in (a, b))
-                assert len(np.intersect1d(pa, pb)) >= 1
+                for fine in (frozenset(), frozenset([2]), frozenset([1, 3, 6])):
+                    pa, pb = (np.concatenate(jaccard.sketch(x, fine)[1:3]) for x in (a, b))
+                    assert len(np.intersect1d(pa, pb)) >= 1
+
+
+def test_a_poor_set_changes_its_own_band_only():
+    import numpy as np
+
+    poor = np.arange(1, 201, dtype=np.uint64)  # 200 shingles in one segment
+    other = np.sort(np.random.default_rng(1).integers(0, 2**63, 300, dtype=np.uint64) * np.uint64(2))
+    _, own, _, bands = jaccard.sketch(poor)
+    assert len(own) == 1 and bands == [2]
+    _, own, _, bands = jaccard.sketch(poor, frozenset([2]))
+    assert len(own) == 200 and bands == []
+    _, plain, _, bands = jaccard.sketch(other)
+    assert bands == [] and jaccard.sketch(other, frozenset([2]))[1].tolist() == plain.tolist()
+
+
+def test_fine_bands_give_the_same_components(spark, monkeypatch):
+    """As if a set of the second band were poor: the second pass signs that band by single shingles."""
+    real, asked = jaccard._class_column, []
+
+    def claimed(text, fine):
+        asked.append(fine)
+        return real(text, fine).withField("poor", F.array() if fine else F.array(F.lit(2)))
+
+    monkeypatch.setattr(jaccard, "_class_column", claimed)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3_000)]
+    texts = []
+    for _ in range(6):
+        base = [rng.choice(words) for _ in range(rng.choice([60, 140, 160, 250, 320]))]
+        for _ in range(5):
+            changed = list(base)
+            for _ in range(rng.randrange(1, 7)):
+                changed[rng.randrange(len(base))] = "new" + str(rng.randrange(10**6))
+            texts.append(" ".join(changed))
+    sets = [set(zip(*[t.split()[i:] for i in range(5)], strict=False)) for t in texts]
+    label = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            label[i] = min(label[j] for j, b in enumerate(sets) if i == j or 100 * len(a & b) >= 80 * len(a | b))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(label)) and len(set(label)) < len(texts) and asked == [frozenset(), frozenset([2])]
 
 
 def test_connected_components_of_a_chain(spark):

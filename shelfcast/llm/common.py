@@ -76,20 +76,32 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _hot_from(total: int) -> int:
+    return max(HOT_ROWS, -(-total // HOT_KEYS))
+
+
 def hot(counts: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
     """Of counts (keys, n), one row a key, the keys of so many rows that they would fill a task, with `parts`, into how many pieces their rows are to be cut.
 
     A key is hot from HOT_ROWS rows or a HOT_KEYS-th of all rows on, so there are at most HOT_KEYS of them, and they are broadcast.
     """
-    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    least = _hot_from(total)
     return F.broadcast(counts.where(F.col(n) >= least).select(*keys, F.ceil(F.col(n) / (least / 2)).cast("int").alias("parts")))
 
 
-def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], hot_keys: DataFrame, spread: Column, how: str = "inner", by: list[str] | None = None) -> DataFrame:
+def any_hot(counts: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame | None:
+    """hot(), or None if no key is hot. One more pass over counts, which should be stored; it spares the plans that follow two broadcasts a join."""
+    most = counts.agg(F.max(n)).first()[0] or 0
+    return hot(counts, keys, total, n) if most >= _hot_from(total) else None
+
+
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], hot_keys: DataFrame | None, spread: Column, how: str = "inner", by: list[str] | None = None) -> DataFrame:
     """rows joined with table (one row a key). The rows of a hot key are cut by `spread` into its parts, each of which meets a copy of the key's row in table.
 
-    `by` names the columns of hot_keys, where they aren't all of `keys`.
+    `by` names the columns of hot_keys, where they aren't all of `keys`. Without hot keys (None) it is a plain join.
     """
+    if hot_keys is None:
+        return rows.join(table, keys, how)
     by = by or keys
     part = F.coalesce(F.pmod(F.xxhash64(spread), F.col("parts")).cast("int"), F.lit(0))
     left = rows.join(hot_keys, by, "left").withColumn("__part", part).drop("parts")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from shelfcast.llm.common import IS_SPACE, LOWER, bounded_batches, hot, hot_join, mixed, released, run_hashes, slices, small, spans, stored
+from shelfcast.llm.common import IS_SPACE, LOWER, any_hot, bounded_batches, hot, hot_join, mixed, released, run_hashes, slices, small, spans, stored
 from shelfcast.llm.components import components
 
 WORDS = 5
@@ -255,27 +255,28 @@ def _pivots(shared: DataFrame, picked: DataFrame) -> DataFrame:
 
 def _compared(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (x, y, ...) with `linked` and `difference`. The texts of a y in many pairs are met by its pairs in parts."""
-    ids = texts.select(F.col("doc_id").alias("id"), "text")
-    left = ids.join(small(pairs, pairs.count()), F.col("id") == F.col("x")).drop("id").withColumnRenamed("text", "text_x")
-    of_y = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
-    n_pairs = pairs.count()
+    ids, n_pairs = texts.select(F.col("doc_id").alias("id"), "text"), pairs.count()
+    left = ids.join(small(pairs, n_pairs), F.col("id") == F.col("x")).drop("id").withColumnRenamed("text", "text_x")
+    of_y = stored(pairs.groupBy("y").agg(F.count(F.lit(1)).alias("n")), "compared-with")
     right = ids.join(small(of_y.select("y"), n_pairs), F.col("id") == F.col("y")).select("y", F.col("text").alias("text_y"))
-    met = hot_join(left, right, ["y"], hot(of_y, ["y"], n_pairs), F.col("x"))
+    met = hot_join(left, right, ["y"], any_hot(of_y, ["y"], n_pairs), F.col("x"))
     return met.withColumn("c", _comparison(F.col("text_x"), F.col("text_y"))).drop("text_x", "text_y").select(*pairs.columns, "c.*")
 
 
-def _apart(rows: DataFrame, keys: list[str], columns: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _apart(rows: DataFrame, keys: list[str], columns: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Two sides (columns named _x and _y) of the pairs of rows (keys, doc, label, ...) that meet in a bucket and are of different labels, and the buckets that fill a task.
 
     One side has only the rows outside their bucket's most common label, the other has all, so a bucket that is nearly one component makes few pairs. Buckets of one label are left out.
     """
+    rows = stored(rows, "in-buckets")
     labels = rows.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
     buckets = labels.groupBy(*keys).agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     buckets = stored(buckets, "buckets")
-    large = hot(buckets, keys, buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    rows = stored(hot_join(rows, buckets.select(*keys, "common"), keys, large, F.col("doc")), "met")
+    large = any_hot(buckets, keys, buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    met = stored(hot_join(rows, buckets.select(*keys, "common"), keys, large, F.col("doc")), "met")
+    released(rows)
     side = lambda df, of: df.select(*keys, F.col("doc").alias(of), *[F.col(c).alias(f"{c}_{of}") for c in columns], (F.col("label") != F.col("common")).alias(f"rare_{of}"))
-    return side(rows.where("label <> common"), "x"), side(rows, "y"), large
+    return side(met.where("label <> common"), "x"), side(met, "y"), large
 
 
 def _met(rows: DataFrame, keys: list[str], columns: tuple[str, ...], may_link: Column) -> DataFrame:
@@ -300,7 +301,7 @@ def _within_pivot(checked: DataFrame, label: DataFrame) -> DataFrame:
     rows = checked.where("pivot <> doc").join(small(open_pivots, open_pivots.count()), "pivot", "left_semi").withColumn("n", F.size("difference"))
     elements = stored(rows.select("pivot", "doc", "size", "n", F.explode("difference").alias("element")), "elements")
     counts = stored(elements.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("cost")), "costs")
-    large = hot(counts, ["pivot", "element"], elements.count(), "cost")
+    large = any_hot(counts, ["pivot", "element"], elements.count(), "cost")
     ordered = hot_join(elements, counts, ["pivot", "element"], large, F.col("doc")).groupBy("pivot", "doc", "size", "n")
     ordered = ordered.agg(F.sort_array(F.collect_set(F.struct("cost", "element"))).alias("order"))
     most = F.floor((F.col("size") + F.floor(5 * F.col("size") / 4)) / 9)
@@ -310,7 +311,9 @@ def _within_pivot(checked: DataFrame, label: DataFrame) -> DataFrame:
     early = _labelled(early.select("pivot", "doc", "size", "n", (F.col("i") + 1).alias("i"), F.col("e.element").alias("element")), label)
     room = 1 + F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
     needed = F.col("n_x") + F.col("n_y") - F.floor((F.col("size_x") + F.col("size_y")) / 9)
-    return _met(early, ["pivot", "element"], ("n", "i"), 2 * room >= needed)
+    found = _met(early, ["pivot", "element"], ("n", "i"), 2 * room >= needed)
+    released(elements, counts)
+    return found
 
 
 def _across_pivots(picked: DataFrame, pivots: DataFrame, label: DataFrame) -> DataFrame:
@@ -350,7 +353,7 @@ def _row_components(rows: DataFrame) -> DataFrame:
     worded, n_rows = members.where("n_shingles > 0"), members.count()
     classes = worded.groupBy("digest").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("n_shingles", "parity", "n_own", "n_below")])
     classes = stored(classes, "classes")
-    large = hot(classes, ["digest"], n_rows)
+    large = any_hot(classes, ["digest"], n_rows)
     copies = hot_join(worded.select("row", "digest"), classes.where("n > 1").select("digest", "rep"), ["digest"], large, F.col("row"))
     copies = stored(copies.where("row <> rep").select(F.col("row").alias("doc_id")), "copies")
     shared = _shared(texts, classes, copies, copies.count(), fine)

@@ -147,6 +147,29 @@ def test_connected_components_of_a_chain(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def largest_plan(spark, work):
+    """What work returns, and the most nodes that a plan run by it has; the driver keeps the plans of its last 1,000 executions, each as often as it changed."""
+
+    def ended():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return spark._jsparkSession.sharedState().statusStore()
+
+    ids = lambda: {x.apply(i).executionId() for x in [ended().executionsList()] for i in range(x.size())}
+    before, out = ids(), work()
+    return out, max(ended().planGraph(i).allNodes().size() for i in ids() - before)
+
+
+def test_plans_of_stars_and_of_the_jaccard_join_stay_small(spark):
+    chain, hub = [(i, i + 1) for i in range(20)], [(1000, 1001 + i) for i in range(1500)]
+    found, nodes = largest_plan(spark, lambda: components.components(spark.createDataFrame(chain + hub, "u long, v long")).collect())
+    assert {r["node"]: r["label"] for r in found} == dict.fromkeys(range(21), 0) | dict.fromkeys(range(1000, 2501), 1000)
+    assert nodes <= 80
+    texts = families(random.Random(11), [6, 20, 90, 200], 6, 3) + ODD
+    found, nodes = largest_plan(spark, lambda: jaccard.near_duplicates(docs(spark, texts)).collect())
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute(texts)
+    assert nodes <= 150
+
+
 def test_sharding(spark):
     table = docs(spark, [*ODD, *["same text"] * 500]).union(docs(spark, ["again"]).crossJoin(spark.range(50)).drop("id"))
     got = sharding.shard_documents(table).collect()

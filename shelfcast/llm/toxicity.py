@@ -2,10 +2,10 @@
 
 Many voters (disjoint lexicons and patterns) fire or stay silent on each text. A generative label model is fitted to the vote patterns of all documents: within a class, votes
 follow an exponential family with a factor for each voter (its accuracy) and one for each chosen pair of voters (their correlation), normalised
-over all 2 ** VOTERS patterns. Its posteriors label a bounded sample, on which a linear classifier of the same evidence is trained.
+over all 2 ** VOTERS patterns. Its posteriors label a bounded sample, on which a linear classifier of the same evidence is trained; labelled rows in it keep their label.
 
 Learned lexicons are word beginnings that labelled training texts show far more often in toxic ones. Bounds: about LABELLED_ROWS labelled rows for the
-lexicons and the first guess of the label model, about TRAINING_ROWS posterior-labelled rows for the classifier, 2 ** VOTERS vote patterns.
+lexicons and the first guess of the label model, about TRAINING_ROWS rows of either kind, labelled and not, for the classifier, 2 ** VOTERS vote patterns.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ LEAST_DENSITY = 0.003
 #: Voters: the learned lexicons, three fixed ones, an insult after a word of address, shouting, repeated marks, drawn-out letters.
 VOTERS = LEXICONS + 7
 N_FEATURES = ROOTS + LEXICONS + 2 * len(_STEPS) + 9
-#: Correlations within a class from which on a pair of voters may get a factor of its own, and the most pairs that do, strongest first.
-LEAST_CORRELATION, MOST_PAIRS = 0.1, 20
+#: Correlations within a class from which on a pair of voters may get a factor of its own (and so many standard errors), and the most pairs that do, strongest first.
+LEAST_CORRELATION, LEAST_ERRORS, MOST_PAIRS = 0.1, 3.0, 20
 _GAP = np.array([not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) for c in range(256)])
 _NO_TOKEN = np.array([not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c == 95) for c in range(256)])
 _NO_MARK = np.array([c not in b"!?" for c in range(256)])
@@ -235,14 +235,16 @@ def _fitted(f: np.ndarray, moments: np.ndarray, theta: np.ndarray, ridge: float
 
 
 def _correlated(votes: np.ndarray, toxic: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
-    """The pairs of voters that correlate most within classes."""
-    pooled = np.zeros((VOTERS, VOTERS))
+    """The pairs of voters that correlate most within either class. Toxic texts are few and of several kinds (languages): an average over classes would hide which voters their kinds share."""
+    most = np.zeros((VOTERS, VOTERS))
     for weight in ((1 - toxic) * counts, toxic * counts):
-        centred = votes - weight @ votes / max(weight.sum(), 1e-9)
-        covariance = (centred * weight[:, None]).T @ centred / max(weight.sum(), 1e-9)
+        total = max(weight.sum(), 1e-9)
+        centred = votes - weight @ votes / total
+        covariance = (centred * weight[:, None]).T @ centred / total
         scale = np.sqrt(np.diag(covariance).clip(1e-9))
-        pooled += weight.sum() / counts.sum() * np.abs(covariance / np.outer(scale, scale))
-    best = sorted(((-pooled[j, k], j, k) for j in range(VOTERS) for k in range(j) if pooled[j, k] >= LEAST_CORRELATION))
+        found = np.abs(covariance / np.outer(scale, scale))
+        most = np.maximum(most, np.where(found >= LEAST_ERRORS / np.sqrt(total), found, 0))
+    best = sorted(((-most[j, k], j, k) for j in range(VOTERS) for k in range(j) if most[j, k] >= LEAST_CORRELATION))
     return [(j, k) for _, j, k in best[:MOST_PAIRS]]
 
 
@@ -314,6 +316,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
 
     Each text is read once for its evidence, and votes are counted over all docs. Labels of null are left out; without labels of both kinds the label model starts from a
     general guess and the fixed lexicons alone. Repeated labels count as often as they occur.
+    The classifier learns labelled rows by their label, all others by the label model; the labelled ones together weigh as much as the others, or more if they are more.
     """
     from pyspark.ml.classification import LogisticRegression  # here, as the workers that score have no use for it
     from pyspark.ml.functions import array_to_vector
@@ -328,11 +331,17 @@ def train(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
     if patterns.empty:
         return Classifier(lexicon, np.zeros(N_FEATURES), -3.0, fit_label_model(np.zeros(1, np.int64), np.ones(1), None)), table
     votes, counts = patterns["votes"].to_numpy(np.int64), patterns["count"].to_numpy(float)
-    model = fit_label_model(votes, counts, (seen["votes"].to_numpy(np.int64), seen["toxic"].to_numpy(float), seen["count"].to_numpy(float)) if len(seen) else None)
+    toxic, labelled = seen["toxic"].to_numpy(float), seen["count"].to_numpy(float)
+    model = fit_label_model(votes, counts, (seen["votes"].to_numpy(np.int64), toxic, labelled) if len(seen) else None)
     belief = docs.sparkSession.createDataFrame(list(zip(votes.tolist(), model.posterior(_unpacked(votes)).tolist(), strict=True)), "votes long, belief double")
+    n_rows, n_known = int(counts.sum()), int(labelled.sum()) if 0 < toxic @ labelled < labelled.sum() else 0
+    heavy = max(1.0, (n_rows - n_known) * min(1.0, TRAINING_ROWS / n_rows) / max(1, min(n_known, TRAINING_ROWS)))
     # Rows are sampled by place too: a doc_id may hold any share of them.
-    sample = table.where(_share(F.xxhash64("doc_id", F.monotonically_increasing_id()), int(counts.sum()), TRAINING_ROWS)).join(F.broadcast(belief), "votes")
-    both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("belief").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("belief")).alias("weight"))))
+    place, given = F.xxhash64("doc_id", F.monotonically_increasing_id()), F.col("toxic").isNotNull()
+    rows = table.join(known if n_known else known.limit(0), "doc_id", "left")
+    sample = rows.where(F.when(given, _share(place, n_known, TRAINING_ROWS)).otherwise(_share(place, n_rows, TRAINING_ROWS))).join(F.broadcast(belief), "votes")
+    weight, share = F.when(given, heavy).otherwise(1.0), F.coalesce(F.col("toxic").cast("double"), F.col("belief"))
+    both = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), (weight * share).alias("weight")), F.struct(F.lit(0.0).alias("label"), (weight * (1 - share)).alias("weight"))))
     sample = sample.select(array_to_vector("features").alias("features"), both.alias("s")).select("features", "s.*").where("weight > 0.0001").persist()
     fitted = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=1e-4, maxIter=40, family="binomial").fit(sample)
     sample.unpersist()

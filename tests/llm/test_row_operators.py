@@ -241,6 +241,41 @@ def test_toxicity(spark):
     assert unlabelled.scores([b"word " * 60 + b"you idiot scum trash"])[0] > unlabelled.scores([b"word " * 60])[0]
 
 
+def test_toxic_texts_of_several_kinds_are_caught(spark):
+    """Insults come by the dozen in some toxic texts; those of other languages have one word of their own language's. Half of the texts have labels."""
+    rng = random.Random(6)
+    syllables = {k: [a + b for a in heads for b in ("ing", "tion", "er", "ou")] for k, heads in {"en": ("ren", "tha", "lor"), "de": ("sch", "kei", "lun"), "fr": ("aud", "vie", "oir"), "es": ("cio", "ado", "ente")}.items()}
+    own = {"en": ["clown", "scum", "idiot", "worthless", "disgusting", "trash", "loser", "moron", "pathetic", "stupid"], "de": ["lowei", "lostra"], "fr": ["vequl", "vejut"], "es": ["chllap", "chonta"]}
+    texts, toxic = [], []
+    for i in range(4000):
+        kind = rng.choice(["en", "en", "de", "fr", "es"])
+        w = [rng.choice(syllables[kind]) + rng.choice(syllables[kind]) for _ in range(80)]
+        toxic.append(rng.random() < 0.12)
+        for _ in range((rng.randrange(6, 14) if kind == "en" else 1) if toxic[-1] else 0):
+            w[rng.randrange(len(w))] = rng.choice(own[kind])
+        texts.append(" ".join(w))
+    marks = spark.createDataFrame([(i, int(t)) for i, t in enumerate(toxic) if i % 2], "doc_id long, toxic int")
+    classifier, evidence = toxicity.train(docs(spark, texts), marks)
+    got = {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.scored(evidence, classifier).select("kept.doc_id", "score").collect()}
+    unseen = [(got[i], t) for i, t in enumerate(toxic) if i % 2 == 0]
+    assert sum(g for g, t in unseen if t) >= 0.97 * sum(t for _, t in unseen) and sum(g for g, t in unseen if not t) <= 0.003 * len(unseen)
+
+
+def test_label_model_pairs_voters_of_the_small_class():
+    """Two voters fire together in half of the toxic texts, which are a tenth of all; a third one fires alone in the others. Clean texts know no such pair."""
+    rng = np.random.default_rng(5)
+    toxic, kind = rng.random(40_000) < 0.1, rng.random(40_000) < 0.5
+    votes = (rng.random((40_000, toxicity.VOTERS)) < 0.01).astype(int)
+    votes[toxic & kind, :2] |= rng.random(((toxic & kind).sum(), 2)) < 0.9
+    votes[toxic & ~kind, 2] |= rng.random((toxic & ~kind).sum()) < 0.9
+    patterns, counts = np.unique(votes @ (1 << np.arange(toxicity.VOTERS)), return_counts=True)
+    known = votes[:4000] @ (1 << np.arange(toxicity.VOTERS)), toxic[:4000].astype(float), np.ones(4000)
+    model = toxicity.fit_label_model(patterns, counts.astype(float), known)
+    assert {(1, 0), (2, 0), (2, 1)} <= set(model.pairs)
+    together = model.posterior(np.eye(toxicity.VOTERS)[[0]] + np.eye(toxicity.VOTERS)[[1]])[0]
+    assert together > 0.9 and model.posterior(np.eye(toxicity.VOTERS)[[2]])[0] > 0.5
+
+
 def plain_evidence(lexicon, text):
     """Words, roots by place, insults by kind, threats, address and the three patterns, one word and one regular expression at a time."""
     words = words_of(text)
